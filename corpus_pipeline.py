@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from studyloom.llm import exact_dedup, packing, quality_rules
+from studyloom.llm import exact_dedup, near_dedup, packing, pii, quality_rules
 from studyloom.session import materialize, table
 
 
@@ -18,12 +19,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (word shingles of five, similarity 0.8) the one with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs, width=5, percent=80)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get pseudonyms; n_chars follows the new text."""
+    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenised and packed into sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("packing", pack)]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("pii", private), ("packing", pack)]
 ORACLE_SQL = None
 
 

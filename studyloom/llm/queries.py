@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import exact_dedup, packing, quality_rules, sharding
+from studyloom.llm import exact_dedup, near_dedup, packing, pii, quality_rules, sharding
 from studyloom.session import table
 
 
@@ -16,13 +16,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies_report(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op5_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op5_exact_dedup, op8_pii, op10_quality_rules)}
 ORACLES = {"op5_exact_dedup": exact_dedup.COPIES_SQL}
