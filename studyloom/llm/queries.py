@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import exact_dedup, near_dedup, packing, pii, quality_rules, sharding
+from studyloom.llm import exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, sharding, substring_dedup
 from studyloom.session import table
 
 
@@ -20,10 +20,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies_report(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op5_exact_dedup, op8_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op8_pii, op10_quality_rules)}
 ORACLES = {"op5_exact_dedup": exact_dedup.COPIES_SQL}
