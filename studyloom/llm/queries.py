@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import exact_dedup, lm_scoring, near_dedup, packing, pii, quality_rules, sharding, substring_dedup
+from studyloom.llm import exact_dedup, html_extraction, lm_scoring, near_dedup, packing, piece_matching, pii, quality_rules, sharding, substring_dedup
 from studyloom.session import table
 
 
@@ -32,13 +32,35 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scores_report(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_matching.pieces_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_best_fit_packing, op3_minhash_near_dedup, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op8_pii, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_best_fit_packing,
+        op3_minhash_near_dedup,
+        op4_substring_dedup,
+        op5_exact_dedup,
+        op6_lm_scoring,
+        op7_sentencepiece,
+        op8_pii,
+        op9_html_extraction,
+        op10_quality_rules,
+    )
+}
 ORACLES = {"op5_exact_dedup": exact_dedup.COPIES_SQL}
