@@ -10,9 +10,10 @@
 3. Candidate pairs are confirmed on the full sets and the links made into components.
 4. A bucket whose members aren't yet in one component may hold more links. Its members'
    exact distances to the first centre rule out most pairs, as Jaccard distance obeys the
-   triangle inequality. For the others more members become centres, four times as many in
-   each round, against the members of other components; so links between any two members
-   of a bucket are found, while a group of copies never emits its pairs.
+   triangle inequality, and so do the shingles that a node shares with no other component.
+   For the others more members become centres, four times as many in each round, against
+   the members of other components; so links between any two members of a bucket are
+   found, while a group of copies never emits its pairs.
 
 A pair at the threshold of 0.8 misses all 32 bands of 5 with probability 3e-6.
 
@@ -38,6 +39,8 @@ from studyloom.session import materialize
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: Members of a bucket that are all compared at once.
+FEW = 8
 _U = np.uint64
 
 
@@ -167,25 +170,29 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
     linked = (100 * F.col("common") >= percent * F.col("either")) & (F.col("either") > 0)
     seen = materialize(_confirmed(pairs, sets), "confirmed")
-    stars = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"))
+    stars = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"), F.col("common").cast("long").alias("inside"))
     members = members.join(stars, ["centre", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d")))
-    members = materialize(members.select("key", "node", "n", "centre", "d"), "buckets")
+    # inside: how many shingles a member has in common with its bucket's centre; all of its own where that wasn't counted
+    members = materialize(members.select("key", "node", "n", "centre", "d", F.coalesce("inside", "n").alias("inside")), "buckets")
     links = seen.where(linked).select("a", "b")
     labels = materialize(connected_components(links, "a", "b"), "labels")
 
     reach, centres = 1 - percent / 100 + 1e-9, 4
     while True:
-        open_ = _unsettled(members, labels, reach)
-        open_ = materialize(open_, "buckets")
-        chosen = open_.where(F.pmod(F.xxhash64("node", F.lit(centres)), F.col("left")) < centres)
-        c = chosen.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("d").alias("ad"))
-        near = F.coalesce(F.abs(F.col("ad") - F.col("d")) <= reach, F.lit(True))
-        pairs = open_.join(c, "key").where((F.col("label") != F.col("al")) & fits(F.col("n"), F.col("an")) & near)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        open_ = materialize(_unsettled(members, labels, reach), "buckets")
         if open_.isEmpty():
             break
+        open_ = materialize(_bounded(open_, sets, percent), "buckets")
+        chosen = open_.where((F.col("left") <= FEW) | (F.pmod(F.xxhash64("node", F.lit(centres)), F.col("left")) < centres))
+        c = chosen.select("key", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "label", "d", "inside", "shared", "outside")))
+        near = F.coalesce(F.abs(F.col("c_d") - F.col("d")) <= reach, F.lit(True))
+        # what the two can have in common at most: of the centre's shingles, and of the others
+        most = F.least("shared", "c_shared", F.least("inside", "c_inside") + F.least("outside", "c_outside"))
+        near &= 100 * most >= percent * (F.col("n") + F.col("c_n") - most)
+        pairs = open_.join(c, "key").where((F.col("label") != F.col("c_label")) & fits(F.col("n"), F.col("c_n")) & near)
+        pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+        pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
             fresh = materialize(_confirmed(pairs, sets), "confirmed")
             seen = seen.unionByName(fresh)
@@ -194,7 +201,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
                 stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 labels = materialize(connected_components(stars.unionByName(found), "a", "b"), "labels")
         # a centre is settled against all others of its bucket
-        members = open_.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "centre", "d")
+        members = open_.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "centre", "d", "inside")
         centres *= 4
 
     each = sketched.select("id", "n", "node").join(labels, "node", "left")
@@ -210,7 +217,7 @@ def _unsettled(members: DataFrame, labels: DataFrame, reach: float) -> DataFrame
     Within reach of the centre (near) a member is linked to it. A far one, beyond twice the
     reach, can't be linked to a near one; the rest is the border, also where d is unknown.
     """
-    at = members.join(labels, "node", "left").select("key", "node", "n", "centre", "d", F.coalesce("component", "node").alias("label"))
+    at = members.join(labels, "node", "left").select("key", "node", "n", "centre", "d", "inside", F.coalesce("component", "node").alias("label"))
     far = F.coalesce(F.col("d") > 2 * reach, F.lit(False))
     near = F.coalesce(F.col("d") <= reach, F.lit(False))
     state = at.groupBy("key").agg(
@@ -224,6 +231,34 @@ def _unsettled(members: DataFrame, labels: DataFrame, reach: float) -> DataFrame
     return at.where("d is null or d > 0").join(state, "key")
 
 
+def _bounded(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """open_ with `shared` and `outside`, without the members and buckets that have no link left to find.
+
+    shared counts the shingles of a member that members of another component have as well,
+    outside those of them that its bucket's centre lacks. No other shingle is in an
+    intersection, and all are in the union, so a member with too few shared ones is done.
+    Buckets of FEW members or less skip this and are settled at once.
+    """
+    few = open_.where(F.col("left") <= FEW).withColumns({"shared": F.col("n"), "outside": F.col("n")})
+    many = open_.where(F.col("left") > FEW).drop("left")
+    if many.isEmpty():
+        return few
+    nodes = many.select("node", "n", F.xxhash64("label").alias("label")).distinct()
+    rows = sets.join(nodes, "node").select("node", "n", "label", F.explode("members").alias("m"))
+    common = rows.groupBy("m").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
+    shared = rows.select("node", "n", "m").join(materialize(common, "common"), "m").groupBy("node", "n").agg(F.collect_list("m").alias("ms"))
+    shared = materialize(shared.where(100 * F.size("ms") >= percent * F.col("n")).select("node", "ms"), "sharing")
+    of = many.select("centre", "node").distinct().join(shared, "node").join(sets.select(F.col("node").alias("centre"), "members"), "centre")
+    of = of.select("centre", "node", F.size("ms").cast("long").alias("shared"), F.size(F.array_except("ms", "members")).cast("long").alias("outside"))
+    many = materialize(many.join(of, ["centre", "node"]), "buckets")
+    # a partner has as many shingles as the least of the bucket, or more
+    least = many.groupBy("key").agg(F.min("n").alias("least"))
+    could = 100 * F.col("shared") >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))
+    many = materialize(many.join(least, "key").where(could).drop("least"), "buckets")
+    left = many.groupBy("key").agg(F.count("*").alias("left"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "left")
+    return few.unionByName(many.join(left, "key"), allowMissingColumns=True)
+
+
 def near_report(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     return near_classes(docs, width, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
