@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from studyloom.plans import documents, events, relational
 
-from studyloom.session import table
-
-
-def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("n_lines"))
-
-
-QUERIES = {"text_metrics": text_metrics}
-ORACLES = {"text_metrics": "SELECT doc_id, length(text) AS chars, len(string_split(text, chr(10))) AS n_lines FROM documents"}
-FLAGSHIP = "text_metrics"
+BOOKS = (documents.BOOK, events.BOOK, relational.BOOK)
+QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
+ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
+FLAGSHIP = "near_duplicate_report"
