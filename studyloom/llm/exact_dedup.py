@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.llm.names import free
 from studyloom.session import materialize
 
 
@@ -34,8 +35,8 @@ def repeated_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return one.select("md5", "sha256", "keep_id", checked.alias("group_size")).where("group_size > 1")
 
 
-def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """A struct column `copy` (keep_id, group_size, kept, text_sha256) beside the carried columns.
+def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, name: str = "copy") -> DataFrame:
+    """A struct column (keep_id, group_size, kept, text_sha256) beside the carried ones, under a free name.
 
     Carry only what is needed: the columns go through one shuffle with their digests.
     """
@@ -46,12 +47,13 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     rows = rows.select(*names, "id", F.unhex(F.md5("t")).alias("md5"), F.sha2("t", 256).alias("sha256"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     copy = F.struct(keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha256").alias("text_sha256"))
-    return rows.join(groups, ["md5", "sha256"], "left").select(*(F.col(n).alias(x) for x, n in zip(carry, names)), copy.alias("copy"))
+    return rows.join(groups, ["md5", "sha256"], "left").select(*(F.col(n).alias(x) for x, n in zip(carry, names)), copy.alias(name))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each distinct text, the one with the smallest id."""
-    return mark_copies(docs, doc_id, text).where("copy.kept").drop("copy")
+    name = free(docs.columns, "copy")
+    return mark_copies(docs, doc_id, text, name=name).where(F.col(name)["kept"]).drop(name)
 
 
 def copies_report(docs: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm import words as W
+from studyloom.llm.names import free
 from studyloom.operators.components import connected_components
 from studyloom.session import materialize
 
@@ -268,6 +269,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     Ids of the dropped documents are joined to docs, so repeated ids fall together.
     """
+    name = free(docs.columns, "gone_id")
     classes = near_classes(docs, width, percent, doc_id, text)
-    gone = materialize(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")), "near-copies")
-    return docs.join(gone, docs[doc_id] == F.col("gone_id"), "left_anti")
+    gone = materialize(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)), "near-copies")
+    return docs.join(gone, docs[doc_id] == gone[name], "left_anti")

@@ -28,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.llm.names import free
+
 #: A demonstration key; a deployment passes its own.
 KEY = "studyloom-demonstration-key"
 ROUNDS = 10
@@ -210,29 +212,31 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return found
 
 
-def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with text replaced, and an array column `pii` of (kind, value, pseudonym) that were found.
+def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, name: str = "pii") -> DataFrame:
+    """docs with text replaced, and an array of (kind, value, pseudonym) that were found, under a free name.
 
-    A text without digits or @ skips the search. What was found but fails its check has
-    pseudonym = value.
+    A text without a digit, @, = or : skips the search. What was found but fails its check
+    has pseudonym = value.
     """
+    found_, kinds_, pii_, new_ = (free(docs.columns, x) for x in ("found_", "kinds_", "pii_", "new_"))
     value = F.col(f"`{text}`")
     found = F.when(value.rlike("[0-9@=:]"), F.regexp_extract_all(value, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform(F.col("__found"), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    pii = F.transform(F.col("__kinds"), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
+    kinds = F.transform(F.col(found_), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
+    pii = F.transform(F.col(kinds_), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
     gaps = F.split(value, ANY, -1)
     joined = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("__pii")), F.col("__pii"), lambda g, p: F.concat(g, p["pseudonym"])), ""),
+        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(pii_)), F.col(pii_), lambda g, p: F.concat(g, p["pseudonym"])), ""),
         F.element_at(gaps, -1),
     )
-    out = docs.withColumn("__found", found).withColumn("__kinds", kinds).withColumn("__pii", pii)
-    out = out.withColumn("__new", F.when(F.size("__pii") > 0, joined).otherwise(value))
-    shown = [F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*shown, F.coalesce("__pii", F.array().cast(out.schema["__pii"].dataType)).alias("pii"))
+    out = docs.withColumn(found_, found).withColumn(kinds_, kinds).withColumn(pii_, pii)
+    out = out.withColumn(new_, F.when(F.size(pii_) > 0, joined).otherwise(value))
+    shown = [F.col(new_).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*shown, F.coalesce(pii_, F.array().cast(out.schema[pii_].dataType)).alias(name))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    return with_pseudonyms(docs, text, key).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = free(docs.columns, "pii")
+    return with_pseudonyms(docs, text, key, name).drop(name)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

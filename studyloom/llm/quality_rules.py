@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm import words as W
+from studyloom.llm.names import free
 
 #: Largest share of word characters in repeated n-grams, by n: from the published Gopher rules.
 NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -88,13 +89,13 @@ def _measured(text: str):
     return run
 
 
-def with_repetition(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `repetition` holding the figures of SCHEMA."""
+def with_repetition(docs: DataFrame, text: str = "text", name: str = "repetition") -> DataFrame:
+    """docs with a struct column holding the figures of SCHEMA; its name must be free."""
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = docs.columns.index(text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields] + [f"m{i} long" for i in range(len(NAMES))]
     out = plain.mapInArrow(_measured(f"c{at}"), ", ".join(fields))
-    return out.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)), F.struct(*(F.col(f"m{i}").alias(x) for i, x in enumerate(NAMES))).alias("repetition"))
+    return out.select(*(F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)), F.struct(*(F.col(f"m{i}").alias(x) for i, x in enumerate(NAMES))).alias(name))
 
 
 def base_failed(r: Column) -> Column:
@@ -112,7 +113,8 @@ def passes(r: Column) -> Column:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their columns as they were."""
-    return with_repetition(docs, text).where(passes(F.col("repetition"))).drop("repetition")
+    name = free(docs.columns, "repetition")
+    return with_repetition(docs, text, name).where(passes(F.col(name))).drop(name)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

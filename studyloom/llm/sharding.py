@@ -17,7 +17,7 @@ rows_per_cell, whatever values repeat: rows are dealt by place, never by key. Th
 
 Defined cases: null text has size 1 and the crc of an empty text; null or repeated ids and
 repeated rows are dealt like any others; an empty table gives an empty result; carried
-columns keep their names, which may clash with nothing but the added ones.
+columns keep their names, and one that is called shard or slot is replaced.
 """
 
 from __future__ import annotations
@@ -124,7 +124,8 @@ def shard(rows: DataFrame, n_shards: int = 8, seed: int = 20240229, rows_per_cel
 
     The columns given travel through the two exchanges, so pass those that are wanted.
     """
-    names = rows.columns
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    rows = rows.select(*(F.col(f"`{c}`") for c in names))
     plain = rows.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"src": F.spark_partition_id(), "rid": F.monotonically_increasing_id()})
     plain = materialize(plain, "shard-rows")
     total = plain.count()
