@@ -29,14 +29,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     a, b = F.col(src), F.col(dst)
     edges = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", thin=True)
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = _with_least(materialize(large, "edges"))
+        small = _with_least(materialize(large, "edges", thin=True))
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = materialize(small.select(F.inline(pairs)).where("u != v").distinct(), "edges")
+        edges = materialize(small.select(F.inline(pairs)).where("u != v").distinct(), "edges", thin=True)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

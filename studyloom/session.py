@@ -40,15 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", thin: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     The result has no lineage, so a lost executor never repeats the work above it, and
     what reads it twice sees the same rows. Parquet keeps column pruning and filters.
+    thin: the rows are a few numbers each, so four tasks and files a core are enough.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if thin else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
