@@ -37,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ from studyloom.llm import words as W
 from studyloom.llm.substring_dedup import _planes, _unplanes
 from studyloom.session import materialize
 
-BUCKET_BYTES = 32 << 20
-HELD_TOKENS = 3_000_000
+BUCKET_BYTES = 16 << 20
+HELD_TOKENS = 1_500_000
 HOT = 200
 DISCOUNT = 0.75
 _U = np.uint64
@@ -188,6 +190,7 @@ class _Held:
 
     def __init__(self, n_buckets: int, hot: np.ndarray, classes: np.ndarray):
         self.n_buckets, self.hot, self.classes = n_buckets, hot, classes
+        self.flush = 0
         self.clear()
 
     def clear(self) -> None:
@@ -220,16 +223,19 @@ class _Held:
     def deal(self) -> Iterator[pa.RecordBatch]:
         if not self.texts:
             return
+        flush = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24 | self.flush
+        self.flush += 1
         v, u, w, text, first = (np.concatenate(x) for x in zip(*self.parts))
         keys = np.array(list(self.texts), np.int64).reshape(-1, 2)
         train, test = np.array(self.train, np.int64), np.array(self.test, np.int64)
         self.clear()
+        yield _row({"bucket": flush % self.n_buckets, "flush": flush, "keys": keys[:, 0].tolist(), "marks": keys[:, 1].tolist()}, SENT)
         spread = np.zeros(len(v), np.uint64)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
             is_hot = self.hot[at] == v
             spread[is_hot] = W.mix(u[is_hot]) % self.classes[at[is_hot]].astype(np.uint64)
-        context = W.mix(v + spread * _U(0x9E3779B97F4A7C15)) if len(self.hot) else W.mix(v)
+        context = _context(v, spread)
         bucket = ((context >> _U(32)) * _U(self.n_buckets) >> _U(32)).astype(np.int32)
         order = np.lexsort((context, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
@@ -237,31 +243,57 @@ class _Held:
             mine = order[cuts[b] : cuts[b + 1]]
             if not len(mine):
                 continue
-            texts, ref = np.unique(text[mine], return_inverse=True)
             c = context[mine]
             new = np.concatenate([[True], c[1:] != c[:-1]])
-            held = np.flatnonzero(test[text[mine]] > 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b], pa.int32()),
-                    pa.array([keys[texts, 0].tolist()], pa.list_(pa.int64())),
-                    pa.array([keys[texts, 1].tolist()], pa.list_(pa.int32())),
-                    pa.array([_planes(train[texts], 4)], pa.binary()),
-                    pa.array([_planes(c[new], 8) + _planes(v[mine][new], 8)], pa.binary()),
-                    pa.array([_planes(np.diff(np.append(np.flatnonzero(new), len(c))), 4)], pa.binary()),
-                    pa.array([_planes(W.mix(u[mine]), 3)], pa.binary()),
-                    pa.array([_planes(w[mine], 4)], pa.binary()),
-                    pa.array([_planes(np.diff(ref, prepend=0), 3)], pa.binary()),
-                    pa.array([np.packbits(first[mine]).tobytes()], pa.binary()),
-                    pa.array([_planes(w[mine][held], 8)], pa.binary()),
-                    pa.array([_planes(test[texts], 4)], pa.binary()),
-                ],
-                names=SENT,
+            held = test[text[mine]] > 0
+            yield _row(
+                {
+                    "bucket": b,
+                    "flush": flush,
+                    "train": _packed(train, 4),
+                    "test": _packed(test, 4),
+                    "words": _packed(v[mine][new], 8),
+                    "spread": _packed(spread[mine][new], 2),
+                    "runs": _packed(np.diff(np.append(np.flatnonzero(new), len(c))), 4),
+                    "u": _packed(W.mix(u[mine]), 3),
+                    "w": _packed(w[mine], 4),
+                    "ref": _packed(np.diff(text[mine], prepend=0), 3),
+                    "first": _packed(first[mine], 1),
+                    "held": _packed(w[mine][held] >> _U(32), 4),
+                },
+                SENT,
             )
 
 
-SENT = ["bucket", "keys", "marks", "train", "contexts", "runs", "u", "w", "ref", "first", "held_w", "test"]
-SENT_SCHEMA = "bucket int, keys array<long>, marks array<int>, train binary, contexts binary, runs binary, u binary, w binary, ref binary, first binary, held_w binary, test binary"
+def _context(v: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """One value for a word and the class of its left neighbour."""
+    return W.mix(v + spread.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def _packed(values: np.ndarray, size: int) -> bytes:
+    return zstandard.compress(_planes(values, size), 1)
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    return _unplanes(zstandard.decompress(raw), size)
+
+
+LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+#: What tasks send to a bucket: a row of positions for each flush, or a flush's texts.
+SENT = {"bucket": pa.int32(), "flush": pa.int64(), "keys": LONGS, "marks": INTS} | dict.fromkeys("train test words spread runs u w ref first held".split(), pa.binary())
+SENT_SCHEMA = "bucket int, flush long, keys array<long>, marks array<int>, train binary, test binary, words binary, spread binary, runs binary, u binary, w binary, ref binary, first binary, held binary"
+#: What a bucket returns. Kind 0: sums for a flush's texts; 1: a follower that no trie knows; 2: a word's training count; 3: a flush's texts.
+GOT = {"kind": pa.int32(), "flush": pa.int64(), "keys": LONGS, "marks": INTS, "ref": pa.int32(), "word": pa.int64(), "n": pa.int64()} | dict.fromkeys("refs counts known base score".split(), pa.binary())
+GOT_SCHEMA = "kind int, flush long, keys array<long>, marks array<int>, ref int, word long, n long, refs binary, counts binary, known binary, base binary, score binary"
+
+
+def _row(values: dict, schema: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(k)], t) for k, t in schema.items()], names=list(schema))
+
+
+def _rows(schema: dict, **columns) -> pa.Table:
+    size = len(next(iter(columns.values())))
+    return pa.table({k: pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in schema.items()})
 
 
 def _dealt(n_buckets: int, hot: np.ndarray, classes: np.ndarray):
@@ -285,53 +317,55 @@ def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _scored(hot: np.ndarray, hot_counts: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        rows = [{k: table[k][i] for k in SENT} for i in range(table.num_rows)]
-        raw = lambda r, k: r[k].as_py()
-        keys = np.concatenate([r["keys"].values.to_numpy() for r in rows])
-        marks = np.concatenate([r["marks"].values.to_numpy() for r in rows])
-        train = np.concatenate([_unplanes(raw(r, "train"), 4) for r in rows]).astype(np.float64)
-        test = np.concatenate([_unplanes(raw(r, "test"), 4) for r in rows])
-        skip, context, word, u, w, text, first, held_w = 0, [], [], [], [], [], [], []
-        for r in rows:
-            both = np.frombuffer(raw(r, "contexts"), np.uint8)
-            runs = _unplanes(raw(r, "runs"), 4).astype(np.int64)
-            context.append(np.repeat(_unplanes(both[: len(both) // 2].tobytes(), 8), runs))
-            word.append(np.repeat(_unplanes(both[len(both) // 2 :].tobytes(), 8), runs))
-            u.append(_unplanes(raw(r, "u"), 3))
-            w.append(_unplanes(raw(r, "w"), 4))
-            ref = np.cumsum(_unplanes(raw(r, "ref"), 3).astype(np.int64) << 40 >> 40)
-            text.append(ref + skip)
-            skip += len(r["keys"].values)
-            first.append(np.unpackbits(np.frombuffer(raw(r, "first"), np.uint8))[: len(ref)].astype(bool))
-            held_w.append(_unplanes(raw(r, "held_w"), 8))
-        rows.clear()
-        context, word, u, w, text, first, held_w = (np.concatenate(x) for x in (context, word, u, w, text, first, held_w))
-        weight = train[text]
+        is_list = table["keys"].is_valid().to_numpy()
+        texts = table.filter(pa.array(is_list)).select(["flush", "keys", "marks"]).append_column("kind", pa.array(np.full(int(is_list.sum()), 3), pa.int32()))
+        out = [pa.table({k: texts[k] if k in texts.column_names else pa.nulls(len(texts), t) for k, t in GOT.items()})]
+        table = table.filter(pa.array(~is_list)).drop_columns(["keys", "marks"])
+        n_rows = table.num_rows
+        if not n_rows:
+            return out[0]
+        get = lambda k, size: [_unpacked(x, size) for x in table[k].to_pylist()]
+        train = get("train", 4)
+        skip = np.cumsum([0, *map(len, train)])  # a text's number here: its flush's first plus its own there
+        runs = np.concatenate(get("runs", 4)).astype(np.int64)
+        refs = [np.cumsum(x.astype(np.int64) << 40 >> 40) for x in get("ref", 3)]
+        text = np.concatenate([r + skip[i] for i, r in enumerate(refs)]).astype(np.int32)
+        row_of = np.repeat(np.arange(n_rows), [len(r) for r in refs])
+        del refs
+        word = np.concatenate(get("words", 8))
+        weight = np.concatenate(train).astype(np.float32)[text]
 
         # the counts of this bucket's contexts; numbers stand for contexts from here on
-        contexts, number, c1 = _distinct(context, weight)
+        contexts, which = np.unique(_context(word, np.concatenate(get("spread", 2))), return_inverse=True)
         words = np.zeros(len(contexts), np.uint64)
-        words[number] = word
-        del context, word
-        n_text = len(keys)
+        words[which] = word
+        number = np.repeat(which.astype(np.int32), runs)
+        del word, which, runs
+        c1 = np.bincount(number, weight, len(contexts))
+        n_text = int(skip[-1])
         unigram = c1.copy()
         if len(hot):
             at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
             unigram = np.where(hot[at] == words, hot_counts[at], unigram)
         base = np.log10(unigram + 0.1)[number]
+        first = np.concatenate(get("first", 1)).astype(bool)
         out_n = np.bincount(text, minlength=n_text)
-        out_known = np.bincount(text, (unigram > 0)[number], n_text).astype(np.int64)
+        out_known = np.bincount(text, (unigram > 0)[number], n_text)
         out_base = np.bincount(text, base, n_text)
-        out_score = np.bincount(text[first], base[first], n_text)
-        del base, first
+        out_score = np.zeros(n_text) + np.bincount(text[first], base[first], n_text)
+        del base, first, unigram
 
         seen = np.flatnonzero(c1 > 0)
         rank = np.cumsum(c1 > 0) - 1  # a seen context's place in the trie
-        pair, pair_of, c2 = _distinct(number.astype(np.uint64) << _U(32) | w, weight)
+        w = np.concatenate(get("w", 4)).astype(np.uint64)
+        high = number.astype(np.uint64) << _U(32)
+        pair, pair_of, c2 = _distinct(high | w, weight)
         t1 = np.bincount((pair >> _U(32)).astype(np.int64), c2 > 0, len(contexts))
-        left, left_of, cl = _distinct(number.astype(np.uint64) << _U(32) | u, weight)
-        del pair_of, u
+        del pair_of
+        left, left_of, cl = _distinct(high | np.concatenate(get("u", 3)), weight)
+        del high, number
         triple, triple_of, c3 = _distinct(left_of.astype(np.uint64) << _U(32) | w, weight)
+        del left_of, weight
         t2 = np.bincount((triple >> _U(32)).astype(np.int64), c3 > 0, len(left))
         left_rank = np.cumsum(cl > 0) - 1
         low = _U(0xFFFFFFFF)
@@ -346,31 +380,43 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
             )
             of = (triple >> _U(32)).astype(np.int64)
             known, open_ = trie.score(contexts[(left[of] >> _U(32)).astype(np.int64)], left[of] & low, triple & low)
-            del trie
+            del trie, of
         out_score += np.bincount(text, known[triple_of], n_text)
-        # only texts with a held-out copy can be open; their followers came in full
-        full = np.zeros(len(text), np.uint64)
-        full[test[text] > 0] = held_w
+
+        # a text without a held-out copy trained all it holds; the others sent their followers' high half too
+        held = np.concatenate(get("test", 4))[text] > 0
+        w[held] |= np.concatenate(get("held", 4)) << _U(32)
         at = np.flatnonzero(open_[triple_of])
-        return pa.concat_tables(
-            [
-                _got(0, key=keys, mark=marks, n=out_n, n_known=out_known, base=out_base, score=out_score),
-                _got(1, key=keys[text[at]], mark=marks[text[at]], word=full[at].view(np.int64), n=np.ones(len(at), np.int64)),
-                _got(2, word=words[seen].view(np.int64), n=c1[seen].astype(np.int64)),
-            ]
-        )
+        flush = table["flush"].to_numpy()
+        out.append(_rows(GOT, kind=np.full(len(at), 1), flush=flush[row_of[at]], ref=text[at] - skip[row_of[at]], word=w[at].view(np.int64), n=np.ones(len(at), np.int64)))
+        out.append(_rows(GOT, kind=np.full(len(seen), 2), word=words[seen].view(np.int64), n=c1[seen].astype(np.int64)))
+        sums = {k: [] for k in ("refs", "counts", "known", "base", "score")}
+        for i in range(n_rows):
+            mine = skip[i] + np.flatnonzero(out_n[skip[i] : skip[i + 1]])
+            sums["refs"].append(_packed(np.diff(mine - skip[i], prepend=0), 4))
+            sums["counts"].append(_packed(out_n[mine], 4))
+            sums["known"].append(_packed(out_known[mine].astype(np.int64), 4))
+            sums["base"].append(out_base[mine].tobytes())
+            sums["score"].append(out_score[mine].astype(np.float32).tobytes())
+        out.append(_rows(GOT, kind=np.zeros(n_rows, np.int32), flush=flush, **sums))
+        return pa.concat_tables(out)
 
     return run
 
 
-GOT = {"kind": pa.int32(), "key": pa.int64(), "mark": pa.int32(), "word": pa.int64(), "n": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-GOT_SCHEMA = "kind int, key long, mark int, word long, n long, n_known long, base double, score double"
-
-
-def _got(kind: int, **columns: np.ndarray) -> pa.Table:
-    """Rows of one kind: 0 sums of a text, 1 followers that no trie knows, 2 training counts of words."""
-    size = len(next(iter(columns.values())))
-    return pa.table({k: pa.array(np.full(size, kind), t) if k == "kind" else pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in GOT.items()})
+def _summed(table: pa.Table) -> pa.Table:
+    """The sums of one flush's texts over all buckets."""
+    one = table.filter(pa.array(table["kind"].to_numpy() == 3))
+    keys, marks = one["keys"][0].values, one["marks"][0].values
+    sums = np.zeros((4, len(keys)))
+    for r in table.filter(pa.array(table["kind"].to_numpy() == 0)).select(["refs", "counts", "known", "base", "score"]).to_pylist():
+        at = np.cumsum(_unpacked(r["refs"], 4).astype(np.int64))
+        sums[0, at] += _unpacked(r["counts"], 4)
+        sums[1, at] += _unpacked(r["known"], 4)
+        sums[2, at] += np.frombuffer(r["base"])
+        sums[3, at] += np.frombuffer(r["score"], np.float32)
+    n, known = sums[:2].astype(np.int64)
+    return pa.table({"flush": pa.array(np.full(len(keys), one["flush"][0].as_py())), "ref": pa.array(np.arange(len(keys)), pa.int32()), "key": keys, "mark": marks, "n": n, "n_known": known, "base": sums[2], "score": sums[3]})
 
 
 def is_training(doc_id: Column) -> Column:
@@ -392,7 +438,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     often = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= total).orderBy(F.desc("n"), "word").limit(HOT).collect()
     share = {np.int64(r["word"]).view(np.uint64): r["n"] / total for r in often}
     hot = np.array(sorted(share), np.uint64)
-    classes = np.array([-(-int(share[x] * 2 * HOT) // 1) + 1 for x in hot], np.int64)
+    classes = np.array([int(share[x] * 2 * HOT) + 1 for x in hot], np.int64)
     exact = np.zeros(len(hot))
     if len(hot):
         found = {r["word"]: r["n"] for r in rows.select("train", "text").mapInArrow(_hot_counts(None, hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -407,10 +453,12 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     ends = spark.range(1).select(F.lit(END).cast("long").alias("word"), F.lit(n_train).cast("long").alias("c"))
     total_mass = float(np.log10(n + 0.1 * (v + 1)))
 
-    open_ = got.where("kind = 1").groupBy("key", "mark", "word").agg(F.sum("n").alias("n")).join(words.unionByName(ends), "word", "left")
-    open_ = open_.groupBy("key", "mark").agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - total_mass)).alias("open_score"))
-    sums = got.where("kind = 0").groupBy("key", "mark").agg(*(F.sum(x).alias(x) for x in ("n", "n_known", "base", "score")))
-    sums = materialize(sums.join(open_, ["key", "mark"], "left"), "text-scores")
+    open_ = got.where("kind = 1").groupBy("flush", "ref", "word").agg(F.sum("n").alias("n")).join(words.unionByName(ends), "word", "left")
+    open_ = open_.groupBy("flush", "ref").agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - total_mass)).alias("open_score"))
+    sums = got.where("kind in (0, 3)").groupBy("flush").applyInArrow(_summed, "flush long, ref int, key long, mark int, n long, n_known long, base double, score double")
+    # equal texts of several flushes have equal sums but for what was open
+    sums = sums.join(open_, ["flush", "ref"], "left").groupBy("key", "mark").agg(*(F.first(x).alias(x) for x in ("n", "n_known", "base")), F.max(F.col("score") + F.coalesce("open_score", F.lit(0.0))).alias("score"))
+    sums = materialize(sums, "text-scores")
     end = float(np.log10(n_train + 0.1)) - total_mass
     out = rows.select("id", "train", "key", "mark").join(sums, ["key", "mark"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -423,7 +471,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
         (F.coalesce("n_known", F.lit(0)) + int(n_train > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (zero(F.col("base")) - count * total_mass + end).alias("base_score"),
-        (zero(F.col("score")) + zero(F.col("open_score")) + first).alias("score"),
+        (zero(F.col("score")) + first).alias("score"),
     )
 
 

@@ -11,7 +11,7 @@
 4. A bucket whose members aren't yet in one component may hold more links. Its members'
    exact distances to the first centre rule out most pairs, as Jaccard distance obeys the
    triangle inequality, and so do the shingles that a node shares with no other component.
-   For the others more members become centres, four times as many in each round, against
+   For the others more members become centres, 16 times as many in each round, against
    the members of other components; so links between any two members of a bucket are
    found, while a group of copies never emits its pairs.
 
@@ -162,7 +162,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     members = materialize(members.join(first.select("key", F.col("s.node").alias("centre"), F.col("s.n").alias("cn")), "key"), "buckets")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     pairs = members.where((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", thin=True)
 
     wanted = members.select("node").distinct().join(sketched.groupBy("node").agg(F.min("id").alias("id")), "node").select("id").distinct()
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
@@ -170,20 +170,20 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     linked = (100 * F.col("common") >= percent * F.col("either")) & (F.col("either") > 0)
-    seen = materialize(_confirmed(pairs, sets), "confirmed")
+    seen = materialize(_confirmed(pairs, sets), "confirmed", thin=True)
     stars = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("d"), F.col("common").cast("long").alias("inside"))
     members = members.join(stars, ["centre", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d")))
     # inside: how many shingles a member has in common with its bucket's centre; all of its own where that wasn't counted
     members = materialize(members.select("key", "node", "n", "centre", "d", F.coalesce("inside", "n").alias("inside")), "buckets")
     links = seen.where(linked).select("a", "b")
-    labels = materialize(connected_components(links, "a", "b"), "labels")
+    labels = materialize(connected_components(links, "a", "b"), "labels", thin=True)
 
-    reach, centres = 1 - percent / 100 + 1e-9, 4
+    reach, centres = 1 - percent / 100 + 1e-9, 8
     while True:
-        open_ = materialize(_unsettled(members, labels, reach), "buckets")
+        open_ = materialize(_unsettled(members, labels, reach), "buckets", thin=True)
         if open_.isEmpty():
             break
-        open_ = materialize(_bounded(open_, sets, percent), "buckets")
+        open_ = materialize(_bounded(open_, sets, percent), "buckets", thin=True)
         chosen = open_.where((F.col("left") <= FEW) | (F.pmod(F.xxhash64("node", F.lit(centres)), F.col("left")) < centres))
         c = chosen.select("key", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "label", "d", "inside", "shared", "outside")))
         near = F.coalesce(F.abs(F.col("c_d") - F.col("d")) <= reach, F.lit(True))
@@ -193,17 +193,17 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
         pairs = open_.join(c, "key").where((F.col("label") != F.col("c_label")) & fits(F.col("n"), F.col("c_n")) & near)
         pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(pairs, "pairs", thin=True)
         if not pairs.isEmpty():
-            fresh = materialize(_confirmed(pairs, sets), "confirmed")
+            fresh = materialize(_confirmed(pairs, sets), "confirmed", thin=True)
             seen = seen.unionByName(fresh)
             found = fresh.where(linked).select("a", "b")
             if not found.isEmpty():
                 stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                labels = materialize(connected_components(stars.unionByName(found), "a", "b"), "labels")
+                labels = materialize(connected_components(stars.unionByName(found), "a", "b"), "labels", thin=True)
         # a centre is settled against all others of its bucket
         members = open_.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "centre", "d", "inside")
-        centres *= 4
+        centres *= 16
 
     each = sketched.select("id", "n", "node").join(labels, "node", "left")
     each = each.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
@@ -247,15 +247,15 @@ def _bounded(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = many.select("node", "n", F.xxhash64("label").alias("label")).distinct()
     rows = sets.join(nodes, "node").select("node", "n", "label", F.explode("members").alias("m"))
     common = rows.groupBy("m").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
-    shared = rows.select("node", "n", "m").join(materialize(common, "common"), "m").groupBy("node", "n").agg(F.collect_list("m").alias("ms"))
+    shared = rows.select("node", "n", "m").join(materialize(common, "common", thin=True), "m").groupBy("node", "n").agg(F.collect_list("m").alias("ms"))
     shared = materialize(shared.where(100 * F.size("ms") >= percent * F.col("n")).select("node", "ms"), "sharing")
     of = many.select("centre", "node").distinct().join(shared, "node").join(sets.select(F.col("node").alias("centre"), "members"), "centre")
     of = of.select("centre", "node", F.size("ms").cast("long").alias("shared"), F.size(F.array_except("ms", "members")).cast("long").alias("outside"))
-    many = materialize(many.join(of, ["centre", "node"]), "buckets")
+    many = materialize(many.join(of, ["centre", "node"]), "buckets", thin=True)
     # a partner has as many shingles as the least of the bucket, or more
     least = many.groupBy("key").agg(F.min("n").alias("least"))
     could = 100 * F.col("shared") >= percent * (F.col("n") + F.greatest("least", "shared") - F.col("shared"))
-    many = materialize(many.join(least, "key").where(could).drop("least"), "buckets")
+    many = materialize(many.join(least, "key").where(could).drop("least"), "buckets", thin=True)
     left = many.groupBy("key").agg(F.count("*").alias("left"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "left")
     return few.unionByName(many.join(left, "key"), allowMissingColumns=True)
 
