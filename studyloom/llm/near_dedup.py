@@ -156,7 +156,8 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     kind = rows.schema["id"].dataType.simpleString()
     sketched = materialize(rows.mapInArrow(_sketched(width), f"id {kind}, n long, node binary, bands array<long>"), "sketches")
     nodes = sketched.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = materialize(nodes.select("node", "n", F.explode("bands").alias("key")), "buckets")
+    nodes = materialize(nodes, "nodes")
+    members = nodes.select("node", "n", F.explode("bands").alias("key"))
     # stars: the member with the least hash is a bucket's centre
     first = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node", "n")).alias("s")).where("c > 1")
     members = materialize(members.join(first.select("key", F.col("s.node").alias("centre"), F.col("s.n").alias("cn")), "key"), "buckets")
@@ -164,7 +165,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     pairs = members.where((F.col("node") != F.col("centre")) & fits(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(pairs, "pairs", thin=True)
 
-    wanted = members.select("node").distinct().join(sketched.groupBy("node").agg(F.min("id").alias("id")), "node").select("id").distinct()
+    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select("id").distinct()
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_full_sets(width), "node binary, members array<long>")
     sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
