@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studyloom.plans import documents, events, relational
+from studyloom.plans import documents, events, learning, relational
 
-BOOKS = (documents.BOOK, events.BOOK, relational.BOOK)
+BOOKS = (documents.BOOK, events.BOOK, learning.BOOK, relational.BOOK)
 QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
 ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
 FLAGSHIP = "near_duplicate_report"
