@@ -405,7 +405,7 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # about four times the sample by a bound on the hash, so that no task returns a sample of its own
     share = min(1.0, 4 * sample / max(1, rows.count()))
     hashed = F.xxhash64("page_id")
-    chosen = rows.where("html is not null").where(hashed <= F.lit(int((2 * share - 1) * (2**63 - 1)))).orderBy(hashed, "page_id").limit(sample)
+    chosen = rows.where("html is not null").where(F.shiftrightunsigned(hashed, 11) <= int(share * 2**53)).orderBy(hashed, "page_id").limit(sample)
     examples = [(r["page_id"], r["html"]) for r in chosen.collect()]
     kind = rows.schema["page_id"].dataType.simpleString()
     model = train(examples or [(0, "<article><p>none</p></article>")])
