@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from studyloom.session import materialize
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every upper end has one edge and no node is both an upper and a lower end."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("low")))))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up + low > 1 and up > 0").isEmpty()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -30,15 +31,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     a, b = F.col(src), F.col(dst)
     edges = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialize(edges, "edges", thin=True)
-    mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _with_least(materialize(large, "edges", thin=True))
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = materialize(small.select(F.inline(pairs)).where("u != v").distinct(), "edges", thin=True)
-        last, mark = mark, _mark(edges)
-        if mark == last:
+        if _are_stars(edges):
             break
     least = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)
