@@ -161,3 +161,34 @@ def review_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool("facet", "signup", F.min("ts") + F.expr("INTERVAL 7 DAY")).unionByName(pool("item", "purchase", F.max("ts") + F.expr("INTERVAL 1 DAY"))).unionByName(pool("vault", "error", F.max("ts")))
     p = p.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
     return p.groupBy("pool").agg(F.count("*").alias("items"), F.count_if(F.col("due") <= F.col("now")).alias("due"))
+
+
+@BOOK.query("""
+WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS a, e.vec_id AS b, q.label = e.label AS same, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 20)
+SELECT a, b, CASE WHEN NOT same THEN 'language' WHEN c < 0.25 THEN 'similarity' WHEN (a + b) % 7 = 0 THEN 'rejected before' END AS failed_gate,
+  CASE WHEN NOT same OR c < 0.25 OR (a + b) % 7 = 0 THEN 'rejected' WHEN c >= 0.30 THEN 'proposal' ELSE 'suggestion' END AS outcome FROM k""")
+def dedup_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over the 20 nearest: same label, similarity 0.25, no earlier rejection (test data: ids that sum to a multiple of 7)."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    k = joins.nearest_neighbours(v.where(F.col("id") % 100 == 0), v, 20).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
+    label = lambda x: v.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
+    k = k.join(label("a"), "a").join(label("b"), "b")
+    failed = F.when(F.col("a_label") != F.col("b_label"), "language").when(F.col("similarity") < 0.25, "similarity").when((F.col("a") + F.col("b")) % 7 == 0, "rejected before")
+    outcome = F.when(failed.isNotNull(), "rejected").when(F.col("similarity") >= 0.30, "proposal").otherwise("suggestion")
+    return k.select("a", "b", failed.alias("failed_gate"), outcome.alias("outcome"))
+
+
+@BOOK.query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+t AS (SELECT doc_id, ws, ws[1:3] AS terms, unnest(range(0, greatest(1, len(ws)), 20)) AS start FROM w),
+h AS (SELECT doc_id, start, len(list_filter(ws[start + 1:start + 80], lambda x: list_contains(terms, x))) AS hits FROM t)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(hits AS BIGINT) AS hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, start) = 1""")
+def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window of 80 words, of those at every 20th, with most hits of a document's first three words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)).alias("ws"))
+    d = d.select("doc_id", "ws", F.slice("ws", 1, 3).alias("terms"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size("ws")) - 1, F.lit(20))).alias("start"))
+    hits = F.size(F.filter(F.slice("ws", F.col("start") + 1, F.lit(80)), lambda x: F.array_contains(F.col("terms"), x)))
+    h = d.select("doc_id", F.col("start").cast("long").alias("start"), hits.cast("long").alias("hits"))
+    return h.groupBy("doc_id").agg(F.max_by(F.struct("start", "hits"), F.struct(F.col("hits"), -F.col("start"))).alias("b")).select("doc_id", "b.start", "b.hits")
