@@ -311,8 +311,12 @@ def _dealt(n_buckets: int, hot: np.ndarray, classes: np.ndarray):
 
 
 def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found, which = np.unique(keys, return_inverse=True)
-    return found, which, np.bincount(which, weights, len(found))
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], which, np.bincount(which, weights, int(new.sum()))
 
 
 def _scored(hot: np.ndarray, hot_counts: np.ndarray):
@@ -361,11 +365,12 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
         high = number.astype(np.uint64) << _U(32)
         pair, pair_of, c2 = _distinct(high | w, weight)
         t1 = np.bincount((pair >> _U(32)).astype(np.int64), c2 > 0, len(contexts))
-        del pair_of
+        del pair_of  # only the counts are wanted
         left, left_of, cl = _distinct(high | np.concatenate(get("u", 3)), weight)
         del high, number
         triple, triple_of, c3 = _distinct(left_of.astype(np.uint64) << _U(32) | w, weight)
         del left_of, weight
+        triple_of = triple_of.astype(np.int32)
         t2 = np.bincount((triple >> _U(32)).astype(np.int64), c3 > 0, len(left))
         left_rank = np.cumsum(cl > 0) - 1
         low = _U(0xFFFFFFFF)
@@ -378,9 +383,13 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
                 (moved(left, cl > 0, rank), cl[cl > 0], t2[cl > 0]),
                 (moved(triple, c3 > 0, left_rank), c3[c3 > 0]),
             )
-            of = (triple >> _U(32)).astype(np.int64)
-            known, open_ = trie.score(contexts[(left[of] >> _U(32)).astype(np.int64)], left[of] & low, triple & low)
-            del trie, of
+            del pair, c2, t1, cl, t2, c3, rank, left_rank
+            known, open_ = np.zeros(len(triple), np.float32), np.zeros(len(triple), bool)
+            for lo in range(0, len(triple), 1 << 17):
+                part = triple[lo : lo + (1 << 17)]
+                of = left[(part >> _U(32)).astype(np.int64)]
+                known[lo : lo + len(part)], open_[lo : lo + len(part)] = trie.score(contexts[(of >> _U(32)).astype(np.int64)], of & low, part & low)
+            del trie, triple, left
         out_score += np.bincount(text, known[triple_of], n_text)
 
         # a text without a held-out copy trained all it holds; the others sent their followers' high half too
