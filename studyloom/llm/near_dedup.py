@@ -185,12 +185,16 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
         if open_.isEmpty():
             break
         open_ = materialize(_bounded(open_, sets, percent), "buckets", thin=True)
+        # a pair that shares several open buckets is formed in the least of them
+        homes = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        open_ = materialize(open_.join(homes, "node"), "buckets", thin=True)
         chosen = open_.where((F.col("left") <= FEW) | (F.pmod(F.xxhash64("node", F.lit(centres)), F.col("left")) < centres))
-        c = chosen.select("key", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "label", "d", "inside", "shared", "outside")))
+        c = chosen.select("key", *(F.col(x).alias(f"c_{x}") for x in ("node", "n", "label", "d", "inside", "shared", "outside", "keys")))
         near = F.coalesce(F.abs(F.col("c_d") - F.col("d")) <= reach, F.lit(True))
         # what the two can have in common at most: of the centre's shingles, and of the others
         most = F.least("shared", "c_shared", F.least("inside", "c_inside") + F.least("outside", "c_outside"))
         near &= 100 * most >= percent * (F.col("n") + F.col("c_n") - most)
+        near &= F.array_min(F.array_intersect("keys", "c_keys")) == F.col("key")
         pairs = open_.join(c, "key").where((F.col("label") != F.col("c_label")) & fits(F.col("n"), F.col("c_n")) & near)
         pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -202,7 +206,8 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
             if not found.isEmpty():
                 stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 labels = materialize(connected_components(stars.unionByName(found), "a", "b"), "labels", thin=True)
-        # a centre is settled against all others of its bucket
+        # a centre is settled against all others of its bucket, but for pairs that a lesser open
+        # bucket holds; those stay there until one of the two is a centre of that bucket
         members = open_.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "n", "centre", "d", "inside")
         centres *= 16
 
