@@ -46,8 +46,8 @@ from studyloom.llm import words as W
 from studyloom.llm.substring_dedup import _planes, _unplanes
 from studyloom.session import materialize
 
-BUCKET_BYTES = 16 << 20
-HELD_TOKENS = 1_500_000
+BUCKET_BYTES = 10 << 20
+HELD_TOKENS = 1_200_000
 HOT = 200
 DISCOUNT = 0.75
 _U = np.uint64
