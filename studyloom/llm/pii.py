@@ -1,6 +1,6 @@
 """PII: format-preserving Feistel pseudonyms, in SQL expressions only.
 
-Values are found by one pattern, validated, and replaced by a keyed permutation of their
+Values are found by patterns, in a few passes, validated, and replaced by a keyed permutation of their
 own format, so a value gets the same pseudonym in every document and two values never
 share one:
 
@@ -14,8 +14,14 @@ share one:
   characters) are no numbers; a keyed digest replaces the local part or the secret, in
   letters and digits, and keeps its length where it is a hexadecimal string.
 
-Numbers that fail their check are left alone. Permutations are ten-round Feistel networks
-over two halves of the digits (as in FF1), walked until the value is valid again.
+Cards and IBANs are looked for within runs of groups, as a check value, an order number or
+a word may stand next to them: of the parts that begin and end at a separator and pass the
+check, longer ones come first. A card that is only a part of its run has three or more
+digits in each group but the last, or lists of small numbers would be full of cards.
+
+Numbers that fail their check are left alone, and what they hold is searched on for the
+kinds that come later. Permutations are ten-round Feistel networks over two halves of the
+digits (as in FF1), walked until the value is valid again.
 
 Defined cases: null text stays null and an empty one empty; a text of any length is
 handled whole; rows are treated one by one; other columns, whatever their names, stay.
@@ -43,7 +49,11 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "phone": PHONE, "date": DATE, "ssn": SSN, "ipv4": IPV4, "card": CARD}
-ANY = "|".join(KINDS.values())
+#: What a pass looks for in the text that the passes before it left.
+PASSES = [("email", "secret"), ("iban",), ("phone", "date", "ssn", "ipv4"), ("card",)]
+#: All groups that a card or an IBAN may be a part of; possessive, so long ones don't recurse.
+CARD_RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:[ ][A-Z0-9]++(?![a-z]))*+"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,6 +109,10 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _card_digits(d: Column) -> Column:
+    return F.length(d).between(13, 19) & _luhn(d)
+
+
 def card(value: Column, key: str) -> Column:
     def renew(d: Column) -> Column:
         payload = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
@@ -118,19 +132,22 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _iban_letters(v: Column) -> Column:
+    account = F.substring(v, F.lit(5), F.length(v))
+    return (F.length(v) <= 34) & (_mod97(F.concat(account, F.substring(v, 1, 4))) == 1) & F.length(_digits(account)).between(4, 30)
+
+
 def iban(value: Column, key: str) -> Column:
     def renew(v: Column) -> Column:
         account = F.substring(v, F.lit(5), F.length(v))
         country = F.substring(v, 1, 2)
-        count = F.length(_digits(account))
 
         def checked(new: Column) -> Column:
             check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
             return _refill(value, F.concat(check, _digits(new)), 1)
 
         new = _refill(account, permute_digits(_digits(account), key, "iban"))
-        good = (F.length(v) <= 34) & (_mod97(F.concat(account, F.substring(v, 1, 4))) == 1) & count.between(4, 30)
-        return F.when(good, _let(new, checked)).otherwise(value)
+        return F.when(_iban_letters(v), _let(new, checked)).otherwise(value)
 
     return _let(F.regexp_replace(value, " ", ""), renew)
 
@@ -142,8 +159,12 @@ def phone(value: Column, key: str) -> Column:
     return _let(rest, lambda r: F.concat(head, _refill(r, permute_digits(_digits(r), key, "phone"))))
 
 
+def _ssn_digits(d: Column) -> Column:
+    return ~d.rlike("^(000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
+
+
 def ssn(value: Column, key: str) -> Column:
-    valid = lambda d: ~d.rlike("^(000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$")
+    valid = _ssn_digits
     walked = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(64)), permute_digits(d, key, "ssn"), lambda x, _: F.when(valid(x), x).otherwise(permute_digits(x, key, "ssn")))
     return _let(_digits(value), lambda d: F.when(valid(d), _let(walked(d), lambda w: _refill(value, w))).otherwise(value))
 
@@ -151,11 +172,15 @@ def ssn(value: Column, key: str) -> Column:
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 
+def _day(value: Column) -> Column:
+    parts = F.split(value, "[-./]")
+    text = F.when(value.rlike("^[0-9]{4}-"), value).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0]))
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+
+
 def date(value: Column, key: str) -> Column:
     """A day of 1900-2099 is a number below 73049; it's walked among five digits until it is one again."""
     iso = value.rlike("^[0-9]{4}-")
-    parts = F.split(value, "[-./]")
-    text = F.when(iso, value).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0]))
 
     def renew(day: Column) -> Column:
         once = lambda x: permute_digits(F.lpad(x, 5, "0"), key, "date")
@@ -164,7 +189,7 @@ def date(value: Column, key: str) -> Column:
         new = _let(F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), F.substring(value, 3, 1), F.date_format(d, "MM"), F.substring(value, 6, 1), F.date_format(d, "yyyy"))))
         return F.when(day.isNotNull(), new).otherwise(value)
 
-    return _let(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), renew)
+    return _let(_day(value), renew)
 
 
 def ipv4(value: Column, key: str) -> Column:
@@ -197,41 +222,113 @@ def secret(value: Column, key: str) -> Column:
 MAKERS = {"email": email, "secret": secret, "iban": iban, "phone": phone, "date": date, "ssn": ssn, "ipv4": ipv4, "card": card}
 
 
-def kind_of(value: Column) -> Column:
-    """The first kind whose whole pattern value matches."""
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(KINDS.items()):
-        found = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(found)
-    return found
+#: Whether a value of the right shape is one; shapes that aren't here always are.
+CHECKS = {
+    "date": lambda v: _day(v).isNotNull(),
+    "ssn": lambda v: _ssn_digits(_digits(v)),
+    "ipv4": lambda v: F.forall(F.split(v, "\\."), lambda x: x.cast("int") <= 255),
+}
 
 
-def pseudonym(value: Column, kind: Column, key: str) -> Column:
-    found = value
-    for name, make in MAKERS.items():
-        found = F.when(kind == name, make(value, key)).otherwise(found)
+def kind_of(value: Column, kinds: tuple[str, ...]) -> Column:
+    """The first of kinds whose whole pattern value matches."""
+    found = F.lit(kinds[-1])
+    for name in reversed(kinds[:-1]):
+        found = F.when(value.rlike(f"^(?:{KINDS[name]})$"), F.lit(name)).otherwise(found)
     return found
 
 
+def _by_kind(kind: Column, of: dict[str, Column], rest: Column) -> Column:
+    for name, result in of.items():
+        rest = F.when(kind == name, result).otherwise(rest)
+    return rest
+
+
+def _replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """text with change(match) for each match of pattern."""
+
+    def joined(gaps: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), found, lambda g, v: F.concat(g, change(v))), ""), F.element_at(gaps, -1))
+
+    return F.when(text.rlike(pattern), _let(F.split(text, pattern, -1), joined)).otherwise(text)
+
+
+def _parts_marked(run: Column, token: str, most: int, valid: Callable[[Column], Column], mark: Column) -> Column:
+    """run with mark around its valid parts of up to `most` tokens.
+
+    A part that meets a longer one which begins later gives way to it.
+    """
+
+    def marked(tokens: Column) -> Column:
+        n = F.size(tokens)
+        part = lambda i, k: F.regexp_replace(F.array_join(F.slice(tokens, i, k), ""), "^[ -]", "")
+        longest = lambda i: F.get(F.filter(F.sequence(F.least(F.lit(most), n - i + 1), F.lit(1), F.lit(-1)), lambda k: valid(part(i, k))), F.lit(0))
+        spans = F.transform(F.sequence(F.lit(1), n), lambda i: _let(longest(i), lambda k: F.struct(k.alias("k"), F.length(F.regexp_replace(part(i, F.coalesce(k, F.lit(0))), "[ -]", "")).alias("size"))))
+
+        def cut(spans: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                at = F.get(spans, i - 1)
+                beaten = F.exists(F.slice(spans, i + 1, F.greatest(at["k"] - 1, F.lit(0))), lambda x: x["k"].isNotNull() & (x["size"] > at["size"]))
+                take = (i >= acc["next"]) & at["k"].isNotNull() & ~F.coalesce(beaten, F.lit(False))
+                before = F.array_join(F.slice(tokens, acc["next"], F.greatest(i - acc["next"], F.lit(0))), "")
+                first = F.get(tokens, i - 1)
+                new = F.concat(before, F.regexp_extract(first, "^[ -]?", 0), mark, part(i, at["k"]), mark)
+                return F.struct(F.when(take, F.array_append(acc["out"], new)).otherwise(acc["out"]).alias("out"), F.when(take, i + at["k"]).otherwise(acc["next"]).alias("next"))
+
+            start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
+            return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.array_join(F.slice(tokens, acc["next"], n), "")))
+
+        return _let(spans, cut)
+
+    return _let(F.regexp_extract_all(run, F.lit(token), F.lit(0)), marked)
+
+
+def _marked(text: Column, kinds: tuple[str, ...], mark: Column) -> Column:
+    """text with mark before and after each valid value."""
+    around = lambda v: F.concat(mark, v, mark)
+    if kinds == ("iban",):
+        valid = lambda v: v.rlike(f"^(?:{IBAN})$") & _let(F.regexp_replace(v, " ", ""), _iban_letters)
+        return _replaced(text, IBAN_RUN, lambda run: _parts_marked(run, "[ ]?[A-Z0-9]+", 9, valid, mark))
+    if kinds == ("card",):
+        whole = lambda v: _let(_digits(v), _card_digits)
+        part = lambda v: v.rlike("^(?:[0-9]{3,}[ -])*[0-9]+$") & whole(v)
+        return _replaced(text, CARD_RUN, lambda run: F.when(whole(run), around(run)).otherwise(_parts_marked(run, "[ -]?[0-9]+", 7, part, mark)))
+
+    def checked(v: Column) -> Column:
+        return F.when(_by_kind(kind_of(v, kinds), {k: CHECKS[k](v) for k in kinds if k in CHECKS}, F.lit(True)), around(v)).otherwise(v)
+
+    return _replaced(text, "|".join(KINDS[k] for k in kinds), checked)
+
+
+def _values(text: Column, kinds: tuple[str, ...], mark: Column, key: str) -> Column:
+    """text as an array of (kind, value, pseudonym), kind null for what is no value."""
+
+    def one(v: Column, i: Column) -> Column:
+        new = _let(kind_of(v, kinds), lambda k: F.struct(k.alias("kind"), v.alias("value"), _by_kind(k, {x: MAKERS[x](v, key) for x in kinds}, v).alias("pseudonym")))
+        return F.when(i % 2 == 1, new).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), v.alias("value"), v.alias("pseudonym")))
+
+    return F.transform(F.split(_marked(text, kinds, mark), mark, -1), one)
+
+
 def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, name: str = "pii") -> DataFrame:
-    """docs with text replaced, and an array of (kind, value, pseudonym) that were found, under a free name.
+    """docs with text replaced, and an array of (kind, value, pseudonym) in text order, under a free name.
 
-    A text without a digit, @, = or : skips the search. What was found but fails its check
-    has pseudonym = value.
+    A text without a digit, @, = or : skips the search. What fails its check isn't listed.
     """
-    found_, kinds_, pii_, new_ = (free(docs.columns, x) for x in ("found_", "kinds_", "pii_", "new_"))
+    pii_, mark_ = (free(docs.columns, x) for x in ("pii_", "mark_"))
     value = F.col(f"`{text}`")
-    found = F.when(value.rlike("[0-9@=:]"), F.regexp_extract_all(value, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform(F.col(found_), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    pii = F.transform(F.col(kinds_), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    gaps = F.split(value, ANY, -1)
-    joined = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(pii_)), F.col(pii_), lambda g, p: F.concat(g, p["pseudonym"])), ""),
-        F.element_at(gaps, -1),
-    )
-    out = docs.withColumn(found_, found).withColumn(kinds_, kinds).withColumn(pii_, pii)
-    out = out.withColumn(new_, F.when(F.size(pii_) > 0, joined).otherwise(value))
-    shown = [F.col(new_).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*shown, F.coalesce(pii_, F.array().cast(out.schema[pii_].dataType)).alias(name))
+    # no text holds its own digest; its digits become letters, so that it is neither a number nor a pattern
+    mark = F.concat(F.lit("\u0001"), F.translate(F.md5(value), "0123456789", "ghijklmnop"))
+    out = docs.withColumn(mark_, mark)
+    found = F.when(value.rlike("[0-9@=:]"), F.array(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"), value.alias("pseudonym"))))
+    out = out.withColumn(pii_, found)
+    searched = lambda kinds: lambda x: F.when(x["kind"].isNotNull(), F.array(x)).otherwise(_values(x["value"], kinds, F.col(mark_), key))
+    for kinds in PASSES:
+        out = out.withColumn(pii_, F.flatten(F.transform(pii_, searched(kinds))))
+    new = F.when(F.size(pii_) > 1, F.array_join(F.transform(pii_, lambda x: x["pseudonym"]), "")).otherwise(value)
+    shown = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*shown, F.coalesce(F.filter(pii_, lambda x: x["kind"].isNotNull()), F.array().cast(out.schema[pii_].dataType)).alias(name))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

@@ -351,6 +351,33 @@ def test_pii_formats(spark):
     assert all(r["pii"] and r["pii"][0]["pseudonym"] != r["pii"][0]["value"] for r in again.collect())
 
 
+def test_pii_next_to_other_groups(spark):
+    visa, belgian = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    cases = [
+        ("4111111111111111 05/26", ["4111111111111111"]),
+        ("4111-1111-1111-1111 12/27", ["4111-1111-1111-1111"]),
+        (f"{visa} 123", [visa]),
+        (f"order 7 {visa}", [visa]),
+        (f"{visa} 5500 0000 0000 0004 12", [visa, "5500 0000 0000 0004"]),
+        (f"12 34 56 78 90 12 {visa}", [visa]),
+        (f"{visa} 2024-05-26 {visa} 10.0.0.1", [visa, "2024-05-26", visa, "10.0.0.1"]),
+        (f"{belgian} BIC", [belgian]),
+        (f"{belgian} 2024-05-26", [belgian, "2024-05-26"]),
+        (f"{belgian} {belgian} {belgian} XX12 {visa}", [belgian, belgian, belgian, visa]),
+        ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22", []),
+        ("12 " * 50000, []),
+        ("no number", []),
+    ]
+    out = pii.with_pseudonyms(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()
+    for r in out:
+        text, want = cases[r["doc_id"]]
+        assert [p["value"] for p in r["pii"]] == want
+        assert all(p["pseudonym"] != p["value"] for p in r["pii"])
+        for p in r["pii"]:
+            text = text.replace(p["value"], p["pseudonym"], 1)
+        assert r["text"] == text
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).collect()
     assert len({r["x"] for r in three}) == 1000
