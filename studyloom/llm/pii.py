@@ -7,8 +7,11 @@ share one:
 - payment cards of 13 to 19 digits that pass Luhn: the payload is permuted and its check
   digit computed anew; separators stay;
 - IBANs that pass mod 97: the digits of the account are permuted, check digits computed anew;
-- phone numbers, +country (area) number, and US social security numbers: their digits;
-- dates, year-month-day or day/month/year, from 1900 to 2099: to another day of that range;
+- phone numbers, + and 8 to 15 digits with blanks, dots, hyphens or brackets, or national as
+  (ddd) ddd-dddd and ddd-ddd-dddd, and US social security numbers: their digits, but for the
+  country code;
+- dates, year-month-day, day/month/year or, where that is no date, month/day/year, from 1900
+  to 2099: to another day of that range;
 - IPv4 addresses: to another address;
 - e-mail addresses and secrets (a name such as token or api_key, then = or : and 16 or more
   characters) are no numbers; a keyed digest replaces the local part or the secret, in
@@ -43,11 +46,18 @@ ROUNDS = 10
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 SECRET = r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_-]{16,256}[\"']?)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9])\+[0-9]{1,3}[ ]?\([0-9]{2,4}\)[ ]?[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])"
+_SEP = r"(?:[ .-]|[ .-]?[()][ .-]?)?"
+#: +cc (area) number; +1 and ten digits; + and 8 to 15 digits, which end before the groups of a card.
+_CARD_NEXT = r"[ ](?:(?:[0-9]{4}[ -]?){3}[0-9]|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4})"
+ABROAD = rf"(?<![0-9])\+(?:[0-9]{{1,3}}[ ]?\([0-9]{{2,4}}\)[ ]?[0-9]{{3,4}}[ -]?[0-9]{{3,4}}|1(?:{_SEP}[0-9]){{10}}|[0-9](?:(?!{_CARD_NEXT}){_SEP}[0-9]){{7,14}})(?![0-9])"
+#: (ddd) ddd-dddd and ddd-ddd-dddd, with or without 1 in front; with blanks alone, only if no digits are near.
+HOME = r"(?:(?<![0-9+])1[ .-]?)?(?<![0-9)])(?<!\+[0-9]{1,3}[ .-]?)\([0-9]{3}\)[ ]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9.+-])(?<!\+[0-9]{1,3}[ .-]?)(?:1[ .-])?[0-9]{3}(?:[.-][0-9]{3}[ .-]|[ ][0-9]{3}[.-])[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9.+-])(?<![0-9+)][ .-]?)[2-9][0-9]{2}[ ][2-9][0-9]{2}[ ][0-9]{4}(?![ .-]?[0-9])"
+PHONE = f"{ABROAD}|{HOME}"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: In the order of the report.
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "phone": PHONE, "date": DATE, "ssn": SSN, "ipv4": IPV4, "card": CARD}
 #: What a pass looks for in the text that the passes before it left.
 PASSES = [("email", "secret"), ("iban",), ("phone", "date", "ssn", "ipv4"), ("card",)]
@@ -153,10 +163,9 @@ def iban(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """The country code, the digits before the bracket, stays."""
-    head = F.substring_index(value, "(", 1)
-    rest = F.substring(value, F.length(head) + 1, F.length(value))
-    return _let(rest, lambda r: F.concat(head, _refill(r, permute_digits(_digits(r), key, "phone"))))
+    """The country code stays: 1 before a national number, or the digits before a bracket or separator, else 1, 7 or two digits."""
+    head = F.when(value.startswith("+"), F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?=[ .()-])|[17]|[0-9]{2})", 0)).otherwise(F.regexp_extract(value, r"^1(?=[ .(-])", 0))
+    return _let(head, lambda h: _let(F.substring(value, F.length(h) + 1, F.length(value)), lambda r: F.concat(h, _refill(r, permute_digits(_digits(r), key, "phone")))))
 
 
 def _ssn_digits(d: Column) -> Column:
@@ -172,21 +181,32 @@ def ssn(value: Column, key: str) -> Column:
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 
+def _month_first(value: Column) -> Column:
+    """Whether value is month/day/year: a slash date that is no day/month/year."""
+    return value.rlike("^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/")
+
+
 def _day(value: Column) -> Column:
     parts = F.split(value, "[-./]")
-    text = F.when(value.rlike("^[0-9]{4}-"), value).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0]))
+    text = F.when(value.rlike("^[0-9]{4}-"), value).when(_month_first(value), F.concat_ws("-", parts[2], parts[0], parts[1])).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0]))
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
 
 def date(value: Column, key: str) -> Column:
-    """A day of 1900-2099 is a number below 73049; it's walked among five digits until it is one again."""
-    iso = value.rlike("^[0-9]{4}-")
+    """A day of 1900-2099 is a number below 73049; it's walked among five digits until it is one again.
+
+    A month/day date becomes another day after the 12th, so it can't be read as day/month.
+    """
+    iso, us = value.rlike("^[0-9]{4}-"), _month_first(value)
+    at = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
 
     def renew(day: Column) -> Column:
         once = lambda x: permute_digits(F.lpad(x, 5, "0"), key, "date")
+        good = lambda x: (x.cast("int") < DAYS) & (~us | (F.dayofmonth(at(x)) > 12))
         start = once(F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("string"))
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, lambda x, _: F.when(x.cast("int") < DAYS, x).otherwise(once(x)))
-        new = _let(F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), F.substring(value, 3, 1), F.date_format(d, "MM"), F.substring(value, 6, 1), F.date_format(d, "yyyy"))))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, lambda x, _: F.when(good(x), x).otherwise(once(x)))
+        shown = lambda d, a, b: F.concat(F.date_format(d, a), F.substring(value, 3, 1), F.date_format(d, b), F.substring(value, 6, 1), F.date_format(d, "yyyy"))
+        new = _let(at(walked), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(us, shown(d, "MM", "dd")).otherwise(shown(d, "dd", "MM")))
         return F.when(day.isNotNull(), new).otherwise(value)
 
     return _let(_day(value), renew)

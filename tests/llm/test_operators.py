@@ -378,6 +378,25 @@ def test_pii_next_to_other_groups(spark):
         assert r["text"] == text
 
 
+def test_pii_phones_and_us_dates(spark):
+    phones = ["+1 202-555-0143", "+44 20 7946 0958", "+44 (0)20 7946 0958", "(202) 555-0143", "202-555-0143", "202.555.0143", "202 555 0143", "1-202-555-0143", "+12025550143", "+49 30 901820"]
+    visa = "4111 1111 1111 1111"
+    cases = [(p, [("phone", p)]) for p in phones] + [(f"call {p}. {visa}, {visa} {p}", [("phone", p), ("card", visa), ("card", visa), ("phone", p)]) for p in ("+1 202-555-0143", "202-555-0143", "(202) 555-0143")]
+    cases += [(f"{p} {visa}", [("phone", p), ("card", visa)]) for p in ("+1 202-555-0143", "+49 30 901820", "(202) 555-0143")]
+    cases += [(d, [("date", d)]) for d in ("12/31/1999", "01/12/1999", "02/29/2024")]
+    cases += [(t, []) for t in ("13/31/1999", "02/30/2023", "12.31.1999", "100 200 300 400", "1-2-3", "555-0143", "1 234 567 890 123", "+1 234")]
+    out = {r["doc_id"]: r for r in pii.with_pseudonyms(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert [(p["kind"], p["value"]) for p in out[i]["pii"]] == want
+        for p in out[i]["pii"]:
+            assert p["pseudonym"] != p["value"] and re.sub("[0-9]", "9", p["pseudonym"]) == re.sub("[0-9]", "9", p["value"])
+    # one number has one pseudonym, however it is written
+    assert len({re.sub("[^0-9]", "", out[i]["pii"][0]["pseudonym"])[-10:] for i in (0, 3, 4, 5, 6, 7, 8)}) == 1
+    us = [f"{m:02}/{d:02}/2001" for m in (1, 5, 12) for d in range(13, 32) if (m, d) != (2, 30)]
+    new = [r["x"] for r in spark.createDataFrame([(x,) for x in us], "d string").select(pii.date(F.col("d"), "k").alias("x")).collect()]
+    assert len(set(new)) == len(us) and all(int(x[:2]) <= 12 < int(x[3:5]) for x in new)
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).collect()
     assert len({r["x"] for r in three}) == 1000
