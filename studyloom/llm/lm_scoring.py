@@ -16,8 +16,10 @@ bucket of its word; equal texts of a task travel once. So a bucket holds all cou
 contexts, builds its trie in a temporary file, maps it into memory and scores the same
 positions against it; it returns sums for each text. Words that fill more than 1/HOT of
 the corpus, HOT at most, are dealt over several buckets by a class of their left
-neighbour, and each class is a context of its own. What no trie knows goes through one
-more join for c(w). Neighbours are kept as hashes, 24 bits for u and 32 for w.
+neighbour. Each class holds all of its u, so its counts of u,v,w are whole; its counts of
+v,w are summed over the classes, and what follows no known u,v is joined with those sums.
+What no trie knows goes through one more join for c(w). Neighbours are kept as hashes of
+32 bits.
 
 Trie. Level one has the sorted context words; level two the followers of each context and
 its left neighbours; level three the followers of each left neighbour. A level is one
@@ -139,8 +141,8 @@ class Trie:
         quantise(np.log10(np.maximum(probability, 1e-12))).tofile(path)
         return np.memmap(path, np.uint8, "r") if len(probability) else np.zeros(0, np.uint8)
 
-    def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of what the trie knows, and whether c(w) has to be multiplied in."""
+    def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of what the trie knows, and whether c(w), or for hot contexts the term of v,w, has to be multiplied in."""
         out, open_ = np.zeros(len(v)), np.ones(len(v), bool)
         context = self.words.find(v)
 
@@ -156,11 +158,12 @@ class Trie:
         open_ &= ~hit
         miss = open_ & (left >= 0)
         out[miss] += unquantise(self.codes["back2"][left[miss]])
-        pair = level(np.flatnonzero(open_ & (context >= 0)), context, w, self.pairs)
+        single = ~hot & (context >= 0)
+        pair = level(np.flatnonzero(open_ & single), context, w, self.pairs)
         hit = pair >= 0
         out[hit] += unquantise(self.codes["pair"][pair[hit]])
         open_ &= ~hit
-        miss = open_ & (context >= 0)
+        miss = open_ & single
         out[miss] += unquantise(self.codes["back1"][context[miss]])
         return out, open_
 
@@ -255,7 +258,7 @@ class _Held:
                     "words": _packed(v[mine][new], 8),
                     "spread": _packed(spread[mine][new], 2),
                     "runs": _packed(np.diff(np.append(np.flatnonzero(new), len(c))), 4),
-                    "u": _packed(W.mix(u[mine]), 3),
+                    "u": _packed(W.mix(u[mine]), 4),
                     "w": _packed(w[mine], 4),
                     "ref": _packed(np.diff(text[mine], prepend=0), 3),
                     "first": _packed(first[mine], 1),
@@ -282,9 +285,9 @@ LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 #: What tasks send to a bucket: a row of positions for each flush, or a flush's texts.
 SENT = {"bucket": pa.int32(), "flush": pa.int64(), "keys": LONGS, "marks": INTS} | dict.fromkeys("train test words spread runs u w ref first held".split(), pa.binary())
 SENT_SCHEMA = "bucket int, flush long, keys array<long>, marks array<int>, train binary, test binary, words binary, spread binary, runs binary, u binary, w binary, ref binary, first binary, held binary"
-#: What a bucket returns. Kind 0: sums for a flush's texts; 1: a follower that no trie knows; 2: a word's training count; 3: a flush's texts.
-GOT = {"kind": pa.int32(), "flush": pa.int64(), "keys": LONGS, "marks": INTS, "ref": pa.int32(), "word": pa.int64(), "n": pa.int64()} | dict.fromkeys("refs counts known base score".split(), pa.binary())
-GOT_SCHEMA = "kind int, flush long, keys array<long>, marks array<int>, ref int, word long, n long, refs binary, counts binary, known binary, base binary, score binary"
+#: What a bucket returns. Kind 0: sums for a flush's texts; 1: a follower that no trie knows; 2: a word's training count; 3: a flush's texts; 4: a follower of a hot word prev whose u,v,w is unknown; 5: a class's count of a hot word and a follower's 32 bits.
+GOT = {"kind": pa.int32(), "flush": pa.int64(), "keys": LONGS, "marks": INTS, "ref": pa.int32(), "prev": pa.int64(), "word": pa.int64(), "n": pa.int64()} | dict.fromkeys("refs counts known base score".split(), pa.binary())
+GOT_SCHEMA = "kind int, flush long, keys array<long>, marks array<int>, ref int, prev long, word long, n long, refs binary, counts binary, known binary, base binary, score binary"
 
 
 def _row(values: dict, schema: dict) -> pa.RecordBatch:
@@ -347,10 +350,11 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
         del word, which, runs
         c1 = np.bincount(number, weight, len(contexts))
         n_text = int(skip[-1])
-        unigram = c1.copy()
+        unigram, is_hot = c1.copy(), np.zeros(len(contexts), bool)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-            unigram = np.where(hot[at] == words, hot_counts[at], unigram)
+            is_hot = hot[at] == words
+            unigram = np.where(is_hot, hot_counts[at], unigram)
         base = np.log10(unigram + 0.1)[number]
         first = np.concatenate(get("first", 1)).astype(bool)
         out_n = np.bincount(text, minlength=n_text)
@@ -366,7 +370,11 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
         pair, pair_of, c2 = _distinct(high | w, weight)
         t1 = np.bincount((pair >> _U(32)).astype(np.int64), c2 > 0, len(contexts))
         del pair_of  # only the counts are wanted
-        left, left_of, cl = _distinct(high | np.concatenate(get("u", 3)), weight)
+        of_hot = is_hot[(pair >> _U(32)).astype(np.int64)]
+        at = np.flatnonzero(of_hot & (c2 > 0))
+        out.append(_rows(GOT, kind=np.full(len(at), 5), prev=words[(pair[at] >> _U(32)).astype(np.int64)].view(np.int64), word=(pair[at] & _U(0xFFFFFFFF)).view(np.int64), n=c2[at].astype(np.int64)))
+        of_hot = ~of_hot & (c2 > 0)
+        left, left_of, cl = _distinct(high | np.concatenate(get("u", 4)), weight)
         del high, number
         triple, triple_of, c3 = _distinct(left_of.astype(np.uint64) << _U(32) | w, weight)
         del left_of, weight
@@ -379,16 +387,18 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
             trie = Trie(
                 folder,
                 (contexts[seen], c1[seen], t1[seen]),
-                (moved(pair, c2 > 0, rank), c2[c2 > 0]),
+                (moved(pair, of_hot, rank), c2[of_hot]),
                 (moved(left, cl > 0, rank), cl[cl > 0], t2[cl > 0]),
                 (moved(triple, c3 > 0, left_rank), c3[c3 > 0]),
             )
-            del pair, c2, t1, cl, t2, c3, rank, left_rank
+            del pair, of_hot, c2, t1, cl, t2, c3, rank, left_rank
             known, open_ = np.zeros(len(triple), np.float32), np.zeros(len(triple), bool)
             for lo in range(0, len(triple), 1 << 17):
                 part = triple[lo : lo + (1 << 17)]
                 of = left[(part >> _U(32)).astype(np.int64)]
-                known[lo : lo + len(part)], open_[lo : lo + len(part)] = trie.score(contexts[(of >> _U(32)).astype(np.int64)], of & low, part & low)
+                at = (of >> _U(32)).astype(np.int64)
+                known[lo : lo + len(part)], open_[lo : lo + len(part)] = trie.score(contexts[at], of & low, part & low, is_hot[at])
+            context_of = (left >> _U(32)).astype(np.int32)[(triple >> _U(32)).astype(np.int64)]  # of each triple
             del trie, triple, left
         out_score += np.bincount(text, known[triple_of], n_text)
 
@@ -397,7 +407,8 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray):
         w[held] |= np.concatenate(get("held", 4)) << _U(32)
         at = np.flatnonzero(open_[triple_of])
         flush = table["flush"].to_numpy()
-        out.append(_rows(GOT, kind=np.full(len(at), 1), flush=flush[row_of[at]], ref=text[at] - skip[row_of[at]], word=w[at].view(np.int64), n=np.ones(len(at), np.int64)))
+        v = context_of[triple_of[at]]
+        out.append(_rows(GOT, kind=np.where(is_hot[v], 4, 1), flush=flush[row_of[at]], ref=text[at] - skip[row_of[at]], prev=words[v].view(np.int64), word=w[at].view(np.int64), n=np.ones(len(at), np.int64)))
         out.append(_rows(GOT, kind=np.full(len(seen), 2), word=words[seen].view(np.int64), n=c1[seen].astype(np.int64)))
         sums = {k: [] for k in ("refs", "counts", "known", "base", "score")}
         for i in range(n_rows):
@@ -462,8 +473,21 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     ends = spark.range(1).select(F.lit(END).cast("long").alias("word"), F.lit(n_train).cast("long").alias("c"))
     total_mass = float(np.log10(n + 0.1 * (v + 1)))
 
-    open_ = got.where("kind = 1").groupBy("flush", "ref", "word").agg(F.sum("n").alias("n")).join(words.unionByName(ends), "word", "left")
-    open_ = open_.groupBy("flush", "ref").agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - total_mass)).alias("open_score"))
+    # the bigrams of frequent words, over all classes; at most HOT rows of totals
+    pairs = materialize(got.where("kind = 5").groupBy("prev", "word").agg(F.sum("n").alias("c2")), "hot-pairs")
+    followers = {r["prev"]: r["t"] for r in pairs.groupBy("prev").agg(F.count("*").alias("t")).collect()}
+    totals = [(x, float(c), followers.get(x, 0)) for x, c in zip(hot.view(np.int64).tolist(), exact.tolist()) if c > 0]
+    totals = F.broadcast(spark.createDataFrame(totals, "prev long, c1 double, t1 long"))
+    coded = lambda p: F.rint(F.greatest(F.log10(p), F.lit(LOWEST)) * (CODES / LOWEST)) * (LOWEST / CODES)
+    after = got.where("kind = 4").select("flush", "ref", "prev", "word", "n", F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+    after = after.join(pairs.select("prev", F.col("word").alias("low"), "c2"), ["prev", "low"], "left").join(totals, "prev", "left")
+    term = F.when(F.col("c2").isNotNull(), coded((F.col("c2") - DISCOUNT) / F.col("c1"))).when(F.col("c1").isNotNull(), coded(DISCOUNT * F.col("t1") / F.col("c1"))).otherwise(0.0)
+    after = materialize(after.select("flush", "ref", F.when(F.col("c2").isNull(), F.col("word")).alias("word"), "n", (F.col("n") * term).alias("term")), "after-hot")
+
+    unknown = got.where("kind = 1").select("flush", "ref", "word", "n").unionByName(after.where("word is not null").select("flush", "ref", "word", "n"))
+    open_ = unknown.groupBy("flush", "ref", "word").agg(F.sum("n").alias("n")).join(words.unionByName(ends), "word", "left")
+    open_ = open_.select("flush", "ref", (F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - total_mass)).alias("term"))
+    open_ = open_.unionByName(after.select("flush", "ref", "term")).groupBy("flush", "ref").agg(F.sum("term").alias("open_score"))
     sums = got.where("kind in (0, 3)").groupBy("flush").applyInArrow(_summed, "flush long, ref int, key long, mark int, n long, n_known long, base double, score double")
     # equal texts of several flushes have equal sums but for what was open
     sums = sums.join(open_, ["flush", "ref"], "left").groupBy("key", "mark").agg(*(F.first(x).alias(x) for x in ("n", "n_known", "base")), F.max(F.col("score") + F.coalesce("open_score", F.lit(0.0))).alias("score"))

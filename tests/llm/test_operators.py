@@ -285,6 +285,51 @@ def test_lm_scoring(docs, odd):
     assert lm_scoring.scores_report(rows.limit(0)).count() == 0
 
 
+def test_lm_scores_of_frequent_words(spark):
+    """Whole scores against plain counts; nearly every word fills more than 1/HOT of the corpus."""
+    rng = random.Random(3)
+    vocabulary = ["the"] * 60 + [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    tokens = {i: [*words(t), "\0end"] for i, t in rows}
+    training = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10}
+    c, pair, left, triple = Counter(), Counter(), Counter(), Counter()
+    for i in training:
+        c.update(tokens[i])
+        u, v = None, None
+        for w in tokens[i]:
+            if v is not None:
+                pair[v, w] += 1
+                left[u, v] += 1
+                triple[u, v, w] += 1
+            u, v = v, w
+    n, size = sum(c.values()), len(c)
+    count, t1, t2 = Counter(), Counter(v for v, _ in pair), Counter((u, v) for u, v, _ in triple)
+    for (v, _), k in pair.items():
+        count[v] += k
+    code = lambda p: float(lm_scoring.unquantise(lm_scoring.quantise(np.log10(p))))
+
+    def score(text):
+        total, u, v = 0.0, None, None
+        for w in text:
+            one = float(np.log10((c[w] + 0.1) / (n + 0.1 * (size + 1))))
+            if v is not None:
+                if triple[u, v, w]:
+                    one = code((triple[u, v, w] - 0.75) / left[u, v])
+                else:
+                    if pair[v, w]:
+                        one = code((pair[v, w] - 0.75) / count[v])
+                    elif count[v]:
+                        one += code(0.75 * t1[v] / count[v])
+                    if left[u, v]:
+                        one += code(0.75 * t2[u, v] / left[u, v])
+            total += one
+            u, v = v, w
+        return total
+
+    out = {r["doc_id"]: r for r in lm_scoring.scores_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [out[i]["score"] for i, _ in rows] == pytest.approx([score(tokens[i]) for i, _ in rows], abs=1e-3)
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 1), (1000, 1 << 16), (5000, 1 << 60), (300, 300)):
