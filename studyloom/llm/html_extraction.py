@@ -42,10 +42,16 @@ LABEL = re.compile(r"\bdata-y=(\d)")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas audio video".split())
+#: Elements whose content is no text of the page: what browsers don't show, and controls; a button only in a form.
+SILENT = frozenset("script style noscript template head title iframe select option textarea button canvas audio video annotation annotation-xml desc metadata".split())
+SHOWN_BUTTON = "button outside a form"
+#: What may stand in a head; anything else, text too, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr object".split())
+#: Formulas and drawings, whose text runs on in the line.
+INLINE |= frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= frozenset("svg circle clippath defs ellipse filter g line lineargradient marker mask path pattern polygon polyline radialgradient rect stop switch symbol text textpath tspan use".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
@@ -113,13 +119,15 @@ def parse(page: str) -> list[Node]:
         for tag, _ in stack[to:]:
             silent -= tag in SILENT
             links -= tag == "a"
-        if any(tag not in INLINE for tag, _ in stack[to:]):
+        if any(tag not in INLINE and tag != SHOWN_BUTTON for tag, _ in stack[to:]):
             flush()
         del stack[to:]
 
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
+        if stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
+            close(len(stack) - 1)
         if stop > at and not silent:
             piece = page[at:stop]
             text.append(piece)
@@ -134,12 +142,16 @@ def parse(page: str) -> list[Node]:
         tag = tag.lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k][0] == tag or tag == "button" and stack[k][0] == SHOWN_BUTTON:
                     close(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        if tag == "head" and any(x.tag != "html" for x in nodes[1:3]):
+            continue  # only the first, before the body, is one
         if tag == "br":
             text.append(" ")
             continue
@@ -163,9 +175,12 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] in within:
                     break
-        if tag in INLINE:
-            nodes[stack[-1][1]].tags += 1
-            stack.append((tag, stack[-1][1]))
+        if tag in INLINE or tag == "button" and all(t != "form" for t, _ in stack):
+            nodes[stack[-1][1]].tags += tag != "button"
+            nodes[stack[-1][1]].inputs += tag == "button"
+            if tag in ("button", "mtd", "text"):
+                text.append(" ")
+            stack.append((SHOWN_BUTTON if tag == "button" else tag, stack[-1][1]))
             links += tag == "a"
             continue
         if tag in SILENT:

@@ -464,6 +464,17 @@ def test_html_extraction(spark):
     assert html_extraction.extraction_report(pages.limit(0)).count() == 0
 
 
+def test_html_text_of_heads_and_shown_elements():
+    text = lambda page: [t for _, t in sorted(x for n in html_extraction.parse(page) for x in n.items)]
+    for opened in ("<body><article>", "<article>", "<body>", ""):
+        assert text(f"<html><head><title>t</title><meta charset=x><style>a{{}}</style>{opened}<p>text</p>") == ["text"]
+    assert text("<head><title>t</title> plain text") == ["plain text"]
+    assert text("<head><template><p>no</p></template><title>t</title></head><body><p>a<head>b</p>") == ["ab"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object data=x>this</object> <button>go</button><button>on</button></p><p>next</p>") == ["if x=2 then this go on", "next"]
+    assert text("<form><p>ask</p><button>send</button></form><p><svg><title>t</title><path d=x></path><text>a</text><text>b</text></svg> c</p>") == ["ask", "a b c"]
+    assert text("<div><button>go</button></div><form><button>no</button></form><p>x</p>") == ["go", "x"]
+
+
 def test_html_held_out_layouts():
     """Pages set in layouts drawn anew: nearly all blocks are right."""
     rng = random.Random(42)
