@@ -130,3 +130,10 @@ def test_csv_import(spark, tmp_path):
     path.write_text('CanonicalTitle,Topic,notes\n"A, ""quoted""",t,"two\nlines"\n,t,x\n')
     got = readers.read_concepts_csv(spark, str(path)).collect()
     assert [(r["canonical_title"], r["topic"]) for r in got] == [('A, "quoted"', "t")]
+
+
+def test_overlaps_just_after_a_border(spark):
+    r = spark.createDataFrame([(1, 7000.0, 7200.5), (2, 7199.0, 7200.0), (3, 7200.1, 7200.3), (4, 14400.2, 14500.0)], "id long, start double, end double")
+    g = spark.createDataFrame([(1, 7200.2, 14400.2), (2, 7200.0, 7200.6), (3, 100.0, 7200.1), (4, 14399.5, 14400.3)], "region long, r_start double, r_end double")
+    want = sorted((x["id"], y["region"]) for x in r.collect() for y in g.collect() if x["start"] < y["r_end"] and x["end"] > y["r_start"])
+    assert sorted((x["id"], x["region"]) for x in joins.overlap_join(r, g, 7200.0).collect()) == want
