@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from studyloom.operators.ranking import global_rank
+
 #: The format of each file ending.
 FORMATS = {"pdf": "pdf", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "txt": "text", "csv": "csv", "json": "json"}
 
@@ -21,10 +23,11 @@ def format_of(name: Column) -> Column:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_id, path, format, text) of whole text files, f1, f2, ... by path."""
+    """(file_id, path, format, text) of whole text files, f1, f2, ... by path; a file named twice has one number."""
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    order = Window.orderBy("path")  # as many rows as files named
-    return files.select(F.concat(F.lit("f"), F.row_number().over(order)).alias("file_id"), "path", format_of(F.col("path")).alias("format"), "text")
+    # only the paths are ranked; the texts stay where they were read
+    numbers = global_rank(files.select("path").distinct(), [F.col("path")], "number")
+    return files.join(numbers, "path").select(F.concat(F.lit("f"), "number").alias("file_id"), "path", format_of(F.col("path")).alias("format"), "text")
 
 
 BOUNDARY = "^(CONTENTS|TABLE OF CONTENTS|(Letter|Chapter|CHAPTER)\\s+[0-9IVXLC]+.*|[0-9]+(\\.[0-9]+)*\\.?\\s+[A-Z].{0,80}|[A-Z][A-Z0-9 ,.'\\-]{3,80})$"

@@ -137,3 +137,13 @@ def test_overlaps_just_after_a_border(spark):
     g = spark.createDataFrame([(1, 7200.2, 14400.2), (2, 7200.0, 7200.6), (3, 100.0, 7200.1), (4, 14399.5, 14400.3)], "region long, r_start double, r_end double")
     want = sorted((x["id"], y["region"]) for x in r.collect() for y in g.collect() if x["start"] < y["r_end"] and x["end"] > y["r_start"])
     assert sorted((x["id"], x["region"]) for x in joins.overlap_join(r, g, 7200.0).collect()) == want
+
+
+def test_read_files_ranks_paths_alone(spark, tmp_path):
+    for name in ("b.md", "a.txt", "c.json"):
+        (tmp_path / name).write_text(f"text of {name}\nend")
+    files = readers.read_files(spark, [str(tmp_path)])
+    got = sorted((r["file_id"], r["path"].rsplit("/", 1)[1], r["format"], r["text"]) for r in files.collect())
+    assert got == [(f"f{i}", n, k, f"text of {n}\nend") for i, (n, k) in enumerate((("a.txt", "text"), ("b.md", "markdown"), ("c.json", "json")), 1)]
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in line and "value" in line for line in plan.splitlines()) and "windowspecdefinition(path" not in plan
