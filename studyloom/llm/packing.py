@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -32,9 +33,8 @@ from studyloom.session import materialize
 
 CAPACITY = 2048
 ROWS_PER_CELL = 1 << 20
-#: Words whose ids a Python worker remembers (about 30 bytes each); then it starts anew.
-REMEMBERED = 1_500_000
-_U = np.uint64
+#: Bytes of words and ids that a task remembers; then it starts anew.
+REMEMBERED = 24 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 # ASCII marks that the tokenizer's pattern never joins to a letter; not the apostrophe,
@@ -50,7 +50,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of texts by the `tokenizers` library, asked once for each distinct word.
+    """Ids of texts by the `tokenizers` library, asked once for each distinct word of a block.
 
     The vocabulary drops white space and never joins words, so a text's ids are those of
     its parts in order. Parts are words, cut further between letters and marks.
@@ -60,13 +60,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.memory = W.SpanMemory(REMEMBERED)
 
     def parts(self, block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes and the bounds of the parts."""
@@ -80,41 +74,40 @@ class WordTokenizer:
         at = at[(inside >= 0) & (at < block.end[inside]) & (at > block.start[inside])] if len(block.start) else at[:0]
         return data, np.sort(np.concatenate([block.start, at])), np.sort(np.concatenate([block.end, at]))
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
-        found = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        at = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
-        order = np.argsort(known := np.concatenate([self.known, hashes]))
-        self.known, self.at, self.count = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+    def asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; a few thousand words at a time."""
+        ids, count = [], []
+        for lo in range(0, len(words), 4096):
+            found = [x.ids for x in self.library.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
+            count.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(count[-1].sum())))
+        return np.concatenate(ids), np.concatenate(count)
 
     def __call__(self, block: W.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each document's ids begin and end."""
         data, start, end = self.parts(block)
-        hashes = W.mix(W.span_hashes(W.byte_codes()[data], start, end) + (end - start).astype(np.uint64))
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != distinct[inside]
-        if new.any():
-            if len(self.known) + int(new.sum()) > REMEMBERED:
-                self.forget()
-                new[:] = True
+        hashes, example, which = W.distinct_spans(data, start, end)
+        a, b = start[example], end[example]
+        row = self.memory.find(hashes, data, a, b)
+        old, new = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        ids, count = self.memory.ids_of(row[old])
+        if len(new):
             raw = data.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist())])
-            place = np.searchsorted(self.known, distinct)
-        at, count = self.at[place][which], self.count[place][which].astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.arange(bounds[-1]) + np.repeat(at - bounds[:-1], count)]
-        return ids, bounds[np.searchsorted(start, block.bounds)]
+            fresh, n = self.asked([raw[x:y].decode("utf-8", "replace") for x, y in zip(a[new].tolist(), b[new].tolist())])
+            self.memory.add(hashes[new], data, a[new], b[new], fresh, n)
+            ids, count = np.concatenate([ids, fresh]), np.concatenate([count, n])
+        # the distinct parts' ids stand in the order old, new
+        at = np.empty(len(example), np.int64)
+        at[np.concatenate([old, new])] = np.arange(len(example))
+        first = np.cumsum(count) - count
+        each = count[at][which]
+        bounds = np.concatenate([[0], np.cumsum(each)])
+        return ids[W.places(first[at][which], each)], bounds[np.searchsorted(start, block.bounds)]
 
 
 @lru_cache(2)
 def tokenizer_for(path: str) -> WordTokenizer:
-    """One for each Python worker, which keeps it from task to task."""
+    """One for each Python worker, which keeps it from task to task; what it remembers ends with the task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordTokenizer(path)
 
@@ -139,6 +132,7 @@ def _pieces(path: str | None, capacity: int):
                 raw = memoryview(out.tobytes())
                 crc = [crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + block.rows.start)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.memory.forget()
 
     return run
 

@@ -3,22 +3,27 @@
 A block's text is cut where no piece could ever join two characters; its distinct parts
 are concatenated and indexed by a suffix array (prefix doubling to the longest piece).
 Every piece is binary-searched for its range of suffixes, all pieces at once; ranges give
-edges (position, length, piece), sorted by position into a table. Relaxing then merges, in
-all parts at once, the adjacent pair whose edge has the best score, the leftmost first,
-until no edge spans a pair, which is what the model's own encoder does. Characters without
-a piece fall back to their bytes. Parts that a worker has met before keep their ids.
+edges (position, piece), which are sorted by position. Relaxing then merges adjacent pairs
+along the edges, the best score first and the leftmost on ties, as the model's own encoder
+does. Pairs are merged in rounds, in all parts at once: an edge is taken as soon as no
+other live edge that shares a character with it could come first. So a part of any length
+needs some dozens of rounds, and all parts go the same way. Characters without a piece
+fall back to their bytes. What a task has met before keeps its ids (compared by bytes).
+
+Memory depends on the block and on the longest document; a part that is longer than
+INDEX_CHARS is indexed in stretches, cut where no edge spans.
 
 Decoding joins the pieces' bytes again, turns the word mark into a space and drops the
 space that encoding puts in front.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; a literal
 word mark (U+2581) decodes to a space, as in the model's own decoder; rows are treated one
-by one; other columns aren't read.
+by one, so ties and repeated rows get equal ids; an empty table gives an empty result; other
+columns, of any name, aren't read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -29,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm import words as W
-from studyloom.llm.packing import REMEMBERED, vocabulary_path
+from studyloom.llm.packing import vocabulary_path
 
 MARK = "▁"
-BLOCK = 12 << 20
+BLOCK = 2 << 20
 #: Characters of new parts that are indexed together.
-INDEX_CHARS = 600_000
-#: Longer parts are relaxed one by one with a heap.
-LONG_PART = 100
-_U = np.uint64
+INDEX_CHARS = 400_000
+#: Bytes of parts and ids that a task remembers; longer parts than LONGEST aren't.
+REMEMBERED, LONGEST = 32 << 20, 4096
+_NONE = np.iinfo(np.int64).max
 
 
 class SuffixIndex:
@@ -53,7 +58,7 @@ class SuffixIndex:
                 ahead[: n - step] = rank[step:] + 1
             key = rank * (n + 2) + ahead
             if step >= depth:
-                self.order = np.argsort(rank, kind="stable")
+                self.order = np.argsort(rank, kind="stable").astype(np.int32)
                 return
             order = np.argsort(key, kind="stable")
             rank = np.empty(n, np.int64)
@@ -116,147 +121,164 @@ class PieceModel:
                         joined[ord(a), ord(b)] = True
                     else:
                         after_wide[ord(b)] = True
+        single = [(ord(p), k) for k, (_, p, _) in enumerate(normal) if len(p) == 1]
+        self.single = np.array(sorted(single), np.int64).reshape(-1, 2)
+        self.memory = W.SpanMemory(REMEMBERED)
         #: no piece spans these two bytes
         self.apart = np.zeros((256, 256), bool)
         self.apart[:128, :128] = ~joined[:128, :128]
         self.apart[128:, :128] = ~after_wide[:128]
         self.apart[0x81, 0x20] = False  # a literal word mark ends in 0x81
-        self.forget()
 
-    def forget(self) -> None:
-        self.known, self.at, self.count, self.stored = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, piece) of every occurrence of a piece of two characters or more, by position."""
+        index = SuffixIndex(text, self.depth)
+        lo, hi = index.ranges(self.patterns, self.lengths)
+        size = np.where(self.lengths > 1, hi - lo, 0)
+        piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        position = index.order[W.places(lo, size)]
+        order = np.argsort(position, kind="stable")
+        return position[order], piece[order]
+
+    def merged(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a token begins at each character, and the piece of each such token, -1 for none."""
+        n = len(text)
+        at = np.minimum(np.searchsorted(self.single[:, 0], text), len(self.single) - 1)
+        token = np.where(self.single[at, 0] == text, self.single[at, 1], -1).astype(np.int32)
+        head = np.ones(n + 1, bool)
+        start, piece = self.edges(text)
+        end = start + self.lengths[piece].astype(np.int32)
+        while True:
+            live = head[start] & head[end]
+            start, end, piece = start[live], end[live], piece[live]
+            symbol = np.cumsum(head, dtype=np.int32) - 1
+            a = symbol[start]
+            k = symbol[end] - a
+            live = k > 1
+            start, end, piece, a, k = start[live], end[live], piece[live], a[live], k[live]
+            pairs = np.flatnonzero(k == 2)
+            if not len(pairs):
+                return head[:n], token
+            key = self.rank[piece].astype(np.int64) << 32 | start
+            # of each symbol: the pair that it begins
+            pair = np.full(int(symbol[-1]) + 2, _NONE)
+            pair[a[pairs]] = key[pairs]
+            # a longer edge comes after the first of the pairs in it
+            rest = np.flatnonzero(k > 2)
+            inner = np.full(len(rest), _NONE)
+            for j in range(int(k.max()) - 1):
+                more = k[rest] > j + 1
+                inner[more] = np.minimum(inner[more], pair[a[rest[more]] + j])
+            reached = inner < _NONE
+            dead = rest[~reached]
+            rest, soonest = rest[reached], np.maximum(inner, key[rest])[reached]
+            longer = np.full(len(pair), _NONE)
+            for j in range(int(k.max())):
+                more = k[rest] > j
+                np.minimum.at(longer, a[rest[more]] + j, soonest[more])
+            at = a[pairs]
+            mine = key[pairs]
+            before = np.where(at > 0, pair[at - 1], _NONE)
+            other = np.minimum(longer[at], longer[at + 1])
+            first = (mine <= before) & (mine <= pair[at + 1]) & (mine <= other)
+            # a run of pairs of one rank, as in "aaaa": every second one, from the first
+            rank = mine >> 32
+            even = (before >> 32 >= rank) & (pair[at + 1] >> 32 >= rank) & (other >> 32 > rank)
+            follows = np.zeros(len(at), bool)
+            follows[1:] = even[1:] & even[:-1] & (at[1:] == at[:-1] + 1) & (rank[1:] == rank[:-1])
+            opens = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+            take = first | follows & first[opens] & ((np.arange(len(at)) - opens) % 2 == 0)
+            chosen = pairs[take]
+            token[start[chosen]] = piece[chosen]
+            head[np.flatnonzero(head)[a[chosen] + 1]] = False
+            if len(dead):
+                keep = np.ones(len(start), bool)
+                keep[dead] = False
+                start, end, piece = start[keep], end[keep], piece[keep]
+
+    def stretches(self, text: np.ndarray) -> Iterator[np.ndarray]:
+        """A long part cut where no edge spans; a stretch grows until there is such a place."""
+        lo, size = 0, INDEX_CHARS
+        while lo < len(text):
+            hi = min(len(text), lo + size)
+            if hi < len(text):
+                start, piece = self.edges(text[lo:hi])
+                spans = np.zeros(hi - lo + 1, np.int64)
+                np.add.at(spans, start + 1, 1)
+                np.add.at(spans, start + self.lengths[piece], -1)
+                free = np.flatnonzero(np.cumsum(spans)[: hi - lo - self.depth] == 0)
+                if free[-1] == 0 if len(free) else True:
+                    size *= 2
+                    continue
+                hi = lo + int(free[-1])
+            yield text[lo:hi]
+            lo, size = hi, INDEX_CHARS
 
     def relax(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts, and how many each has."""
-        text = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le"), np.int32)
-        n = len(text)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        index = SuffixIndex(text, self.depth)
-        lo, hi = index.ranges(self.patterns, self.lengths)
-        size = hi - lo
-        which = np.repeat(np.arange(len(size)), size)
-        position = index.order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]
-        # edges by position and length
-        edge = np.full((n, self.depth + 1), -1, np.int32)
-        edge[position, self.lengths[which]] = which
-        far = np.iinfo(np.int32).max
+        if len(parts) == 1 and len(parts[0]) > INDEX_CHARS:
+            every = [self._relaxed(x, np.array([len(x)])) for x in self.stretches(np.frombuffer(parts[0].encode("utf-32-le"), np.int32))]
+            return np.concatenate([x for x, _ in every]), np.array([sum(len(x) for x, _ in every)])
+        text = np.frombuffer("\0".join(parts).encode("utf-32-le"), np.int32)
+        return self._relaxed(text, np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def _relaxed(self, text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """text holds parts of these lengths with a character between them that no piece has."""
+        head, token = self.merged(text)
         begin = np.cumsum(lengths + 1) - lengths - 1
-
-        start = np.arange(n)[text != 0]
-        real = np.repeat(np.arange(len(parts)), lengths)
-        if 0 in lengths or len(start) != len(real):  # a text may hold U+0000 itself
-            start = np.arange(lengths.sum()) + np.repeat(begin - np.cumsum(lengths) + lengths, lengths)
-        end = start + 1
-        done_start, done_end, done_part = [], [], []
-        slow = lengths > LONG_PART
-        for p in np.flatnonzero(slow).tolist():
-            s, e = self._heap(edge, int(begin[p]), int(begin[p] + lengths[p]))
-            done_start.append(s), done_end.append(e), done_part.append(np.full(len(s), p))
-        fast = ~slow[real]
-        start, end, part = start[fast], end[fast], real[fast]
-        while len(start):
-            span = end[1:] - start[:-1]
-            ok = (part[1:] == part[:-1]) & (span <= self.depth)
-            found = np.where(ok, edge[start[:-1], np.where(ok, span, 0)], -1)
-            rank = np.where(found >= 0, self.rank[found], far)
-            rank = np.append(rank, far)
-            heads = np.flatnonzero(np.diff(part, prepend=-1))
-            best = np.minimum.reduceat(rank, heads)
-            sizes = np.diff(np.append(heads, len(part)))
-            live = np.repeat(best < far, sizes)
-            done_start.append(start[~live]), done_end.append(end[~live]), done_part.append(part[~live])
-            hit = np.flatnonzero((rank == np.repeat(best, sizes)) & live)
-            hit = hit[np.diff(part[hit], prepend=-1) != 0]  # the leftmost of each part
-            end[hit] = end[hit + 1]
-            keep = live
-            keep[hit + 1] = False
-            start, end, part = start[keep], end[keep], part[keep]
-        start, end, part = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_start, done_end, done_part))
-        order = np.argsort(start)
-        start, end, part = start[order], end[order], part[order]
-        found = edge[start, end - start]
+        head[begin[1:] - 1] = False
+        start = np.flatnonzero(head)
+        ids, n_ids = self.ids[token[start]], np.ones(len(start), np.int64)
         # characters without a piece become their bytes
-        loose = np.flatnonzero(found < 0)
-        ids = self.ids[found]
-        if not len(loose):
-            return ids, np.bincount(part, minlength=len(parts))
-        raw = [chr(c).encode() for c in text[start[loose]].tolist()]
-        n_ids = np.ones(len(start), np.int64)
-        n_ids[loose] = [len(x) for x in raw]
-        out = np.repeat(ids, n_ids)
-        first = np.cumsum(n_ids) - n_ids
-        at = np.repeat(first[loose], n_ids[loose])
-        at += np.arange(len(at)) - np.repeat(np.cumsum(n_ids[loose]) - n_ids[loose], n_ids[loose])
-        out[at] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        return out, np.bincount(part, n_ids, len(parts)).astype(np.int64)
-
-    def _heap(self, edge: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same merges for one long part, with a heap of (rank, position)."""
-        end, before = {i: i + 1 for i in range(lo, hi)}, {i: i - 1 for i in range(lo, hi)}
-
-        def offer(i: int) -> None:
-            j = end.get(i)
-            if j is not None and j in end and end[j] - i <= self.depth and (k := edge[i, end[j] - i]) >= 0:
-                heapq.heappush(heap, (int(self.rank[k]), i, end[j]))
-
-        heap: list[tuple[int, int, int]] = []
-        for i in range(lo, hi):
-            offer(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end.get(i)
-            if j is None or j not in end or end[j] != stop:
-                continue
-            end[i] = stop
-            del end[j], before[j]
-            if stop in end:
-                before[stop] = i
-            offer(i)
-            if before[i] >= lo:
-                offer(before[i])
-        start = np.array(sorted(end))
-        return start, np.array([end[i] for i in start.tolist()])
+        loose = np.flatnonzero(token[start] < 0)
+        if len(loose):
+            raw = [chr(c).encode("utf-8", "replace") for c in text[start[loose]].tolist()]
+            n_ids[loose] = [len(x) for x in raw]
+            ids = np.repeat(ids, n_ids)
+            ids[W.places((np.cumsum(n_ids) - n_ids)[loose], n_ids[loose])] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        sums = np.concatenate([[0], np.cumsum(n_ids)])
+        return ids, sums[np.searchsorted(start, begin + lengths)] - sums[np.searchsorted(start, begin)]
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive documents, and their bounds; data has the space in front of each."""
         cut = self.apart[data[:-1], data[1:]]
         starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], np.flatnonzero(cut) + 1]))
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        hashes = W.mix(W.span_hashes(W.byte_codes()[data], starts, ends) + (ends - starts).astype(np.uint64))
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.known, kind="sort")
-        if len(self.known) + int(new.sum()) > REMEMBERED:
-            self.forget()
-            new[:] = True
-        raw = data.tobytes()
-        a, b = starts[example[new]], ends[example[new]]
-        size, fresh, lo = np.cumsum(b - a), distinct[new], 0
-        while lo < len(fresh):
+        hashes, example, which = W.distinct_spans(data, starts, ends)
+        a, b = starts[example], ends[example]
+        row = self.memory.find(hashes, data, a, b)
+        old, new = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        ids, count = self.memory.ids_of(row[old])
+        ids, count, raw, lo = [ids], [count], data.tobytes(), 0
+        size = np.cumsum(b[new] - a[new])
+        while lo < len(new):
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + INDEX_CHARS, side="right")))
-            words = [raw[x:y].decode("utf-8", "replace").replace(" ", MARK) for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist())]
-            ids, count = self.relax(words)
-            at = len(self.stored) + np.cumsum(count) - count
-            self.stored = np.concatenate([self.stored, ids])
-            known = np.concatenate([self.known, fresh[lo:hi]])
-            order = np.argsort(known)
-            self.known, self.at, self.count = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.count, count])[order]
+            mine = new[lo:hi]
+            fresh, n = self.relax([raw[x:y].decode("utf-8", "replace").replace(" ", MARK) for x, y in zip(a[mine].tolist(), b[mine].tolist())])
+            short = (b - a)[mine] <= LONGEST
+            self.memory.add(hashes[mine[short]], data, a[mine[short]], b[mine[short]], fresh[np.repeat(short, n)], n[short])
+            ids.append(fresh)
+            count.append(n)
             lo = hi
-        place = np.searchsorted(self.known, distinct)
-        at, count = self.at[place][which], self.count[place][which].astype(np.int64)
-        ends_at = np.concatenate([[0], np.cumsum(count)])
-        ids = self.stored[np.arange(ends_at[-1]) + np.repeat(at - ends_at[:-1], count)]
-        return ids, ends_at[np.searchsorted(starts, bounds)]
+        ids, count = np.concatenate(ids), np.concatenate(count)
+        # the distinct parts' ids stand in the order old, new
+        at = np.empty(len(example), np.int64)
+        at[np.concatenate([old, new])] = np.arange(len(example))
+        first = np.cumsum(count) - count
+        each = count[at][which]
+        ends_at = np.concatenate([[0], np.cumsum(each)])
+        return ids[W.places(first[at][which], each)], ends_at[np.searchsorted(starts, bounds)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of consecutive documents, with the space in front of each, and their bounds."""
         size = np.diff(self.shown_at)[ids]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return self.shown[np.arange(ends[-1]) + np.repeat(self.shown_at[:-1][ids] - ends[:-1], size)], ends[bounds]
+        return self.shown[W.places(self.shown_at[:-1][ids], size)], ends[bounds]
 
 
 @lru_cache(2)
 def model_for(path: str) -> PieceModel:
-    """One for each Python worker, which keeps it from task to task."""
+    """One for each Python worker, which keeps it from task to task; what it remembers ends with the task."""
     return PieceModel(path)
 
 
@@ -283,6 +305,7 @@ def _encoded(path: str | None):
                 ids, at = model(data, bounds)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), lists], names=["id", "ids"])
+        model.memory.forget()
 
     return run
 
@@ -331,6 +354,7 @@ def _reported(path: str | None):
                     same &= [bool(np.array_equal(back[a:b], data[c:d])) for a, b, c, d in zip(back_at[:-1], back_at[1:], bounds[:-1], bounds[1:])]
                 loose = W.group_sums(np.isin(ids, model.byte_ids), at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array(np.diff(at)), pa.array(loose), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
+        model.memory.forget()
 
     return run
 

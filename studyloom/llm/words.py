@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
+#: Powers that are kept between blocks; higher ones are products of two kept or short-lived ones.
+FINE = 1 << 14
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -42,15 +44,24 @@ def byte_codes() -> np.ndarray:
 
 
 @lru_cache(8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
+def _fine(base: int) -> np.ndarray:
+    out = np.full(FINE, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between blocks."""
-    return _powers(base, 1 << max(int(n - 1).bit_length(), 12))[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    coarse = np.full(max(1, -(-n // FINE)), pow(base, FINE, 1 << 64), np.uint64)
+    coarse[0] = 1
+    return (np.cumprod(coarse, dtype=np.uint64)[:, None] * _fine(base)).ravel()[:n]
+
+
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64."""
+    coarse = np.full(int(at.max(initial=0)) // FINE + 1, pow(base, FINE, 1 << 64), np.uint64)
+    coarse[0] = 1
+    return np.cumprod(coarse, dtype=np.uint64)[at // FINE] * _fine(base)[at % FINE]
 
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
@@ -60,8 +71,83 @@ def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     """
     n = len(codes)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * powers(base, n), dtype=np.uint64, out=sums[1:])
-    return (sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), n + 1)[start]
+    weighted = powers(base, n)
+    weighted *= codes
+    np.cumsum(weighted, dtype=np.uint64, out=sums[1:])
+    del weighted
+    return (sums[end] - sums[start]) * powers_at(pow(base, -1, 1 << 64), start)
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for size[i] places, for each i in turn."""
+    first = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - first, size)
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, example, which) of the distinct byte strings data[start:end]; bytes are compared, so it's exact."""
+    size = end - start
+    hashes = mix(span_hashes(byte_codes()[data], start, end) + size.astype(np.uint64))
+    distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    twin = example[which]
+    if np.array_equal(size, size[twin]) and np.array_equal(data[places(start, size)], data[places(start[twin], size)]):
+        return distinct, example, which
+    # two strings share a hash: tell them apart by their bytes
+    raw, names = data.tobytes(), {}
+    which = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+    example = np.full(len(names), len(start))
+    np.minimum.at(example, which, np.arange(len(start)))
+    return hashes[example], example, which
+
+
+class SpanMemory:
+    """Ids of byte strings that a task has met, at most `limit` bytes of them; then it starts anew.
+
+    Strings are found by hash and compared byte by byte.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text_at, self.ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of each string, -1 where it isn't known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        row = np.where(self.known[at] == hashes, self.row[at], -1)
+        ok = np.flatnonzero(row >= 0)
+        size = (end - start)[ok]
+        ok = ok[size == np.diff(self.text_at)[row[ok]]]
+        size = (end - start)[ok]
+        same = data[places(start[ok], size)] == self.text[places(self.text_at[row[ok]], size)]
+        good = ok[np.add.reduceat(~same, np.cumsum(size) - size) == 0] if len(ok) else ok
+        out = np.full(len(hashes), -1)
+        out[good] = row[good]
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        size = end - start
+        if 32 * (len(self.known) + len(hashes)) + len(self.text) + 4 * len(self.ids) + int(size.sum()) + 4 * len(ids) > self.limit:
+            self.forget()
+        known = np.concatenate([self.known, hashes])
+        row = np.concatenate([self.row, len(self.row) + np.arange(len(hashes))])
+        order = np.argsort(known, kind="stable")
+        self.known, self.row = known[order], row[order]
+        self.text = np.concatenate([self.text, data[places(start, size)]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(size)])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(count)])
+
+    def ids_of(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each row in turn, and how many each has."""
+        count = np.diff(self.ids_at)[row]
+        return self.ids[places(self.ids_at[row], count)], count
 
 
 @dataclass

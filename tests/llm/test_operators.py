@@ -340,6 +340,18 @@ def test_elias_fano(tmp_path):
         assert ef.find(asked).tolist() == [place.get(x, -1) for x in asked.tolist()]
 
 
+def test_distinct_spans_are_told_apart_by_bytes(monkeypatch):
+    data = np.frombuffer(b"one two one three two", np.uint8)
+    block = W.split(data, np.array([0, len(data)]), slice(0, 1))
+    monkeypatch.setattr(W, "mix", lambda x: x * np.uint64(0))  # all hashes collide
+    _, example, which = W.distinct_spans(block.data, block.start, block.end)
+    assert example.tolist() == [0, 1, 3] and which.tolist() == [0, 1, 0, 2, 1]
+    memory = W.SpanMemory(1 << 20)
+    zero = np.zeros(1, np.uint64)
+    memory.add(zero, data, block.start[:1], block.end[:1], np.array([7], np.uint32), np.array([1]))
+    assert memory.find(np.zeros(2, np.uint64), data, block.start[[1, 2]], block.end[[1, 2]]).tolist() == [-1, 0]
+
+
 def test_sentencepiece(docs, odd):
     import sentencepiece
 
@@ -360,7 +372,11 @@ def test_sentencepiece_of_hard_texts():
 
     path = packing.vocabulary_path("piece_bpe_32k.model")
     own, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_matching.PieceModel(path)
-    texts = ["  Hello  world\n\tä €𝄞 <s> <0x41> ▁x", "x" * 3000, "aaaa bbbb " * 50 + "ababab" * 60, "        deep\n    indent", "日本語のテキスト" * 40, "é, ñ. ß!", "abcabcabd" * 9]
+    texts = ["  Hello  world\n\tä €𝄞 <s> <0x41> ▁x", "x" * 3000, "aaaa bbbb " * 50 + "ababab" * 60, "        deep\n    indent", "日本語のテキスト" * 40, "é, ñ. ß!", "abcabcabd" * 9, "\x00a\x00b"]
+    rng = random.Random(7)
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5000)), "".join(rng.choice("abAB01+/=") for _ in range(40_000)), "-" * 20_001 + " x"]
+    # a part beyond INDEX_CHARS without a place to cut it by bytes
+    texts.append("".join(rng.choice("abcdefghij") for _ in range(450_000)))
     for _, data, bounds in piece_matching._spaced(pa.array(texts)):
         ids, at = model(data, bounds)
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == own.encode(texts)
