@@ -285,8 +285,10 @@ def test_lm_scoring(docs, odd):
     assert lm_scoring.scores_report(rows.limit(0)).count() == 0
 
 
-def test_lm_scores_of_frequent_words(spark):
-    """Whole scores against plain counts; nearly every word fills more than 1/HOT of the corpus."""
+@pytest.mark.parametrize("bucket_tokens", [200, lm_scoring.BUCKET_TOKENS])
+def test_lm_scores(spark, monkeypatch, bucket_tokens):
+    """Whole scores against plain counts, within 0.005 a token; with small buckets nearly every word is dealt over several."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", bucket_tokens)
     rng = random.Random(3)
     vocabulary = ["the"] * 60 + [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(400)]
@@ -306,7 +308,7 @@ def test_lm_scores_of_frequent_words(spark):
     count, t1, t2 = Counter(), Counter(v for v, _ in pair), Counter((u, v) for u, v, _ in triple)
     for (v, _), k in pair.items():
         count[v] += k
-    code = lambda p: float(lm_scoring.unquantise(lm_scoring.quantise(np.log10(p))))
+    code = lambda p: float(np.log10(p))
 
     def score(text):
         total, u, v = 0.0, None, None
@@ -327,7 +329,17 @@ def test_lm_scores_of_frequent_words(spark):
         return total
 
     out = {r["doc_id"]: r for r in lm_scoring.scores_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert [out[i]["score"] for i, _ in rows] == pytest.approx([score(tokens[i]) for i, _ in rows], abs=1e-3)
+    assert all(abs(out[i]["score"] - score(tokens[i])) <= 0.005 * len(tokens[i]) for i, _ in rows)
+
+
+def test_code_book():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([np.full(5000, -0.6021), -rng.exponential(1.5, 20_000)])
+    book, codes = lm_scoring.code_book(values)
+    assert len(book) <= 256 and np.all(np.diff(book) > 0)
+    assert np.abs(book[codes] - values)[:5000].max() < 1e-4
+    assert np.abs(book[codes] - values).mean() < 0.02
+    assert [len(x) for x in lm_scoring.code_book(np.zeros(0))] == [0, 0]
 
 
 def test_elias_fano(tmp_path):
