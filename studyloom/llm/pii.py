@@ -14,8 +14,11 @@ share one:
   to 2099: to another day of that range;
 - IPv4 addresses: to another address;
 - e-mail addresses and secrets (a name such as token or api_key, then = or : and 16 or more
-  characters) are no numbers; a keyed digest replaces the local part or the secret, in
-  letters and digits, and keeps its length where it is a hexadecimal string.
+  characters, or a password of 8 or more with a digit or mark, or in quotes) are no numbers;
+  a keyed digest in letters and digits replaces the whole address or secret, of any length.
+  A secret keeps its length.
+
+The key is an argument or the Spark setting spark.studyloom.pii.key.
 
 Cards and IBANs are looked for within runs of groups, as a check value, an order number or
 a word may stand next to them: of the parts that begin and end at a separator and pass the
@@ -32,6 +35,7 @@ handled whole; rows are treated one by one; other columns, whatever their names,
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +43,18 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.names import free
 
-#: A demonstration key; a deployment passes its own.
+#: The Spark setting that holds the key; who knows the key can undo the pseudonyms.
+KEY_SETTING = "spark.studyloom.pii.key"
+#: For demonstrations, where the setting is missing.
 KEY = "studyloom-demonstration-key"
 ROUNDS = 10
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-SECRET = r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9+/_-]{16,256}[\"']?)"
+#: The local part is the whole run in front of the @, however long; a domain has 253 characters at most.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}"
+#: Keys and tokens of 16 or more characters; passwords of 8 or more, one of them a digit or mark, or any in quotes.
+_NAMED = r"(?i:(?<![A-Za-z0-9])(?:token|secret|api[_-]?key|access[_-]?key|client[_-]?secret|private[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?)(?:(?i:bearer)[ ])?[A-Za-z0-9+/_.~=-]{16,}+[\"']?"
+_PASSWORD = r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd)[ ]{0,3}[=:][ ]{0,3})(?:\"[^\"\\s]{4,}+\"|'[^'\\s]{4,}+'|(?=[^\\s\"']*[0-9!@#$%^&*?~+])[^\\s\"']{8,}+)"
+SECRET = f"{_NAMED}|{_PASSWORD}".replace("\\\\", "\\")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _SEP = r"(?:[ .-]|[ .-]?[()][ .-]?)?"
 #: +cc (area) number; +1 and ten digits; + and 8 to 15 digits, which end before the groups of a card.
@@ -66,6 +76,13 @@ CARD_RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
 IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:[ ][A-Z0-9]++(?![a-z]))*+"
 
 
+def key_of(docs: DataFrame) -> str:
+    found = docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with the demonstration key", stacklevel=2)
+    return found or KEY
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -223,20 +240,22 @@ def ipv4(value: Column, key: str) -> Column:
 
 
 def email(value: Column, key: str) -> Column:
-    digest = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(value)), 256)
-    return F.concat(F.lit("user."), F.substring(digest, 1, 16), F.lit("@example.com"))
+    """Marks in front of the address stay."""
+    head = F.regexp_extract(value, "^[._%+-]*", 0)
+    address = F.lower(F.regexp_replace(value, "^[._%+-]*", ""))
+    return F.concat(head, F.lit("user."), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), address), 256), 1, 16), F.lit("@example.com"))
 
 
 def secret(value: Column, key: str) -> Column:
-    body = F.regexp_extract(value, "[A-Za-z0-9+/_-]{16,256}[\"']?$", 0)
-    return _let(
-        body,
-        lambda b: F.concat(
-            F.substring(value, F.lit(1), F.length(value) - F.length(b)),
-            F.substring(F.repeat(F.sha2(F.concat(F.lit(f"{key}|secret|"), F.regexp_replace(b, "[\"']", "")), 256), 4), F.lit(1), F.length(F.regexp_replace(b, "[\"']", ""))),
-            F.regexp_extract(b, "[\"']?$", 0),
-        ),
-    )
+    """The name and the quotes stay; the rest becomes a digest of the same length."""
+    head = F.regexp_extract(value, "^[^=:]*[=:][ ]{0,3}[\"']?(?:(?i:bearer)[ ])?", 0)
+    tail = F.regexp_extract(value, "[\"']?$", 0)
+
+    def hidden(body: Column) -> Column:
+        digest = F.sha2(F.concat(F.lit(f"{key}|secret|"), body), 256)
+        return F.substring(F.repeat(digest, (F.length(body) / 64 + 1).cast("int")), F.lit(1), F.length(body))
+
+    return _let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.concat(x["h"], _let(F.substring(value, F.length(x["h"]) + 1, F.length(value) - F.length(x["h"]) - F.length(x["t"])), hidden), x["t"]))
 
 
 MAKERS = {"email": email, "secret": secret, "iban": iban, "phone": phone, "date": date, "ssn": ssn, "ipv4": ipv4, "card": card}
@@ -331,11 +350,12 @@ def _values(text: Column, kinds: tuple[str, ...], mark: Column, key: str) -> Col
     return F.transform(F.split(_marked(text, kinds, mark), mark, -1), one)
 
 
-def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, name: str = "pii") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, text: str = "text", key: str | None = None, name: str = "pii") -> DataFrame:
     """docs with text replaced, and an array of (kind, value, pseudonym) in text order, under a free name.
 
     A text without a digit, @, = or : skips the search. What fails its check isn't listed.
     """
+    key = key or key_of(docs)
     pii_, mark_ = (free(docs.columns, x) for x in ("pii_", "mark_"))
     value = F.col(f"`{text}`")
     # no text holds its own digest; its digits become letters, so that it is neither a number nor a pattern
@@ -351,7 +371,7 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, name: s
     return out.select(*shown, F.coalesce(F.filter(pii_, lambda x: x["kind"].isNotNull()), F.array().cast(out.schema[pii_].dataType)).alias(name))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     name = free(docs.columns, "pii")
     return with_pseudonyms(docs, text, key, name).drop(name)
 
