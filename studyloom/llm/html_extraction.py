@@ -25,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,10 @@ SAMPLE = 150
 LAYOUTS = 5
 TREES, DEPTH, RATE = 60, 4, 0.2
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Where a comment, tag or declaration may begin.
+OPENING = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?])")
+#: A tag; a quote opens a value only behind =, and one that is never closed is a character. It never backtracks.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>")
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"\bdata-y=(\d)")
 WORD = re.compile(r"[a-z]+")
@@ -94,11 +98,33 @@ def _attribute_words(attributes: str) -> int:
     return found
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """(start, end, tag) of the comments (no tag), declarations and tags of a page, in linear time.
+
+    A caller may send where to go on. A tag that the page ends in is text, with all behind it.
+    """
+    at = 0
+    while m := OPENING.search(page, at):
+        start, tag = m.start(), None
+        if m[0] == "<!--":
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+        elif m[0][-1] in "!?":
+            end = page.find(">", start) + 1
+        else:
+            tag = TAG.match(page, start)
+            end = tag.end() if tag else 0
+        if not end:
+            return
+        at = (yield start, end, tag) or end
+
+
 def parse(page: str) -> list[Node]:
     """The block elements of a page in the order they open; the first is the page itself."""
     nodes = [Node("page", -1, 0, 0, -1)]
     stack: list[tuple[str, int]] = [("page", 0)]  # open elements with the block that holds their text
     text: list[str] = []
+    open_ = Counter()  # of each tag
     blocks = silent = links = 0
     at, end = 0, len(page)
 
@@ -117,15 +143,24 @@ def parse(page: str) -> list[Node]:
     def close(to: int) -> None:
         nonlocal silent, links
         for tag, _ in stack[to:]:
+            open_[tag] -= 1
             silent -= tag in SILENT
             links -= tag == "a"
         if any(tag not in INLINE and tag != SHOWN_BUTTON for tag, _ in stack[to:]):
             flush()
         del stack[to:]
 
+    def opened(tag: str, node: int) -> None:
+        stack.append((tag, node))
+        open_[tag] += 1
+
+    found, go_on = tokens(page), None
     while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
+        try:
+            stop, after, m = found.send(go_on)
+        except StopIteration:
+            stop, after, m = end, end, None
+        go_on = None
         if stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
             close(len(stack) - 1)
         if stop > at and not silent:
@@ -133,15 +168,12 @@ def parse(page: str) -> list[Node]:
             text.append(piece)
             if links:
                 nodes[stack[-1][1]].link += len(piece.strip())
+        at = after
         if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if not tag:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] or tag == "button" and open_[SHOWN_BUTTON] else ():
                 if stack[k][0] == tag or tag == "button" and stack[k][0] == SHOWN_BUTTON:
                     close(k)
                     break
@@ -161,7 +193,7 @@ def parse(page: str) -> list[Node]:
                 flush()
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[k][0] == "p":
                     close(k)
                     break
@@ -169,35 +201,35 @@ def parse(page: str) -> list[Node]:
                     break
         elif tag in SIBLINGS:
             same, within = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in same.split()) else ():
                 if stack[k][0] in same.split():
                     close(k)
                     break
                 if stack[k][0] in within:
                     break
-        if tag in INLINE or tag == "button" and all(t != "form" for t, _ in stack):
+        if tag in INLINE or tag == "button" and not open_["form"]:
             nodes[stack[-1][1]].tags += tag != "button"
             nodes[stack[-1][1]].inputs += tag == "button"
             if tag in ("button", "mtd", "text"):
                 text.append(" ")
-            stack.append((SHOWN_BUTTON if tag == "button" else tag, stack[-1][1]))
+            opened(SHOWN_BUTTON if tag == "button" else tag, stack[-1][1])
             links += tag == "a"
             continue
         if tag in SILENT:
             nodes[stack[-1][1]].inputs += tag in ("select", "textarea", "button")
-            stack.append((tag, stack[-1][1]))
+            opened(tag, stack[-1][1])
             silent += 1
             if tag in RAW:
-                close_at = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                close_at = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 close(len(stack) - 1)
-                at = close_at.end() if close_at else end
+                go_on = at = close_at.end() if close_at else end
             continue
         flush()
         parent = stack[-1][1]
         label = LABEL.search(m[3])
         nodes.append(Node(tag, parent, _attribute_words(m[3]), nodes[parent].depth + 1, int(label[1]) if label else nodes[parent].label))
         nodes[parent].kids.append(len(nodes) - 1)
-        stack.append((tag, len(nodes) - 1))
+        opened(tag, len(nodes) - 1)
     flush()
     return nodes
 
