@@ -470,6 +470,37 @@ def test_pii_phones_and_us_dates(spark):
     assert len(set(new)) == len(us) and all(int(x[:2]) <= 12 < int(x[3:5]) for x in new)
 
 
+def test_pii_of_any_length(spark):
+    """Whole addresses and secrets go, however long; report counts, empty tables, repeated rows and other columns."""
+    local, token = "x" * 80 + "Y1", "Ab9" * 400_000
+    cases = [
+        (f"mail {local}@example.org now", f"mail user\\.[0-9a-f]{{16}}@example.com now"),
+        ("..first.last@sub.example.co.uk", r"\.\.user\.[0-9a-f]{16}@example\.com"),
+        (f"token={token} end", f"token=[0-9a-f]{{{len(token)}}} end"),
+        ("password: hunter2!x, ok", r"password: [0-9a-f]{10} ok"),
+        ("password = 'correcthorse' and", r"password = '[0-9a-f]{12}' and"),
+        ("api_key: Bearer abcdefghijklmnop", r"api_key: Bearer [0-9a-f]{16}"),
+        ("the password: required by all", "the password: required by all"),
+        ("x" * 1_000_000, "x{1000000}"),
+        ("a@" * 50_000, "(?:a@){50000}"),
+        ("", ""),
+        (None, None),
+    ]
+    rows = [(i, t, "k") for i, (t, _) in enumerate(cases)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    out = pii.pseudonymise(docs, key="test").collect()
+    assert len(out) == len(rows) and all(r["pii"] == "k" for r in out)
+    for r in out:
+        want = cases[r["doc_id"]][1]
+        assert r["text"] is None if want is None else re.fullmatch(want, r["text"]), cases[r["doc_id"]][0][:60]
+    assert len({(r["doc_id"], r["text"]) for r in out}) == len(cases)
+    report = {r["doc_id"]: r for r in pii.pii_report(docs).collect()}
+    assert [report[i]["n_email"] for i in range(3)] == [1, 1, 0] and [report[i]["n_secret"] for i in range(2, 8)] == [1, 1, 1, 1, 0, 0]
+    assert pii.pii_report(docs.limit(0)).count() == 0
+    # another key gives other pseudonyms
+    assert pii.pseudonymise(docs.where("doc_id = 0"), key="other").first()["text"] != next(r["text"] for r in out if r["doc_id"] == 0)
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).collect()
     assert len({r["x"] for r in three}) == 1000
@@ -503,6 +534,18 @@ def test_html_text_of_heads_and_shown_elements():
     assert text("<div><button>go</button></div><form><button>no</button></form><p>x</p>") == ["go", "x"]
 
 
+def test_html_parser_is_linear():
+    """Pages of a megabyte made to send a tokeniser back and forth."""
+    import time
+
+    for page in ("<div title=it's >x" * 60_000, "<a " * 300_000, '<a b="x>" ' * 100_000, "<div>" * 20_000 + "</section>" * 20_000, "<script>" + "</script " * 100_000, "<!-- a" * 200_000):
+        began = time.perf_counter()
+        html_extraction.parse(page)
+        assert time.perf_counter() - began < 5
+    quotes = html_extraction.parse("<article title='a>b' data-x=it's id=\"c\"><p>it's <b>3 < 4</b> & 5 > 2</p><p title=\"open>next</p></article>")
+    assert [t for n in quotes for _, t in n.items] == ["it's 3 < 4 & 5 > 2", "next"]
+
+
 def test_html_held_out_layouts():
     """Pages set in layouts drawn anew: nearly all blocks are right."""
     rng = random.Random(42)
