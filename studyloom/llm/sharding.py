@@ -30,6 +30,8 @@ from studyloom.session import materialize
 
 ROWS_PER_CELL = 1 << 20
 LEAST_CELLS = 64
+#: Levels of the matrix tree between two exchanges of its nodes.
+SPREAD = 5
 
 
 def _log_factorial(n: Column) -> Column:
@@ -100,14 +102,15 @@ def communication_matrix(sizes: DataFrame, cells: DataFrame, n_blocks: int, seed
 
     sizes has (block, n); cells has one row with `caps`, the cells' sizes. n_blocks is a
     power of two. The one row that starts the tree holds n_blocks + number of cells longs,
-    a few million-th parts of the rows; each level doubles the rows.
+    a few million-th parts of the rows. Each level doubles the rows; every SPREAD levels
+    they are dealt out to all tasks, so but for the first levels no task draws many nodes.
     """
     every = sizes.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
     ns = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(0).cast("long")))
     tree = every.select(ns.alias("ns")).crossJoin(F.broadcast(cells)).select(F.lit(0).alias("block"), "ns", F.col("caps").alias("row"))
-    width = n_blocks
+    width, level = n_blocks, 0
     while width > 1:
-        half = width // 2
+        half, level = width // 2, level + 1
         left = F.aggregate(F.slice("ns", 1, half), F.lit(0).cast("long"), lambda a, x: a + x)
         tree = tree.withColumn("left", _left_draws(F.col("row"), left, seed, F.concat_ws("/", F.lit(str(width)), "block")))
         children = F.array(
@@ -115,6 +118,8 @@ def communication_matrix(sizes: DataFrame, cells: DataFrame, n_blocks: int, seed
             F.struct((F.col("block") + half).alias("block"), F.slice("ns", half + 1, half).alias("ns"), F.zip_with("row", "left", lambda a, b: a - b).alias("row")),
         )
         tree = tree.select(F.inline(children))
+        if level % SPREAD == 0 and half > 1:
+            tree = tree.repartition(min(1 << level, 2000), "block")
         width = half
     return tree.select("block", "row")
 
@@ -144,15 +149,17 @@ def shard(rows: DataFrame, n_shards: int = 8, seed: int = 20240229, rows_per_cel
     bounds = bounds.select("id", "shard", first.alias("first"), (F.floor(shard_rows * (F.col("part") + 1) / F.lit(per_shard)) - first).alias("cap"))
     caps = bounds.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "cap"))), lambda x: x["cap"]).alias("caps"))
     matrix = communication_matrix(sizes, caps, n, seed)
-    running = F.aggregate("row", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    dealt = materialize(matrix.select("block", F.posexplode(F.arrays_zip(F.slice(running, 1, F.size("row")).alias("lo"), F.col("row").alias("n")))).select("block", F.col("pos").alias("cell"), "col.lo", "col.n").where("n > 0"), "shard-matrix")
+    cells_of = matrix.select("block", F.posexplode("row").alias("cell", "n")).where("n > 0")
+    # a block's stretches cover its rows; each begins where the cells before it end
+    lo = F.sum("n").over(Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    dealt = materialize(cells_of.select("block", lo.alias("at"), "cell"), "shard-matrix")
 
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "rid"), "rid")
-    placed = blocks.withColumn("at", F.row_number().over(local) - 1)
-    # each block's stretches cover its rows, so every row finds the one that holds its place
-    row_of = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("lo", "cell"))).alias("stretches"))
-    hit = F.element_at(F.filter("stretches", lambda s: s["lo"] <= F.col("at")), -1)
-    placed = placed.join(row_of, "block").select(*plain.columns, hit["cell"].alias("cell"))
+    placed = blocks.withColumn("at", (F.row_number().over(local) - 1).cast("long"))
+    # rows and the beginnings of stretches in one order: a row's cell is that of the last beginning
+    placed = placed.withColumn("cell", F.lit(None).cast("int")).withColumn("side", F.lit(1)).unionByName(dealt.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("cell", F.last("cell", ignorenulls=True).over(so_far)).where("side = 1").select(*plain.columns, "cell")
     again = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + 1), "rid"), "rid")
     placed = placed.withColumn("at", F.row_number().over(again) - 1)
     out = placed.join(F.broadcast(bounds.select(F.col("id").alias("cell"), "shard", "first")), "cell")
