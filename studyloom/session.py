@@ -40,6 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
+def mark() -> int:
+    """The place in the list of written tables, for `release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after `since`, but for those that keep reads; nothing else may read them any more."""
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    for path in _written[since:]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not any(path in f for f in kept):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _written.remove(path)
+
+
 def materialize(df: DataFrame, name: str = "step", thin: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -50,6 +68,7 @@ def materialize(df: DataFrame, name: str = "step", thin: bool = False) -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(4 * spark.sparkContext.defaultParallelism) if thin else df).write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
