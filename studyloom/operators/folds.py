@@ -32,7 +32,7 @@ def smooth_levels(levels: Column) -> Column:
 def greedy_budget(df: DataFrame, key: str, order: list[str], cost: str, budget: float) -> DataFrame:
     """The rows of each key taken in order, each that still fits the budget; others are passed over.
 
-    df is sorted within partitions and streamed with one running sum, so a key may be of any size.
+    df is sorted within partitions and streamed with one running sum, so a key may be of any size. Rows with a null key are one group.
     """
     names = df.columns
 
@@ -41,7 +41,8 @@ def greedy_budget(df: DataFrame, key: str, order: list[str], cost: str, budget:
         now, used = none, 0.0
         for batch in batches:
             keep = []
-            for i, (k, c) in enumerate(zip(batch[key], batch[cost])):
+            for i, (k, c) in enumerate(zip(batch[key].array, batch[cost].array)):
+                k = None if pd.isna(k) else k
                 if now is none or k != now:
                     now, used = k, 0.0
                 if used + c <= budget:
@@ -49,4 +50,4 @@ def greedy_budget(df: DataFrame, key: str, order: list[str], cost: str, budget:
                     keep.append(i)
             yield batch.iloc[keep][names]
 
-    return df.where(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, df.schema)
+    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, df.schema)

@@ -18,29 +18,37 @@ from pyspark.sql import functions as F
 DAY = 86400.0
 
 
+def stream_groups(batches: Iterator[pd.DataFrame], start: Callable[[], Any], step: Callable[[Any, tuple], Any], result: Callable[[Any, Any], tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """result(key, state) for each run of equal keys in the first column; a row is a tuple of the columns. Nulls are one key."""
+    none = object()
+    now, state = none, None
+    for batch in batches:
+        done = []
+        for row in zip(*(batch[c].array for c in batch.columns)):
+            k = None if pd.isna(row[0]) else row[0]
+            if now is none or k != now:
+                if now is not none:
+                    done.append(result(now, state))
+                now, state = k, start()
+            state = step(state, row)
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if now is not none:
+        yield pd.DataFrame([result(now, state)], columns=names)
+
+
 def fold_sorted(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], Any], result: Callable[[Any, Any], tuple], schema: str) -> DataFrame:
-    """One row for each key: result(key, state) after all its rows in order."""
+    """One row for each key: result(key, state) after all its rows in order. Rows with a null key are one group.
+
+    step gets a row as a tuple, the key first.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
+    rows = df.select(key, *(c for c in df.columns if c != key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = object()
-        now, state = none, None
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                k = getattr(row, key)
-                if now is none or k != now:
-                    if now is not none:
-                        done.append(result(now, state))
-                    now, state = k, start()
-                state = step(state, row)
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if now is not none:
-            yield pd.DataFrame([result(now, state)], columns=names)
-
-    dealt = df.where(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, schema)
+        yield from stream_groups(batches, start, step, result, names)
+
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def sm2_start() -> dict:
@@ -72,7 +80,7 @@ def sm2_fold(df: DataFrame, key: str) -> DataFrame:
         key,
         ["ts", "seq"],
         sm2_start,
-        lambda s, r: sm2_step(s, r.ts, r.quality),
+        lambda s, r: sm2_step(s, r[1], r[2]),
         lambda k, s: (k, s["reviews"], s["reps"], s["interval"], round(s["ease"], 6), s["due"]),
         f"{key} {df.schema[key].dataType.simpleString()}, reviews long, reps long, interval double, ease double, due double",
     )
@@ -93,7 +101,7 @@ def mastery_fold(df: DataFrame, key: str, order: list[str]) -> DataFrame:
         key,
         order,
         lambda: (0.0, None),
-        lambda s, r: mastery_step(s, r.ts, r.signal),
+        lambda s, r: mastery_step(s, r[1], r[2]),
         lambda k, s: (k, round(s[0], 6), s[1]),
         f"{key} {df.schema[key].dataType.simpleString()}, mastery double, last_ts double",
     )
@@ -119,7 +127,7 @@ def bkt_fold(df: DataFrame, key: str) -> DataFrame:
         key,
         ["seq"],
         lambda: (BKT["l0"], 0),
-        lambda s, r: (bkt_step(s[0], bool(r.correct)), s[1] + 1),
+        lambda s, r: (bkt_step(s[0], bool(r[1])), s[1] + 1),
         lambda k, s: (k, s[1], round(s[0], 6)),
         f"{key} {df.schema[key].dataType.simpleString()}, n long, p_known double",
     )

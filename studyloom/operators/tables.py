@@ -42,3 +42,21 @@ def for_user(df: DataFrame, user: object, column: str = "user_id") -> DataFrame:
 def stale_work(done: DataFrame, wanted: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:
     """What has to run: wanted work without a finished row of the same fingerprint."""
     return wanted.join(done.select(*keys, fingerprint).distinct(), [*keys, fingerprint], "left_anti")
+
+
+def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """log with rows behind it; columns that one side lacks are null."""
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
+def upsert_matched(stored: DataFrame, incoming: DataFrame, id_: str, source: str, value: str, order: str) -> DataFrame:
+    """(id, value) of stored rows, updated by the last incoming row of their id or of their source.
+
+    An incoming row goes to the stored row of its id; without one, to the least id of its source.
+    """
+    firsts = stored.groupBy(source).agg(F.min(id_).alias("__first"))
+    known = stored.select(F.col(id_).alias("__known"))
+    met = incoming.join(known, incoming[id_] == known["__known"], "left").join(firsts, source, "left")
+    met = met.select(F.coalesce("__known", "__first").alias(id_), value, order).where(F.col(id_).isNotNull())
+    last = met.groupBy(id_).agg(F.max_by(value, order).alias("__value"))
+    return stored.join(last, id_, "left").select(id_, F.coalesce("__value", value).alias(value))
