@@ -50,3 +50,21 @@ def prefix_within_budget(df: DataFrame, keys: list[str], order: list[Column], co
     """The leading rows of each key whose running cost stays within the budget."""
     run = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("__run", run).where(F.col("__run") <= budget).drop("__run")
+
+
+def rank_in_key(df: DataFrame, key: str, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """row_number within a key, from 1, for keys of any size: rows are range-partitioned by key and order.
+
+    A key that spans several partitions counts on from the partitions before; no task holds
+    a whole key. order should be total within a key.
+    """
+    kept = df.columns
+    cols = [F.col(key), *(F.col(c) for c in order)]
+    rows = materialize(df.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id()), "ranked")
+    # a partition and key each: as many rows as keys and partitions together
+    sizes = rows.groupBy(key, "__p").agg(F.count("*").alias("__n"))
+    skip = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), skip.alias("__skip"))
+    local = F.row_number().over(Window.partitionBy(key, "__p").orderBy(*order))
+    out = rows.withColumn("__r", local).join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return out.select(*kept, (F.col("__r") + F.col("__skip")).cast("long").alias(name))
