@@ -48,27 +48,31 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Delete the tables written after `since`, but for those that keep reads; nothing else may read them any more."""
-    kept = set(keep.inputFiles()) if keep is not None else set()
-    for path in _written[since:]:
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables written after `since` but the last one; nothing else may read them any more."""
+    for path in _written[since:-1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not any(path in f for f in kept):
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-            _written.remove(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since:-1]
 
 
-def materialize(df: DataFrame, name: str = "step", thin: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", thin: bool = False, by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     The result has no lineage, so a lost executor never repeats the work above it, and
     what reads it twice sees the same rows. Parquet keeps column pruning and filters.
     thin: the rows are a few numbers each, so four tasks and files a core are enough.
+    by: a column to bucket by, into as many buckets as there are shuffle partitions, so
+    that joins on it don't shuffle the table again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if thin else df).write.parquet(path)
     _written.append(path)
+    if by:
+        n, known = int(spark.conf.get("spark.sql.shuffle.partitions")), f"studyloom_{uuid.uuid4().hex}"
+        df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(known)
+        return spark.table(known)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if thin else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
