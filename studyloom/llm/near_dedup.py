@@ -138,7 +138,7 @@ def _full_sets(width: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance) of pairs (a, b) from their full sets."""
+    """(a, b, common, either) of pairs (a, b) from their full sets, which are bucketed and stay where they are."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
@@ -168,7 +168,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select("id").distinct()
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_full_sets(width), "node binary, members array<long>")
-    sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets", by="node")
 
     linked = (100 * F.col("common") >= percent * F.col("either")) & (F.col("either") > 0)
     seen = materialize(_confirmed(pairs, sets), "confirmed", thin=True)
