@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +43,20 @@ def token_set_a(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)), lambda t: F.length(t) >= least))
 
 
+@lru_cache(1)
+def _accented() -> tuple[str, str]:
+    """Letters that decompose into a plain one and marks, and those plain ones, by Unicode's own rule."""
+    found = {}
+    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            found[chr(code)] = plain
+    return "".join(found), "".join(found.values())
+
+
 def fold_accents(text: Column) -> Column:
-    """Lower case with the accents of Latin letters removed."""
-    pairs = {"a": "áàâäãåā", "c": "çćč", "e": "éèêëēę", "i": "íìîïī", "n": "ñń", "o": "óòôöõō", "u": "úùûüū", "y": "ýÿ", "s": "śš", "z": "źżž"}
-    return F.translate(F.lower(text), "".join(pairs.values()), "".join(k * len(v) for k, v in pairs.items()))
+    """Lower case without the accents of Latin letters, written with the letter or as marks behind it."""
+    return F.translate(F.regexp_replace(F.lower(text), "[\\x{0300}-\\x{036F}]", ""), *_accented())
 
 
 def token_list_d(text: Column, least: int = 4, stop: list[str] | None = None) -> Column:
@@ -112,7 +125,15 @@ def toc_entry(line: Column) -> Column:
 
 
 def is_ascii_art(text: Column) -> Column:
-    return text.rlike("[|+\\-=_/\\\\]{6,}|[\\u2500-\\u257F]{2,}")
+    """A box border with two lines that begin with a pipe, or with a row of bit numbers."""
+    box = text.rlike("(?m)^\\s*\\+[-=+]+\\+")
+    return box & ((F.regexp_count(text, F.lit("(?m)^[ \\t]*\\|")) >= 2) | text.rlike("(?m)^\\s*0\\s+1\\s+2\\s+3"))
+
+
+def neutral_pipes(text: Column) -> Column:
+    """Lines of a drawing that begin with a pipe get their pipes escaped, so they aren't read as a table."""
+    line = lambda x: F.when(x.rlike("^\\s*\\|"), F.replace(x, F.lit("|"), F.lit("\\|"))).otherwise(x)
+    return F.when(is_ascii_art(text), F.array_join(F.transform(F.split(text, "\n"), line), "\n")).otherwise(text)
 
 
 def markdown_to_text(text: Column) -> Column:
@@ -122,6 +143,25 @@ def markdown_to_text(text: Column) -> Column:
     return F.regexp_replace(out, "(?m)^\\s*[-*+]\\s+", "")
 
 
+def html_to_text(html: Column) -> Column:
+    """Markup, scripts, styles and comments gone, white space single. For text out of minimal HTML; pages need more."""
+    out = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "(?s)<[^>]*>", " "), "\\s+", " "))
+
+
+#: An image in running text; its id stands behind the colon.
+IMAGE = "!\\[image:([^\\]]+)\\]"
+
+
+def image_ids(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1))
+
+
+def linked_images(text: Column, base: str) -> Column:
+    """Image tokens as Markdown images below base."""
+    return F.regexp_replace(text, IMAGE, f"![]({base}$1)")
+
+
 def answer_letter(text: Column) -> Column:
     return F.upper(F.nullif(F.regexp_extract(text, "(?i)\\b([ABCD])\\b", 1), F.lit("")))
 
@@ -135,20 +175,27 @@ def book_key(title: Column, author: Column) -> Column:
     return F.concat_ws("__", clean(title), clean(author))
 
 
-#: Weights of the signals that make a statement factual.
-FACTUAL = [
-    ("\\b(1[0-9]{3}|20[0-9]{2})\\b", 0.35),
-    ("\\b[0-9]+([.,][0-9]+)? ?(%|km|kg|cm|mm|m|g|s|hz|mhz|ghz|°c|usd|eur)(?![a-z])", 0.30),
-    ("\\b(first|second|third|fourth|fifth)\\b", 0.20),
-    ("\\b(is|are) (defined as|called|known as)\\b", 0.25),
-    ("\\b(occurred|happened|took place|founded|born|died)\\b", 0.30),
-    ("\\b(why|because|therefore|implies|relationship|principle)\\b", -0.35),
-]
+#: What makes a statement one of fact: a name, what it looks for, and its weight.
+#: The weights, and the score of 0.45 from which a statement counts as factual.
+SIGNALS = {
+    "year": ("(?:^|[^0-9])(?:1[0-9]|20)[0-9]{2}(?:$|[^0-9])", 0.35),
+    "measure": ("[0-9][ ]?(?:%|percent|(?:kilo|centi|milli)?(?:metres?|meters?|grams?|litres?|liters?)|miles?|tons?|degrees?|hours?|minutes?|seconds?|volts?|watts?|dollars?|euros?)", 0.30),
+    "rank": ("(?:^|\\W)(?:first|second|third|last|next|[0-9]+(?:st|nd|rd|th))(?:$|\\W)", 0.20),
+    "meaning": ("(?:^|\\W)(?:means|is defined as|is called|is known as|refers to|stands for)(?:$|\\W)", 0.25),
+    "event": ("(?:^|\\W)(?:began|ended|was (?:born|built|founded|discovered|invented|signed)|took place|died)(?:$|\\W)", 0.30),
+    "reason": ("(?:^|\\W)(?:because|why|therefore|hence|suggests?|argues?|theory|principle|relation)(?:$|\\W)", -0.35),
+}
+NAME, NAME_WEIGHT, FACTUAL = "[a-z,;] [A-Z][a-z]+ [A-Z][a-z]+", 0.20, 0.45
 
 
 def factual_score(text: Column) -> Column:
+    """The weights of the signals that a statement shows; two capitalised words within it are a name."""
     low = F.lower(text)
-    total = F.lit(0.0)
-    for pattern, weight in FACTUAL:
+    total = F.when(text.rlike(NAME), NAME_WEIGHT).otherwise(0.0)
+    for pattern, weight in SIGNALS.values():
         total = total + F.when(low.rlike(pattern), weight).otherwise(0.0)
     return F.round(total, 6)
+
+
+def is_factual(text: Column) -> Column:
+    return factual_score(text) >= FACTUAL

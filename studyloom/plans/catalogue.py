@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studyloom.plans import documents, events, identity, learning, packing, relational, review
+from studyloom.plans import documents, events, identity, learning, packing, relational, review, structure
 
-BOOKS = (documents.BOOK, events.BOOK, learning.BOOK, relational.BOOK, review.BOOK, identity.BOOK, packing.BOOK)
+BOOKS = (documents.BOOK, events.BOOK, learning.BOOK, relational.BOOK, review.BOOK, identity.BOOK, packing.BOOK, structure.BOOK)
 QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
 ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
 FLAGSHIP = "near_duplicate_report"

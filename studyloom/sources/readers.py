@@ -102,3 +102,35 @@ def repaired_json(text: Column) -> Column:
     mended = F.regexp_replace(plain, ",\\s*([\\]}])", "$1")
     tries = [bare, inner, mended]
     return F.coalesce(*(F.when(F.try_parse_json(F.nullif(t, F.lit(""))).isNotNull(), t) for t in tries))
+
+
+def running_starts(sizes: Column) -> Column:
+    """Where each of consecutive pieces begins, from 0; sizes is an array."""
+    at = F.sequence(F.lit(1), F.size(sizes))
+    step = lambda acc, n: F.struct(F.array_append(acc["out"], acc["sum"]).alias("out"), (acc["sum"] + n).alias("sum"))
+    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"))
+    return F.when(F.size(sizes) > 0, F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(F.slice(at, 1, 0))
+
+
+#: A line that opens a file's part of a joined text.
+SENTINEL = "<<<file:([^>]+)>>>"
+
+
+def joined_files(files: DataFrame, group: str, name: str, text: str) -> DataFrame:
+    """(group, text): the few files of each group in order of name, a sentinel line before each."""
+    part = F.concat(F.lit("<<<file:"), F.col(name).cast("string"), F.lit(">>>\n"), F.col(text))
+    rows = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), part.alias("p")))).alias("fs"))
+    return rows.select(group, F.array_join(F.transform("fs", lambda x: x["p"]), "\n").alias(text))
+
+
+def file_regions(joined: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, file, start, end): the characters of each file in a joined text; text before the first sentinel is file f1's."""
+    ids = F.concat(F.array(F.lit("f1")), F.regexp_extract_all(text, F.lit(SENTINEL), F.lit(1)))
+    parts = F.split(text, SENTINEL + "\n?", -1)
+    gaps = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit("(" + SENTINEL + "\n?)"), F.lit(1)), lambda m: F.length(m)))
+    d = joined.select(group, ids.alias("ids"), parts.alias("ps"), gaps.alias("gs"))
+    starts = running_starts(F.zip_with("gs", "ps", lambda g, p: g + F.length(p)))
+    d = d.select(group, F.explode(F.arrays_zip(F.col("ids").alias("file"), F.zip_with(starts, "gs", lambda s, g: s + g).alias("start"), F.transform("ps", lambda p: F.length(p)).alias("n"), F.transform("ps", lambda p: p.endswith("\n").cast("int")).alias("tail"))).alias("r"))
+    # the line feed before the next sentinel belongs to none
+    last = F.col("r.start") + F.col("r.n") - F.col("r.tail")
+    return d.select(group, F.col("r.file").alias("file"), F.col("r.start").alias("start"), last.alias("end")).where(F.col("end") > F.col("start"))
