@@ -42,6 +42,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -475,6 +476,20 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"flush": pa.array(np.full(len(keys), one["flush"][0].as_py())), "ref": pa.array(np.arange(len(keys)), pa.int32()), "key": keys, "mark": marks, "n": n, "n_known": known, "base": sums[2], "score": sums[3]})
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray):
+    """A function of a column: the value of each key, null where it is NaN or missing. keys are HOT at most."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+
+    @F.pandas_udf("double")
+    def find(column: pd.Series) -> pd.Series:
+        wanted = column.to_numpy()
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        return pd.Series(np.where(keys[at] == wanted, values[at], np.nan) if len(keys) else np.full(len(wanted), np.nan))
+
+    return find
+
+
 def is_training(doc_id: Column) -> Column:
     """The documents to learn from: crc32 of the id as text, modulo 10, is not 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 != 0, F.lit(True))
@@ -506,11 +521,12 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     # the bigrams of frequent words, over all classes; at most HOT rows of totals
     pairs = materialize(got.where("kind = 5").groupBy("prev", "word").agg(F.sum("n").alias("c2")), "hot-pairs")
     followers = {r["prev"]: r["t"] for r in pairs.groupBy("prev").agg(F.count("*").alias("t")).collect()}
-    totals = [(x, float(c), followers.get(x, 0)) for x, c in zip(hot.view(np.int64).tolist(), exact.tolist()) if c > 0]
-    totals = F.broadcast(spark.createDataFrame(totals, "prev long, c1 double, t1 long"))
+    c1, t1 = np.where(exact > 0, exact, np.nan), np.array([followers.get(x, 0) for x in hot.view(np.int64).tolist()], np.float64)
+    total_of = _looked_up(hot.view(np.int64), c1)
+    back_off = _looked_up(hot.view(np.int64), np.log10(np.maximum(DISCOUNT * t1, 1e-12)) - np.log10(c1))
     after = got.where("kind = 4").select("flush", "ref", "prev", "word", "n", F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
-    after = after.join(pairs.select("prev", F.col("word").alias("low"), "c2"), ["prev", "low"], "left").join(totals, "prev", "left")
-    term = F.when(F.col("c2").isNotNull(), F.log10((F.col("c2") - DISCOUNT) / F.col("c1"))).when(F.col("c1").isNotNull(), F.log10(DISCOUNT * F.col("t1") / F.col("c1"))).otherwise(0.0)
+    after = after.join(pairs.select("prev", F.col("word").alias("low"), "c2"), ["prev", "low"], "left")
+    term = F.when(F.col("c2").isNotNull(), F.log10((F.col("c2") - DISCOUNT) / total_of("prev"))).otherwise(F.coalesce(back_off("prev"), F.lit(0.0)))
     after = materialize(after.select("flush", "ref", F.when(F.col("c2").isNull(), F.col("word")).alias("word"), "n", (F.col("n") * term).alias("term")), "after-hot")
 
     unknown = got.where("kind = 1").select("flush", "ref", "word", "n").unionByName(after.where("word is not null").select("flush", "ref", "word", "n"))
