@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.session import materialize
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): breadth-first depth from the nodes that no edge enters.
 
     edges has src and dst. Each round joins the frontier only; nodes of cycles that no
-    root reaches have no row. `most` bounds the rounds and fails loudly beyond.
+    root reaches have no row. There are as many rounds as layers, unless `most` is given: then
+    more layers are an error.
     """
     frontier = nodes.select("node").join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("depth"))
     seen = frontier = materialize(frontier, "layer")
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "layer")
         if frontier.isEmpty():
@@ -25,10 +28,10 @@ def layers(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     raise ValueError(f"more than {most} layers")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(root, node, depth): all that each root reaches, at its least depth, itself at 0."""
     frontier = seen = materialize(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "reach")
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")), "reach")
         if frontier.isEmpty():
@@ -38,8 +41,12 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """The edges that remain once nodes without a way in or out are peeled off, round by round."""
-    left = materialize(edges.select("src", "dst").distinct(), "cycle")
+    """The edges (src, dst) that lie on a cycle.
+
+    Nodes without a way in or out are peeled off, round by round. Of what is left an edge is
+    on a cycle if its end reaches its beginning; the ends are followed in joins.
+    """
+    left = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "cycle")
     n = left.count()
     while n:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -48,7 +55,29 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         before, n = n, left.count()
         if n == before:
             break
-    return left
+    if not n:
+        return left
+    reach = descendants(left, left.select(F.col("dst").alias("node")).distinct(), most=None)
+    back = reach.select(F.col("root").alias("dst"), F.col("node").alias("src")).distinct()
+    return left.join(back, ["src", "dst"], "left_semi")
+
+
+def typed_edges(edges: DataFrame, undirected: tuple[str, ...] = (), loops: bool = False) -> DataFrame:
+    """(kind, src, dst), each edge once; edges of undirected kinds have their smaller end first."""
+    flat = F.col("kind").isin(*undirected) if undirected else F.lit(False)
+    e = edges.select("kind", F.when(flat, F.least("src", "dst")).otherwise(F.col("src")).alias("src"), F.when(flat, F.greatest("src", "dst")).otherwise(F.col("dst")).alias("dst"))
+    return (e if loops else e.where("src <> dst")).distinct()
+
+
+def safe_inserts(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, b, kind) of wanted (a, b), b to be a prerequisite of a; edges (src, dst): src needs dst.
+
+    kind: same for a loop, together where b needs a already, directly or not, else prerequisite.
+    """
+    reach = descendants(edges, wanted.select(F.col("b").alias("node")).distinct())
+    needs = reach.where("depth > 0").select(F.col("root").alias("b"), F.col("node").alias("a")).distinct().withColumn("__needs", F.lit(True))
+    j = wanted.join(needs, ["a", "b"], "left")
+    return j.select("a", "b", F.when(F.col("a") == F.col("b"), "same").when(F.col("__needs"), "together").otherwise("prerequisite").alias("kind"))
 
 
 def fringes(beliefs: DataFrame, edges: DataFrame, hi: float = 0.8) -> tuple[DataFrame, DataFrame]:

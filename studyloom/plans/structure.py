@@ -188,13 +188,13 @@ def grid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH l AS (SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN repeat('.', 3 + p_size % 5) WHEN p_size % 3 = 1 THEN chr(9) ELSE ' ' END || p_partkey AS line FROM part WHERE p_partkey < 10000)
-SELECT p_partkey, p_name AS title, p_partkey::INT AS page FROM l JOIN part USING (p_partkey) WHERE p_size % 3 < 2""")
+WITH l AS (SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN repeat('.', 3 + p_size % 5) WHEN p_size % 3 = 1 THEN chr(9) ELSE ' ' END || p_partkey % 10000 AS line FROM part)
+SELECT p_partkey, p_name AS title, (p_partkey % 10000)::INT AS page FROM l JOIN part USING (p_partkey) WHERE p_size % 3 < 2""")
 def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and pages of contents lines with dot leaders or tabs."""
-    p, k = table(spark, sf_dir, "part").where("p_partkey < 10000"), F.col("p_size") % 3
+    p, k = table(spark, sf_dir, "part"), F.col("p_size") % 3
     gap = F.when(k == 0, F.expr("repeat('.', 3 + p_size % 5)")).when(k == 1, "\t").otherwise(" ")
-    return p.select("p_partkey", T.toc_entry(F.concat("p_name", gap, F.col("p_partkey").cast("string"))).alias("e")).where("e is not null").select("p_partkey", "e.title", "e.page")
+    return p.select("p_partkey", T.toc_entry(F.concat("p_name", gap, (F.col("p_partkey") % 10000).cast("string"))).alias("e")).where("e is not null").select("p_partkey", "e.title", "e.page")
 
 
 @BOOK.query("""
@@ -270,14 +270,13 @@ def emitted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH t AS (SELECT source, string_agg('<<<file:' || doc_id || '>>>' || chr(10) || text[1:200], chr(10) ORDER BY doc_id) AS t FROM documents WHERE doc_id < 200 GROUP BY source),
-d AS (SELECT source, doc_id, text[1:200] AS b, length('<<<file:' || doc_id || '>>>' || chr(10)) AS m, length(text[1:200]) AS n FROM documents WHERE doc_id < 200)
-SELECT source, doc_id::VARCHAR AS file, CAST(sum(m + n + 1) OVER (PARTITION BY source ORDER BY doc_id) - n - 1 AS BIGINT) AS first_char, n AS chars FROM d""")
+WITH d AS (SELECT doc_id // 5 AS bundle, doc_id, length('<<<file:' || doc_id || '>>>' || chr(10)) AS m, length(regexp_replace(text, '\\n+$', '')) AS n FROM documents),
+r AS (SELECT bundle, doc_id::VARCHAR AS file, CAST(sum(m + n + 1) OVER (PARTITION BY bundle ORDER BY doc_id) - n - 1 AS BIGINT) AS first_char, n AS chars FROM d) SELECT * FROM r WHERE chars > 0""")
 def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files joined with a sentinel line before each, and the regions found again by the sentinels."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("source", "doc_id", F.substring("text", 1, 200).alias("text"))
-    joined = readers.joined_files(d, "source", "doc_id", "text")
-    return readers.file_regions(joined, "source", "text").select("source", "file", F.col("start").cast("long").alias("first_char"), (F.col("end") - F.col("start")).cast("long").alias("chars"))
+    """Bundles of five files joined with a sentinel line before each, and the regions found again by the sentinels."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("bundle"), "doc_id", F.regexp_replace("text", "\\n+\\z", "").alias("text"))
+    joined = readers.joined_files(d, "bundle", "doc_id", "text")
+    return readers.file_regions(joined, "bundle", "text").select("bundle", "file", F.col("start").cast("long").alias("first_char"), (F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
 @BOOK.query("""
