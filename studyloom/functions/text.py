@@ -40,7 +40,7 @@ def first_person_count(text: Column) -> Column:
 
 def token_set_a(text: Column, least: int = 3) -> Column:
     """Letters and digits of any script, at least `least` long, distinct."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)), lambda t: F.length(t) >= least))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[\\p{{L}}\\p{{N}}]{{{least},}}"), F.lit(0)))
 
 
 @lru_cache(1)
@@ -61,7 +61,7 @@ def fold_accents(text: Column) -> Column:
 
 def token_list_d(text: Column, least: int = 4, stop: list[str] | None = None) -> Column:
     """Accent-folded runs of a-z and 0-9, in order, without stop words."""
-    found = F.filter(F.split(fold_accents(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
+    found = F.regexp_extract_all(fold_accents(F.coalesce(text, F.lit(""))), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
@@ -71,7 +71,13 @@ def token_set_b(text: Column, least: int = 4, stop: list[str] | None = None) ->
 
 def token_set_c(text: Column, least: int = 4) -> Column:
     """Runs of ASCII letters, digits and underscores, at least `least` long, distinct."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_]+"), lambda t: F.length(t) >= least))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[A-Za-z0-9_]{{{least},}}"), F.lit(0)))
+
+
+def token_hashes_c(text: Column, least: int = 4) -> Column:
+    """token_set_c as 64-bit hashes, for joins."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z0-9_]{{{least},}}"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
 def slug(text: Column, most: int = 80) -> Column:

@@ -146,7 +146,7 @@ FROM c JOIN t USING (doc_id) GROUP BY class_id"""
 @BOOK.query(NEAR_SQL)
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with token Jaccard 0.85 or more, as classes; the longest text survives, then the lowest id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), T.token_set_c(F.col("text")).alias("members"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), T.token_hashes_c(F.col("text")).alias("members"))
     docs = materialize(docs, "token-sets")
     classes = joins.set_similarity_classes(docs.select(F.col("doc_id").alias("id"), "members"), 0.85)
     j = classes.join(docs.select(F.col("doc_id").alias("id"), "chars"), "id")
