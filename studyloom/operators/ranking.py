@@ -28,11 +28,11 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return rows.withColumn("__r", local).join(before, "__p").select(*kept, (F.col("__r") + F.col("__skip")).cast("long").alias(name))
 
 
-def top_fraction(df: DataFrame, keys: list[str], order: list[Column], fraction: float, least: int = 1) -> DataFrame:
-    """The first max(least, ceil(fraction * n)) rows of each key."""
-    n = df.groupBy(*keys).agg(F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.count("*"))).alias("__most"))
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.join(n, keys).where(F.col("__rank") <= F.col("__most")).drop("__rank", "__most")
+def top_fraction(df: DataFrame, key: str, order: Sequence[Column], fraction: float, least: int = 1, name: str = "rank") -> DataFrame:
+    """The first max(least, ceil(fraction * n)) rows of each key, with their rank; keys may be of any size."""
+    n = df.groupBy(F.col(key).alias("__k")).agg(F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.count("*"))).alias("__most"))
+    ranked = rank_in_key(df, key, order, name)
+    return ranked.join(n, F.col(key).eqNullSafe(F.col("__k"))).where(F.col(name) <= F.col("__most")).drop("__k", "__most")
 
 
 def distribute(df: DataFrame, weight: str, total: int, order: list[Column]) -> DataFrame:
@@ -46,25 +46,28 @@ def distribute(df: DataFrame, weight: str, total: int, order: list[Column]) -> D
     return out.withColumn("share", F.col("__floor") + extra).drop("__w", "__floor", "__rank", "__rest")
 
 
-def prefix_within_budget(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: Column) -> DataFrame:
-    """The leading rows of each key whose running cost stays within the budget."""
-    run = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("__run", run).where(F.col("__run") <= budget).drop("__run")
+def _running(df: DataFrame, key: str, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of value over the rows of the key up to each row.
 
-
-def rank_in_key(df: DataFrame, key: str, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """row_number within a key, from 1, for keys of any size: rows are range-partitioned by key and order.
-
-    A key that spans several partitions counts on from the partitions before; no task holds
-    a whole key. order should be total within a key.
+    Rows are range-partitioned by key and order; a key that spans several partitions counts
+    on from the partitions before, so no task holds a whole key. order should be total
+    within a key.
     """
     kept = df.columns
-    cols = [F.col(key), *(F.col(c) for c in order)]
-    rows = materialize(df.repartitionByRange(*cols).withColumn("__p", F.spark_partition_id()), "ranked")
-    # a partition and key each: as many rows as keys and partitions together
-    sizes = rows.groupBy(key, "__p").agg(F.count("*").alias("__n"))
-    skip = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sizes.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), skip.alias("__skip"))
-    local = F.row_number().over(Window.partitionBy(key, "__p").orderBy(*order))
-    out = rows.withColumn("__r", local).join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
-    return out.select(*kept, (F.col("__r") + F.col("__skip")).cast("long").alias(name))
+    rows = materialize(df.withColumn("__v", value).repartitionByRange(F.col(key), *order).withColumn("__p", F.spark_partition_id()), "running")
+    # as many rows as keys and partitions together
+    sums = rows.groupBy(F.col(key).alias("__k"), F.col("__p").alias("__q")).agg(F.sum("__v").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy("__k").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.sum("__v").over(Window.partitionBy(key, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("__r", local).join(sums.select("__k", "__q", before.alias("__b")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return out.select(*kept, (F.col("__r") + F.col("__b")).alias(name))
+
+
+def rank_in_key(df: DataFrame, key: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """row_number within a key, from 1, for keys of any size."""
+    return _running(df, key, order, F.lit(1).cast("long"), name)
+
+
+def prefix_within_budget(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: Column) -> DataFrame:
+    """The leading rows of each key whose running cost stays within the budget; keys may be of any size."""
+    return _running(df, key, order, F.col(cost), "__run").where(F.col("__run") <= budget).drop("__run")

@@ -217,9 +217,9 @@ def last_purchase_before_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.user_id, count(*) AS n FROM events a WHERE a.event_type = 'error' AND EXISTS (
   SELECT 1 FROM events b WHERE b.event_type = 'click' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000) GROUP BY a.user_id""")
 def errors_near_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors with a click of anyone within a minute, by a band semi join."""
+    """Errors with a click of anyone within a minute."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    near = joins.band_join(e.where("event_type = 'error'"), e.where("event_type = 'click'").select(F.col("us").alias("other")), "us", "other", 60_000_000, "left_semi")
+    near = joins.near_any(e.where("event_type = 'error'"), e.where("event_type = 'click'").select(F.col("us").alias("other")), "us", "other", 60_000_000)
     return near.groupBy("user_id").agg(F.count("*").alias("n"))
 
 

@@ -144,8 +144,11 @@ def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query("SELECT p_partkey, p_brand, least(6, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC)) AS level FROM part")
 def size_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes as heading levels, the largest first, six at most."""
-    rank = F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size")))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.least(F.lit(6), rank).cast("long").alias("level"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    # ranked are the distinct sizes of a brand, not its parts
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size")))
+    sizes = p.select("p_brand", "p_size").distinct().withColumn("level", F.least(F.lit(6), rank).cast("long"))
+    return p.join(sizes, ["p_brand", "p_size"]).select("p_partkey", "p_brand", "level")
 
 
 @BOOK.query("""
@@ -188,7 +191,11 @@ SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(hits AS BIGINT) AS hits FROM
 def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window of 80 words, of those at every 20th, with most hits of a document's first three words."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)).alias("ws"))
-    d = d.select("doc_id", "ws", F.slice("ws", 1, 3).alias("terms"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.size("ws")) - 1, F.lit(20))).alias("start"))
-    hits = F.size(F.filter(F.slice("ws", F.col("start") + 1, F.lit(80)), lambda x: F.array_contains(F.col("terms"), x)))
-    h = d.select("doc_id", F.col("start").cast("long").alias("start"), hits.cast("long").alias("hits"))
-    return h.groupBy("doc_id").agg(F.max_by(F.struct("start", "hits"), F.struct(F.col("hits"), -F.col("start"))).alias("b")).select("doc_id", "b.start", "b.hits")
+    # a hit counts for the windows that hold its place: at most four
+    hit = F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains(F.slice("ws", 1, 3), w), i)), lambda i: i.isNotNull())
+    first = F.greatest(F.lit(0), F.floor((F.col("i") - 79 + 19) / 20)).cast("int")
+    hits = d.select("doc_id", F.explode(hit).alias("i")).select("doc_id", F.explode(F.sequence(first, F.floor(F.col("i") / 20).cast("int"))).alias("k"))
+    h = hits.groupBy("doc_id", (F.col("k") * 20).cast("long").alias("start")).agg(F.count("*").alias("hits"))
+    best = h.groupBy("doc_id").agg(F.max_by(F.struct("start", "hits"), F.struct(F.col("hits"), -F.col("start"))).alias("b"))
+    zero = F.lit(0).cast("long")
+    return d.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("b.start", zero).alias("start"), F.coalesce("b.hits", zero).alias("hits"))

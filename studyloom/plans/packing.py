@@ -256,7 +256,7 @@ def legacy_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size <= 40, p_partkey) AS place FROM part""")
 def threshold_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks renumbered with those of threshold concepts in front, the order kept otherwise."""
-    return rank_in_key(table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") <= 40).alias("late")), "p_brand", ["late", "p_partkey"], "place").select("p_brand", "p_partkey", "place")
+    return rank_in_key(table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") <= 40).alias("late")), "p_brand", [F.col("late"), F.col("p_partkey")], "place").select("p_brand", "p_partkey", "place")
 
 
 @BOOK.query("""

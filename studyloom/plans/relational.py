@@ -118,9 +118,7 @@ SELECT p_partkey, p_brand, r AS place FROM (SELECT *, row_number() OVER (PARTITI
 def threshold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest 12 % of each brand, one at least."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    order = [F.desc("p_retailprice"), F.col("p_partkey")]
-    top = ranking.top_fraction(p, ["p_brand"], order, 0.12)
-    return top.select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(*order)).cast("long").alias("place"))
+    return ranking.top_fraction(p, "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 0.12, name="place").select("p_partkey", "p_brand", "place")
 
 
 @BOOK.query("""
@@ -129,7 +127,7 @@ def merge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in order until a tenth of their brand's size is used up."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
     p = p.join(p.groupBy("p_brand").agg((0.1 * F.sum("p_size")).alias("budget")), "p_brand")
-    return ranking.prefix_within_budget(p, ["p_brand"], [F.col("p_partkey")], "p_size", F.col("budget")).select("p_brand", "p_partkey")
+    return ranking.prefix_within_budget(p, "p_brand", [F.col("p_partkey")], "p_size", F.col("budget")).select("p_brand", "p_partkey")
 
 
 @BOOK.query("SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) % 7 AS batch FROM part")
@@ -144,13 +142,13 @@ s AS (SELECT *, r <= ceil(0.7 * n) AS fresh FROM r)
 SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN fresh THEN r ELSE r - ceil(0.7 * n) END, CASE WHEN fresh THEN 0 ELSE 1 END) AS place FROM s""")
 def novelty_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 70 % most novel of a brand zipped with the familiar rest."""
-    w = Window.partitionBy("p_brand")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    n = p.groupBy("p_brand").agg(F.ceil(0.7 * F.count("*")).alias("most"))
-    r = p.withColumn("r", F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey"))).join(n, "p_brand")
-    fresh = F.col("r") <= F.col("most")
-    r = r.withColumns({"turn": F.when(fresh, F.col("r")).otherwise(F.col("r") - F.col("most")), "stream": F.when(fresh, 0).otherwise(1)})
-    return r.select("p_partkey", "p_brand", F.row_number().over(w.orderBy("turn", "stream")).cast("long").alias("place"))
+    n = p.groupBy("p_brand").agg(F.ceil(0.7 * F.count("*")).alias("most"), F.count("*").alias("n"))
+    r = ranking.rank_in_key(p, "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], "r").join(n, "p_brand")
+    # in each turn a novel one, then a familiar one, as long as there are any
+    turn = F.col("r") - F.col("most")
+    place = F.when(F.col("r") <= F.col("most"), F.col("r") + F.least(F.col("r") - 1, F.col("n") - F.col("most"))).otherwise(turn + F.least(turn, F.col("most")))
+    return r.select("p_partkey", "p_brand", place.cast("long").alias("place"))
 
 
 @BOOK.query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 80")
