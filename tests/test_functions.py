@@ -65,7 +65,8 @@ def test_state_steps_match_the_column(spark):
 def test_fold_keeps_keys_apart(spark):
     df = spark.createDataFrame([(1, 0.0, 5, 1), (2, 0.0, 1, 2), (1, 86400.0, 4, 3), (None, 0.0, 3, 4)], "k long, ts double, quality int, seq long")
     out = {r["k"]: r for r in state.sm2_fold(df, "k").collect()}
-    assert out[1]["reps"] == 2 and out[2]["reps"] == 0 and len(out) == 2
+    assert out[1]["reps"] == 2 and out[2]["reps"] == 0 and len(out) == 3
+    assert out[None]["reps"] == 1  # rows without a key are a group of their own
 
 
 def test_components(spark):
