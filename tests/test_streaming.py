@@ -1,19 +1,21 @@
 """A replayed stream ends in the state of the batch fold."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators import state
 from studyloom.streaming import answers
 
 
-def test_sm2_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("expire", [None, 3_600_000])
+def test_sm2_stream_equals_batch(spark, tmp_path, expire):
     rows = [(u, float(86400 * d), (u + d) % 6, d) for u in range(5) for d in range(8)]
     schema = "user_id long, ts double, quality int, seq long"
     src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
     for k in range(2):
         spark.createDataFrame([r for r in rows if r[3] // 4 == k], schema).coalesce(1).write.mode("append").parquet(src)
     spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
-    stream = answers.sm2_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src))
+    stream = answers.sm2_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src), expire_ms=expire)
     got = []
     q = stream.writeStream.outputMode("update").option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(lambda df, i: got.extend(df.collect())).start()
     q.awaitTermination(120)
