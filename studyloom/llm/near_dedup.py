@@ -279,3 +279,15 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     classes = near_classes(docs, width, percent, doc_id, text)
     gone = materialize(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)), "near-copies")
     return docs.join(gone, docs[doc_id] == gone[name], "left_anti")
+
+
+#: What `near_report` returns, for tables small enough to count shared shingles by pairs.
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS ss FROM w),
+u AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS x, any_value(b.n) AS y FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (x + y - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.id WHERE r.least < e.b),
+k AS (SELECT id, min(least) AS component FROM r GROUP BY id)
+SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM s JOIN k ON k.id = doc_id"""

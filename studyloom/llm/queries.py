@@ -63,4 +63,4 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLES = {"op5_exact_dedup": exact_dedup.COPIES_SQL}
+ORACLES = {"op3_minhash_near_dedup": near_dedup.NEAR_SQL, "op4_substring_dedup": substring_dedup.REPEATS_SQL, "op5_exact_dedup": exact_dedup.COPIES_SQL}

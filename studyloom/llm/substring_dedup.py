@@ -223,3 +223,15 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
 
 def repeats_report(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: What `repeats_report` returns, for tables small enough to hold every window as text.
+REPEATS_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' '))) AS vs FROM w WHERE len(ws) >= 35),
+u AS (SELECT doc_id, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM v),
+t AS (SELECT doc_id, i FROM u WHERE v IN (SELECT v FROM u GROUP BY v HAVING count(*) > 1)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT x.doc_id, x.i, word, x.i - t.i < 35 AS gone FROM x ASOF LEFT JOIN t ON t.doc_id = x.doc_id AND t.i <= x.i),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone IS NOT TRUE), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id"""
