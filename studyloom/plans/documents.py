@@ -187,6 +187,6 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, grouping(source) AS is_total, CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, count(DISTINCT text) AS texts
 FROM documents GROUP BY GROUPING SETS ((lang, source), (lang))""")
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", "source", F.length("text").alias("chars"), F.xxhash64("text").alias("h"))
+    d = table(spark, sf_dir, "documents").select("lang", "source", F.length("text").alias("chars"), F.sha2("text", 256).alias("h"))
     g = d.groupingSets([["lang", "source"], ["lang"]], "lang", "source").agg(F.grouping("source").cast("long").alias("is_total"), F.count("*").alias("n"), F.round(F.avg("chars"), 4).alias("mean_chars"), F.count_distinct("h").alias("texts"))
     return g.select("lang", "is_total", F.when(F.col("is_total") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "mean_chars", "texts")
