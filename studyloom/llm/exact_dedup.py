@@ -47,7 +47,8 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     rows = rows.select(*names, "id", F.unhex(F.md5("t")).alias("md5"), F.sha2("t", 256).alias("sha256"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     copy = F.struct(keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha256").alias("text_sha256"))
-    return rows.join(groups, ["md5", "sha256"], "left").select(*(F.col(n).alias(x) for x, n in zip(carry, names)), copy.alias(name))
+    # groups grow with the corpus, so they are merged and never broadcast; a hot text's rows can be split
+    return rows.join(groups.hint("merge"), ["md5", "sha256"], "left").select(*(F.col(n).alias(x) for x, n in zip(carry, names)), copy.alias(name))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
