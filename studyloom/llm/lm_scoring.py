@@ -16,8 +16,8 @@ every word position, with its left and right neighbour, to the bucket of its wor
 texts of a task travel once. A bucket has about BUCKET_TOKENS positions: it holds all
 counts of its contexts, builds its trie in a temporary file, maps it into memory and
 scores the same positions against it; it returns sums for each text. A word that would
-fill half a bucket or more is dealt over as many as it needs by a class of its left
-neighbour. Each class holds all of its u, so its counts of u,v,w are whole; its counts of
+fill half a bucket or more, or is 1/400 of all, is dealt over as many as it needs by a
+class of its left neighbour. Each class holds all of its u, so its counts of u,v,w are whole; its counts of
 v,w are summed over the classes, and what follows no known u,v is joined with those sums.
 What no trie knows goes through one more join for c(w). Neighbours are kept as hashes of
 32 bits. The list of dealt words is cut at HOT, so a bucket can grow only by words beyond
@@ -59,6 +59,8 @@ BUCKET_TOKENS = 700_000
 HELD_TOKENS = 1_000_000
 #: Words that are dealt over several buckets, at most: 16 bytes each in every task.
 HOT = 50_000
+#: A word of this share is treated like those that fill half a bucket, so that inputs of all sizes treat frequent words alike.
+FREQUENT = 1 / 400
 DISCOUNT = 0.75
 _U = np.uint64
 END = 0x656E640065
@@ -506,7 +508,7 @@ def score_documents(docs: DataFrame, training: Column, doc_id: str = "doc_id", t
     total, v, n = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_buckets = max(12, -(-total // BUCKET_TOKENS))
     # HOT rows at most
-    often = words.where(2 * F.col("n") >= BUCKET_TOKENS).orderBy(F.desc("n"), "word").limit(HOT).collect()
+    often = words.where(F.col("n") >= min(BUCKET_TOKENS / 2, FREQUENT * total)).orderBy(F.desc("n"), "word").limit(HOT).collect()
     often = sorted((np.int64(r["word"]).view(np.uint64), r["n"], r["c"]) for r in often)
     hot = np.array([x for x, _, _ in often], np.uint64)
     classes = np.array([2 * m // BUCKET_TOKENS + 1 for _, m, _ in often], np.int64)
