@@ -563,6 +563,39 @@ def test_html_held_out_layouts():
     assert right >= 0.95 * total
 
 
+def brute_verdict(text):
+    """The quality verdict from plain word lists."""
+    ws = words(text)
+    if len(ws) < 20:
+        return False
+
+    def later(width):
+        seen, hit = set(), set()
+        for i in range(len(ws) - width + 1):
+            gram = tuple(ws[i : i + width])
+            hit |= set(range(i, i + width)) if gram in seen else set()
+            seen.add(gram)
+        return sum(len(ws[i]) for i in hit)
+
+    grams = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+    twice = {i + k for i in range(len(ws) - 7) if grams[tuple(ws[i : i + 8])] > 1 for k in range(8)}
+    chars, lines, seen = sum(map(len, ws)), 0, set()
+    for line in text.split("\n"):
+        if words(line):
+            lines += sum(map(len, words(line))) if line in seen else 0
+            seen.add(line)
+    shares = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    return 100 * len(twice) <= 30 * len(ws) and lines <= 0.2 * chars and symbols <= 0.1 * len(ws) and all(later(n) <= share * chars for n, share in shares.items())
+
+
+def test_quality_verdicts(docs, odd):
+    rows = both(docs, odd)
+    want = Counter((i, brute_verdict(t)) for i, t in collected(rows))
+    assert Counter((r["doc_id"], r["kept"]) for r in quality_rules.quality_report(rows).collect()) == want
+    assert len(set(want.values()) | {x[1] for x in want}) > 1
+
+
 def test_quality_rules(docs, odd):
     rows = both(docs, odd)
     want = Counter()
