@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from studyloom.functions.outcomes import looked_up
 
 #: Kinds of review sources, and what earlier versions called them.
-SOURCES = ("rsvp_block", "cloze_item", "slow_flashcard", "vault_concept", "vault_review_item", "recall_question", "mnemonic")
-LEGACY_SOURCES = {"rsvp": "rsvp_block", "cloze": "cloze_item", "slow": "slow_flashcard", "vault": "vault_concept", "vault_decay": "vault_concept", "vault_review": "vault_review_item"}
-PROVENANCES = ("document", "mnemonic", "vault_curation", "gap_fill")
+SOURCES = ("rsvp_block", "cloze_item", "slow_flashcard", "vault_concept", "vault_review_item", "global_concept", "recall_question")
+LEGACY_SOURCES = {"rsvp": "rsvp_block", "questions": "rsvp_block", "cloze": "cloze_item", "slow": "slow_flashcard", "vault_decay": "vault_concept", "vault": "vault_concept", "vault_review": "vault_review_item"}
+PROVENANCES = ("document", "gap_fill", "mnemonic", "vault_curation")
 LEGACY_PROVENANCES = {"mnemonic": "mnemonic", "vault_curation": "vault_curation", "vault": "vault_curation", "gap_fill": "gap_fill"}
 #: Weights of a connection: least, first, greatest.
 LEAST_WEIGHT, FIRST_WEIGHT, MOST_WEIGHT = 0.05, 0.30, 1.0
