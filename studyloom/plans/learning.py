@@ -31,6 +31,21 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "chunk", "n_lines", F.greatest(F.col("s") + F.col("n_lines") - 1, F.lit(1)).cast("long").alias("chars"))
 
 
+@BOOK.query(f"""
+WITH RECURSIVE {LINES_SQL}, q AS (SELECT doc_id, pos, unnest(list_transform(range(0, greatest(1, (length(line) + 299) // 300)), lambda i: line[i * 300 + 1:i * 300 + 300])) AS piece, generate_subscripts(list_transform(range(0, greatest(1, (length(line) + 299) // 300)), lambda i: i), 1) AS j FROM l),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, j) AS pos, length(piece) AS n FROM q),
+r(doc_id, pos, chunk, used) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM documents UNION ALL
+  SELECT p.doc_id, p.pos, CASE WHEN used = 0 OR used + 1 + n <= 300 THEN chunk ELSE chunk + 1 END, CASE WHEN used > 0 AND used + 1 + n <= 300 THEN used + 1 + n ELSE greatest(n, 1) END FROM r JOIN p ON p.doc_id = r.doc_id AND p.pos = r.pos + 1)
+SELECT doc_id, chunk, count(*) AS pieces, max(used) AS chars FROM r WHERE pos > 0 GROUP BY ALL""")
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed into chunks of 300 characters, longer ones cut first, so that no chunk is larger."""
+    pieces = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / 300).cast("int"))), lambda i: F.least(F.lit(300), n - i * 300))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.flatten(F.transform(F.split("text", "\n"), lambda x: pieces(F.length(x)))).alias("ns"))
+    d = d.select("doc_id", F.explode(F.arrays_zip(folds.chunk_numbers(F.col("ns"), 300).alias("chunk"), F.col("ns").alias("n"))).alias("c"))
+    g = d.groupBy("doc_id", F.col("c.chunk").cast("long").alias("chunk")).agg(F.count("*").alias("pieces"), F.sum("c.n").alias("s"))
+    return g.select("doc_id", "chunk", "pieces", F.greatest(F.col("s") + F.col("pieces") - 1, F.lit(1)).cast("long").alias("chars"))
+
+
 @BOOK.query(f"""
 WITH RECURSIVE {LINES_SQL},
 h AS (SELECT doc_id, len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\x0B]+')) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l WHERE len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\x0B]+')) BETWEEN 1 AND 6),
