@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import exact_dedup, html_extraction, lm_scoring, near_dedup, packing, piece_matching, pii, quality_rules, sharding, substring_dedup
+from studyloom.llm import conversation_repair, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, piece_matching, pii, quality_rules, sharding, substring_dedup
 from studyloom.session import table
 
 
@@ -48,6 +48,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_pii,
         op9_html_extraction,
         op10_quality_rules,
+        op11_conversation_repair,
     )
 }
 ORACLES = {"op3_minhash_near_dedup": near_dedup.NEAR_SQL, "op4_substring_dedup": substring_dedup.REPEATS_SQL, "op5_exact_dedup": exact_dedup.COPIES_SQL}
