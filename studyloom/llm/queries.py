@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import conversation_repair, embedding_whitening, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, piece_matching, pii, quality_rules, sharding, substring_dedup
+from studyloom.llm import conversation_repair, embedding_whitening, exact_dedup, html_extraction, lm_scoring, near_dedup, packing, piece_matching, pii, quality_classifier, quality_rules, sharding, substring_dedup
 from studyloom.session import table
 
 
@@ -52,6 +52,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classifier_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op9_html_extraction,
         op10_quality_rules,
         op11_conversation_repair,
+        op12_quality_classifier,
         op13_embedding_whitening,
     )
 }
