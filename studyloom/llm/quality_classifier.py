@@ -106,8 +106,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def class_counts(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents of each class, and those that hold each bucket, over all labelled training documents; BUCKETS rows at most."""
-    # only documents that may be learned from are dealt out to meet their labels
-    known = documents.select("doc_id", "text").where(~is_held_out(F.col("doc_id"))).join(labels, "doc_id").select("text", "quality")
+    # only documents that may be learned from are dealt out to meet their labels; those have no bound, so they are merged at every size
+    known = documents.select("doc_id", "text").where(~is_held_out(F.col("doc_id"))).join(labels.hint("merge"), "doc_id").select("text", "quality")
     found = known.mapInArrow(_counted, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     counts, docs = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     bucket = found["bucket"].to_numpy()
