@@ -26,7 +26,7 @@ _INTERVAL = "array<struct<lo:int,hi:int>>"
 
 
 def window_size(n_words: Column, n_blocks: Column) -> Column:
-    return F.greatest(F.lit(LEAST_WINDOW), F.ceil(n_words / n_blocks)).cast("int")
+    return F.greatest(F.lit(LEAST_WINDOW), F.ceil(n_words / F.greatest(n_blocks, F.lit(1)))).cast("int")
 
 
 def window_step(size: Column) -> Column:

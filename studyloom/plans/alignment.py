@@ -6,11 +6,14 @@ four words of its item, its signature the next eight, its phrase the first two.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
 from studyloom.operators import alignment as A
+from studyloom.operators import outline as O
 from studyloom.plans.registry import Book
 from studyloom.session import table
 
@@ -77,3 +80,48 @@ def aligned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select("doc_id", A.plain_text(F.col("text")).alias("plain"), F.when(F.col("doc_id") % 2 == 1, A.ranges(counts)).otherwise(F.array().cast("array<struct<lo:int,hi:int>>")).alias("sections"))
     out = d.join(blocks, "doc_id").select("doc_id", F.posexplode(A.aligned_blocks(F.col("plain"), F.col("blocks"), F.col("sections"))).alias("block", "x"))
     return out.select("doc_id", "block", "x.lo", "x.hi", "x.quality", "x.hits", F.array_join("x.matched", "|").alias("matched"))
+
+
+_LINE = "string_split(text, chr(10))"
+_PLAIN = "trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9_]+', ' ', 'g'))"
+#: RE2 has no look-around: digits inside a word are turned letter by letter
+_MEND = "list_reduce(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches({0}[i - 1] || {0}[i + 1], '^[A-Za-z0-9_][A-Za-z0-9_]$') THEN translate({0}[i], '601', 'ooi') ELSE {0}[i] END), lambda x, y: x || y)"
+OUTLINE_SQL = f"""l0 AS (SELECT doc_id AS doc, unnest({_LINE}) AS line, generate_subscripts({_LINE}, 1) - 1 AS pos FROM documents),
+l AS (SELECT doc, pos, pos // 12 AS page, line, len(regexp_extract_all(line, '[^ \\t\\n\\r\\f\\x0B]+')) AS n FROM l0),
+b AS (SELECT doc, pos AS block, page, trim(CASE WHEN pos % 4 = 0 THEN (page + 1) || '.' || (pos % 12 + 1) || ' ' || line ELSE line END) AS text FROM l),
+e AS (SELECT doc, pos AS entry, greatest(0, page + pos % 5 - 2) AS page, trim(CASE pos % 3 WHEN 0 THEN regexp_replace(line, '[.,]+$', '') WHEN 1 THEN translate(array_to_string(string_split(line, ' ')[1:5], ' '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE (page + 1) || '.' || (pos % 12 + 1) || ' ' || line END) AS title FROM l WHERE n BETWEEN 1 AND 9),
+bb AS (SELECT *, {_PLAIN.format(_MEND.format("text"))} AS b FROM b WHERE text <> '' AND NOT regexp_matches(text, '\\.{{4,}}\\s*\\d*\\s*$')),
+ee AS (SELECT *, {_PLAIN.format("title")} AS a, regexp_extract(title, '^(\\d+(\\.\\d+)*)', 1) AS number FROM e WHERE title <> ''),
+p AS (SELECT ee.doc, entry, block, title, text, a, b, abs(bb.page - ee.page) AS away, regexp_replace(text, '^\\d+(\\.\\d+)*\\.?\\s+', '') AS bare, len(regexp_split_to_array(text, '\\s+')) AS bn, len(regexp_split_to_array(title, '\\s+')) AS tn, string_split(a, ' ') AS aw,
+  number <> '' AND CASE WHEN contains(number, '.') THEN starts_with(text, number || ' ') OR starts_with(text, number || '.') ELSE regexp_extract(text, '^(\\d+(\\.\\d+)*)', 1) = number AND regexp_matches(text, '^\\d+\\.\\s+\\p{{Lu}}') END AS same FROM ee JOIN bb ON bb.doc = ee.doc AND abs(bb.page - ee.page) <= 10),
+q AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 100 WHEN contains(a, b) OR contains(b, a) THEN 80 ELSE CAST(floor(len(list_filter(aw, lambda w: list_contains(string_split(b, ' '), w))) / len(aw) * 60 + 0.5) AS INT) END AS loose FROM p),
+r AS (SELECT *, CASE WHEN same THEN 100 WHEN bare <> text AND lower(bare) = lower(title) THEN 100 WHEN lower(text) = lower(title) THEN 95 WHEN loose < 50 AND a <> '' AND starts_with(b, a[1:15]) THEN 60 ELSE loose END AS score FROM q),
+m AS (SELECT *, CASE away WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS tier FROM r WHERE score >= 50 AND (away <= 5 OR score >= 100) AND NOT (bn < 2 AND tn >= 2) AND NOT (length(text) < 4 AND length(title) >= 8)
+  AND (bn <= 6 OR score >= 80 OR starts_with(lower(text), lower(title)) OR regexp_matches(text, '^\\d+(\\.\\d+)*\\.?\\s+')) AND (bn <= 12 OR score >= 80 OR regexp_matches(text, '^\\d+(\\.\\d+)*\\.?\\s+\\S'))),
+best AS (SELECT doc, entry, block, score, tier FROM m QUALIFY row_number() OVER (PARTITION BY doc, entry ORDER BY CASE WHEN score >= 95 THEN tier ELSE 3 END, score DESC, tier, NOT same, CASE WHEN same THEN CASE WHEN lower(text) = lower(title) THEN 0 ELSE length(text) END ELSE 0 END, block) = 1)"""
+
+
+def _outline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Short lines as entries of an outline, some without their end, some with a number, pages somewhat off; all lines as blocks, every fourth numbered."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = d.select("doc", F.col("pos").cast("long").alias("pos"), F.floor(F.col("pos") / 12).alias("page"), "line")
+    number = F.concat((F.col("page") + 1).cast("string"), F.lit("."), (F.col("pos") % 12 + 1).cast("string"), F.lit(" "), F.col("line"))
+    blocks = d.select("doc", F.col("pos").alias("block"), "page", F.when(F.col("pos") % 4 == 0, number).otherwise(F.col("line")).alias("text"))
+    cut = F.translate(F.array_join(F.slice(F.split("line", " "), 1, 5), " "), ascii_lowercase, ascii_uppercase)
+    title = F.when(F.col("pos") % 3 == 0, F.regexp_replace("line", "[.,]+$", "")).when(F.col("pos") % 3 == 1, cut).otherwise(number)
+    entries = d.where(T.word_count(F.col("line")).between(1, 9)).select("doc", F.col("pos").alias("entry"), F.greatest(F.lit(0), F.col("page") + F.col("pos") % 5 - 2).alias("page"), title.alias("title"))
+    return entries, blocks
+
+
+@BOOK.query(f"WITH {OUTLINE_SQL} SELECT * FROM best")
+def outline_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of a document that each entry of its outline names."""
+    return O.match_outline(*_outline(spark, sf_dir))
+
+
+@BOOK.query(f"WITH {OUTLINE_SQL}, c AS (SELECT doc, count(*) AS entries FROM e GROUP BY doc), k AS (SELECT doc, count(*) AS matched FROM best GROUP BY doc) SELECT doc, entries, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / entries, 6) AS share FROM c LEFT JOIN k USING (doc)")
+def outline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each outline is found."""
+    entries, blocks = _outline(spark, sf_dir)
+    c = O.coverage(entries, O.match_outline(entries, blocks))
+    return c.select("doc", "entries", "matched", F.round("share", 6).alias("share"))
