@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.operators.components import connected_components
+from studyloom.operators.ranking import global_rank
 from studyloom.session import materialize
 
+#: Edges of a graph that one task solves.
+SMALL_GRAPH = 2000
+
 
 def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): breadth-first depth from the nodes that no edge enters.
@@ -40,26 +47,201 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) ->
     raise ValueError(f"deeper than {most}")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """The edges (src, dst) that lie on a cycle.
-
-    Nodes without a way in or out are peeled off, round by round. Of what is left an edge is
-    on a cycle if its end reaches its beginning; the ends are followed in joins.
-    """
-    left = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "cycle")
-    n = left.count()
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges left when ends without a way in or out are taken off, round by round."""
+    n = edges.count()
     while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = materialize(kept, "cycle")
-        before, n = n, left.count()
+        kept = edges.join(edges.select("g", F.col("dst").alias("src")).distinct(), ["g", "src"], "left_semi")
+        edges = materialize(kept.join(edges.select("g", F.col("src").alias("dst")).distinct(), ["g", "dst"], "left_semi").select("g", "src", "dst"), "peeled")
+        before, n = n, edges.count()
         if n == before:
             break
-    if not n:
-        return left
-    reach = descendants(left, left.select(F.col("dst").alias("node")).distinct(), most=None)
-    back = reach.select(F.col("root").alias("dst"), F.col("node").alias("src")).distinct()
-    return left.join(back, ["src", "dst"], "left_semi")
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(g, node, component): the nodes of cycles in each graph g of edges (g, src, dst), by their greatest node.
+
+    Forward colouring: every node takes the greatest node that reaches it. What then reaches
+    a colour's own node inside the colour is its component; the rest goes on with the edges
+    inside colours. Messages go along edges only, from nodes that changed, so no table of
+    reachable pairs comes about. There are as many rounds as the longest shortest ways.
+    """
+    left = materialize(edges.select("g", "src", "dst").where("src <> dst").distinct(), "strong")
+    found = left.select("g", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while not (left := _peeled(left)).isEmpty():
+        ends = left.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = materialize(ends.select("g", "node", F.col("node").alias("colour"), F.lit(True).alias("fresh")), "colours")
+        while not colour.where("fresh").isEmpty():
+            told = left.join(colour.where("fresh").select("g", F.col("node").alias("src"), "colour"), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.max("colour").alias("heard"))
+            greater = F.coalesce(F.col("heard") > F.col("colour"), F.lit(False))
+            colour = materialize(colour.join(told, ["g", "node"], "left").select("g", "node", F.when(greater, F.col("heard")).otherwise(F.col("colour")).alias("colour"), greater.alias("fresh")), "colours")
+        of = lambda end: colour.select("g", F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        left = materialize(left.join(of("src"), ["g", "src"]).join(of("dst"), ["g", "dst"]).where("src_colour = dst_colour").select("g", "src", "dst"), "strong")
+        inside = fresh = materialize(colour.where("node = colour").select("g", "node", F.col("colour").alias("component")), "inside")
+        while not fresh.isEmpty():
+            back = left.join(fresh.select("g", F.col("node").alias("dst"), "component"), ["g", "dst"]).select("g", F.col("src").alias("node"), "component").distinct()
+            fresh = materialize(back.join(inside.select("g", "node"), ["g", "node"], "left_anti"), "inside")
+            inside = inside.unionByName(fresh)
+        inside = materialize(inside, "components")
+        several = inside.join(left.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct(), ["g", "node"], "left_semi")
+        found = found.unionByName(several)
+        for end in ("src", "dst"):
+            left = left.join(inside.select("g", F.col("node").alias(end)), ["g", end], "left_anti")
+        left = materialize(left.select("g", "src", "dst"), "strong")
+    # a colour's own node that lies on no cycle is alone
+    alone = found.groupBy("g", "component").agg(F.count("*").alias("n")).where("n = 1").select("g", "component")
+    return materialize(found.join(alone, ["g", "component"], "left_anti").select("g", "node", "component"), "components")
+
+
+def _with_components(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """edges with `of_src` and `of_dst`, null for ends on no cycle."""
+    for end in ("src", "dst"):
+        edges = edges.join(components.select("g", F.col("node").alias(end), F.col("component").alias(f"of_{end}")), ["g", end], "left")
+    return edges
+
+
+def _by_size(edges: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """edges with `of`, what holds together when directions don't count: graphs of at most `small` edges, and larger ones."""
+    met = connected_components(edges)
+    edges = materialize(edges.join(met.select(F.col("node").alias("src"), F.col("component").alias("of")), "src"), "graphs")
+    sizes = edges.groupBy("of").count()
+    # as skewed as the graphs are: a join splits
+    sized = materialize(edges.join(sizes, "of"), "graphs")
+    return sized.where(F.col("count") <= small).drop("count"), sized.where(F.col("count") > small).drop("count")
+
+
+def _solved(few: DataFrame, step: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
+    """(src, dst) that step finds in each small graph."""
+    kinds = dict(few.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(step(rows), columns=["src", "dst"], dtype=object).astype(dict(rows.dtypes[["src", "dst"]]))
+
+    return few.groupBy("of").applyInPandas(run, f"src {kinds['src']}, dst {kinds['dst']}")
+
+
+def _cyclic(edges: pd.DataFrame) -> list[tuple]:
+    """The edges of one small graph that lie on a cycle: a walk by finishing times, then one against the edges."""
+    ways: dict[object, list[object]] = {}
+    back: dict[object, list[object]] = {}
+    pairs = list(edges[["src", "dst"]].itertuples(index=False, name=None))
+    for src, dst in pairs:
+        ways.setdefault(src, []).append(dst)
+        back.setdefault(dst, []).append(src)
+    seen, finished = set(), []
+    for root in ways:
+        open_ = [] if root in seen else [(root, iter(ways[root]))]
+        seen.add(root)
+        while open_:
+            node, rest = open_[-1]
+            step = next((x for x in rest if x not in seen), None)
+            if step is None:
+                finished.append(node)
+                open_.pop()
+            else:
+                seen.add(step)
+                open_.append((step, iter(ways.get(step, ()))))
+    of: dict[object, object] = {}
+    for root in reversed(finished):
+        if root not in of:
+            of[root], open_ = root, [root]
+            while open_:
+                for node in back.get(open_.pop(), ()):
+                    if node not in of:
+                        of[node] = root
+                        open_.append(node)
+    return [(a, b) for a, b in pairs if of[a] == of[b]]
+
+
+def on_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """The edges (src, dst) that lie on a cycle of more than one node: both ends are in one strong component.
+
+    Graphs of at most `small` edges are each solved in a task, larger ones by joins.
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    few, many = _by_size(e, small)
+    solved = _solved(few, _cyclic)
+    if many.isEmpty():
+        return solved
+    many = many.select(F.lit("").alias("g"), "src", "dst")
+    return solved.unionByName(_with_components(many, strong_components(many)).where("of_src = of_dst").select("src", "dst"))
+
+
+def _closing(edges: pd.DataFrame) -> list[tuple]:
+    """The edges of one small graph whose end reaches their beginning over heavier ones."""
+    ways: dict[object, list[object]] = {}
+    closing = []
+    for src, dst in edges.sort_values("r")[["src", "dst"]].itertuples(index=False, name=None):
+        seen, open_ = {dst}, [dst]
+        while open_ and src not in seen:
+            for node in ways.get(open_.pop(), ()):
+                if node not in seen:
+                    seen.add(node)
+                    open_.append(node)
+        if src in seen:
+            closing.append((src, dst))
+        ways.setdefault(src, []).append(dst)
+    return closing
+
+
+def break_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(src, dst, weight, dropped) of edges (src, dst, weight): the lightest edge of every cycle is dropped.
+
+    Dropping the lightest edge of each strong component, again and again, drops just the
+    edges whose end reaches their beginning over heavier ones (of equal weights the greater
+    src and dst are heavier). That is found by halves: strong components of the heavier
+    half drop all lighter edges inside them; those components are searched on with the
+    heavier edges, and the graph in which each is one node with the lighter ones. All parts
+    of a level are solved together, so there are as many levels as the number of edges of
+    the largest component has bits. Graphs and components of at most `small` edges are each
+    solved in a task, edge by edge, with the same result. Repeated edges count once, with their least
+    weight; loops are dropped; edges with a null end aren't there.
+    """
+    e = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    e = materialize(e, "weighted")
+    dropped = e.where("src = dst").select("src", "dst")
+    ranked = materialize(global_rank(e.where("src <> dst"), [F.desc("weight"), F.desc("src"), F.desc("dst")], "r"), "weighted")
+    few, many = _by_size(ranked.select("src", "dst", "r"), small)
+    dropped = dropped.unionByName(_solved(few, _closing))
+    many = many.select(F.lit("").alias("g"), "src", "dst", "r")
+    cyclic = materialize(_with_components(many, strong_components(many)).where("of_src = of_dst"), "cyclic")
+    sizes = cyclic.groupBy("of_src").count()
+    cyclic = materialize(cyclic.select("src", "dst", "r", F.col("of_src").alias("of")).join(sizes.withColumnRenamed("of_src", "of"), "of"), "cyclic")
+    dropped = dropped.unionByName(_solved(cyclic.where(F.col("count") <= small), _closing))
+    state = cyclic.where(F.col("count") > small).select(F.col("of").cast("string").alias("g"), "src", "dst", F.struct("src", "dst").alias("edge"), "r", F.lit(True).alias("open"))
+    state = materialize(state, "breaking")
+    while not state.isEmpty():
+        middle = state.where("open").groupBy("g").agg(F.percentile_approx("r", 0.5).alias("m"), F.count("*").alias("n"))
+        s = materialize(state.join(middle, "g"), "breaking")
+        heavy = ~F.col("open") | (F.col("r") <= F.col("m"))
+        both = materialize(_with_components(s, strong_components(s.where(heavy))), "breaking")
+        inside = F.coalesce(F.col("of_src") == F.col("of_dst"), F.lit(False))
+        goes = inside & F.col("open") & ((F.col("n") == 1) | (F.col("r") > F.col("m")))
+        dropped = dropped.unionByName(both.where(goes).select("edge.src", "edge.dst"))
+        rest = both.where(~goes & (F.col("n") > 1))
+        high = rest.where(inside).select(F.concat_ws("/", "g", F.lit("h"), F.col("of_src").cast("string")).alias("g"), "src", "dst", "edge", "r", "open")
+        met = lambda end: F.coalesce(f"of_{end}", end).alias(end)
+        low = rest.where(~inside).select(F.concat_ws("/", "g", F.lit("l")).alias("g"), met("src"), met("dst"), "edge", "r", (F.col("open") & (F.col("r") > F.col("m"))).alias("open"))
+        state = high.unionByName(low)
+        # parts without an open edge have nothing left to drop
+        state = materialize(state.join(state.where("open").select("g").distinct(), "g", "left_semi"), "breaking")
+    gone = dropped.withColumn("dropped", F.lit(True))
+    return e.join(gone, ["src", "dst"], "left").select("src", "dst", "weight", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+
+
+def probe_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges (src, dst, weight, dropped) of a graph to probe: both ends are nodes, and what is kept has no cycle.
+
+    A node that occurs twice is an error.
+    """
+    twice = nodes.groupBy("node").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"node {twice[0]['node']} occurs twice")
+    known = edges
+    for end in ("src", "dst"):
+        known = known.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    return break_cycles(known.select("src", "dst", "weight"))
 
 
 def typed_edges(edges: DataFrame, undirected: tuple[str, ...] = (), loops: bool = False) -> DataFrame:

@@ -191,6 +191,18 @@ def cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.on_cycles(n.where("p_size >= 46").join(after, "p_partkey").select("src", "dst"))
 
 
+@BOOK.query("""
+WITH RECURSIVE n AS (SELECT p_partkey, p_brand || ' ' || p_type AS node, round(0.4 + p_size / 100.0, 2) AS w FROM part), e AS (SELECT a.node AS src, b.node AS dst, min(a.w) AS w FROM n a JOIN n b ON b.p_partkey = a.p_partkey + 1 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY w DESC, src DESC, dst DESC) AS r FROM e),
+reach(r, src, node) AS (SELECT r, src, dst FROM o UNION SELECT x.r, x.src, o.dst FROM reach x JOIN o ON o.src = x.node AND o.r < x.r WHERE x.node <> x.src)
+SELECT o.src, o.dst, o.w AS weight, coalesce(bool_or(x.node = o.src), false) AS dropped FROM o JOIN reach x ON x.r = o.r GROUP BY ALL""")
+def acyclic_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prerequisites between the kinds of parts that follow each other, without the lightest edge of every cycle."""
+    n = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("src"), F.round(0.4 + F.col("p_size") / 100.0, 2).alias("weight"))
+    after = n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("src").alias("dst"))
+    return graph.probe_graph(n.select(F.col("src").alias("node")).distinct(), n.join(after, "p_partkey").select("src", "dst", "weight"))
+
+
 @BOOK.query("""
 WITH m AS (SELECT p_partkey AS id, p_partkey * 10 AS vault FROM part WHERE p_size < 40)
 SELECT DISTINCT a.vault AS dependent, b.vault AS prerequisite FROM lineitem JOIN m a ON a.id = l_partkey JOIN m b ON b.id = l_suppkey WHERE l_returnflag = 'N' AND l_partkey <> l_suppkey""")
