@@ -6,10 +6,13 @@ dependent (dst). All steps are joins on (doc, node).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.functions.outcomes import binary_entropy
+from studyloom.session import materialize
 
 #: Where an answer moves the belief in its concept, and how far.
 DIRECT, DIRECT_DAMP = {"knew": 0.88, "partial": 0.55, "missed": 0.15}, 0.85
@@ -18,6 +21,8 @@ SPREAD = [("knew", "up", 0.72, 0.6 * 0.55), ("knew", "down", 0.68, 0.6 * 0.45),
 HOPS = 2
 #: A concept is worth a probe between these beliefs.
 LOW, HIGH = 0.1, 0.8
+#: Fixed value: what a picked concept adds to the belief in those with the same prerequisites.
+SIBLING_LIFT = 0.72
 
 
 def clamp(p: Column) -> Column:
@@ -106,3 +111,55 @@ def next_probes(edges: DataFrame, beliefs: DataFrame, probed: DataFrame) -> Data
     gains = information_gain(candidates(beliefs, probed), edges, beliefs).withColumn("gain", F.round("gain", 9))
     best = gains.groupBy("doc").agg(F.min_by(F.struct("node", "gain"), F.struct(-F.col("gain"), "node")).alias("b"))
     return best.select("doc", "b.node", "b.gain").where("gain > 0")
+
+
+def _siblings(edges: DataFrame) -> DataFrame:
+    """(doc, node, kin): nodes with prerequisites; equal sets of them have equal kin, told by their number and 128 bits of sums."""
+    h = F.xxhash64("src").cast("decimal(38,0)")
+    sums = F.struct(F.count("*").alias("n"), F.sum(h).alias("a"), F.bit_xor(F.xxhash64("src", F.lit(1))).alias("b"))
+    return edges.select("doc", "src", "dst").distinct().groupBy("doc", F.col("dst").alias("node")).agg(sums.alias("kin"))
+
+
+def _near(touched: DataFrame, edges: DataFrame) -> DataFrame:
+    """touched (doc, node) and all within two hops up or down, whose gains their beliefs have a part in."""
+    out = touched
+    for a, b in (("src", "dst"), ("dst", "src")):
+        front = touched
+        for _ in range(HOPS):
+            front = front.join(edges.select("doc", F.col(a).alias("node"), F.col(b).alias("next")), ["doc", "node"]).select("doc", F.col("next").alias("node")).distinct()
+            out = out.unionByName(front)
+    return out.distinct()
+
+
+def next_probe_batch(edges: DataFrame, beliefs: DataFrame, probed: DataFrame, n: int) -> DataFrame:
+    """(doc, place, node, gain): up to n probes of each graph, taken one after another, all graphs at once.
+
+    A pick counts as known from then on: beliefs move, those of concepts with the same
+    prerequisites are lifted, and gains are worked out anew only for nodes within two hops
+    of a belief that moved. A graph is done when no pick has a gain, the least node wins ties.
+    """
+    edges = materialize(edges.select("doc", "src", "dst").distinct(), "probe-edges")
+    kin = materialize(_siblings(edges), "siblings")
+    beliefs = materialize(beliefs.select("doc", "node", "belief"), "beliefs")
+    gone = probed.select("doc", "node").distinct()
+    gains = materialize(information_gain(candidates(beliefs, gone), edges, beliefs), "gains")
+    picks = []
+    for place in range(1, n + 1):
+        rounded = gains.withColumn("gain", F.round("gain", 9))
+        best = rounded.groupBy("doc").agg(F.min_by(F.struct("node", "gain"), F.struct(-F.col("gain"), "node")).alias("b"))
+        pick = materialize(best.select("doc", F.lit(place).alias("place"), "b.node", "b.gain").where("gain > 0"), "picks")
+        picks.append(pick)
+        if place == n or pick.isEmpty():
+            break
+        probes = pick.select("doc", F.col("node").alias("probe"), F.lit("knew").alias("response"))
+        moved = updated(beliefs, propagate(probes, edges, beliefs))
+        alike = pick.join(kin, ["doc", "node"]).select("doc", F.col("node").alias("picked"), "kin").join(kin, ["doc", "kin"]).where("node <> picked").select("doc", "node", F.lit(True).alias("lifted"))
+        lifted = F.when(F.col("lifted") & (F.col("belief") < HIGH), F.least(F.lit(0.99), F.col("belief") + SIBLING_LIFT)).otherwise(F.col("belief"))
+        after = materialize(moved.join(alike, ["doc", "node"], "left").select("doc", "node", lifted.alias("belief")), "beliefs")
+        touched = after.join(beliefs.withColumnRenamed("belief", "before"), ["doc", "node"]).where("belief <> before").select("doc", "node")
+        gone = materialize(gone.unionByName(pick.select("doc", "node")), "probed")
+        stale = materialize(_near(touched, edges).unionByName(pick.select("doc", "node")).distinct(), "stale")
+        fresh = information_gain(candidates(after, gone).join(stale, ["doc", "node"], "left_semi"), edges, after)
+        kept = gains.join(pick.select("doc"), "doc", "left_semi").join(stale, ["doc", "node"], "left_anti")
+        gains, beliefs = materialize(kept.select("doc", "node", "gain").unionByName(fresh), "gains"), after
+    return reduce(DataFrame.unionByName, picks) if picks else gains.select("doc", F.lit(0).alias("place"), "node", "gain").limit(0)

@@ -6,6 +6,8 @@ with flag N as prerequisites. Beliefs come of the sizes of parts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,6 +84,32 @@ def next_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", "node", F.round("gain", 5).alias("gain"))
 
 
+def _round_sql(k: int) -> str:
+    """Gains, pick and beliefs after it of the k-th round, from the tables be{k} and gone{k}."""
+    own = lambda sql: re.sub(r"\b(u1|u2|d1|d2|al|fl|c0|c1|c2|c3|c4|be|pr)\b", rf"\1_{k}", sql)
+    told = own(f"{REACH_SQL}, {_chain_sql()}")
+    knew = re.sub(r"\b(u1|u2|d1|d2|al|fl|c0|c1|c2|c3|c4|pr)_(\d)\b", r"\1_\2k", told)
+    return f"""be_{k} AS (SELECT * FROM be{k}),
+pr_{k} AS (SELECT b.doc, b.node AS probe, r AS response FROM be{k} b, unnest(['knew', 'missed']) AS t(r) WHERE belief > 0.1 AND belief < 0.8 AND NOT EXISTS (SELECT 1 FROM gone{k} x WHERE x.doc = b.doc AND x.node = b.node)), {told},
+fall{k} AS (SELECT doc, probe, response, sum({H_SQL.format('belief')} - {H_SQL.format('b4')}) AS fall FROM c4_{k} GROUP BY ALL),
+gain{k} AS (SELECT f.doc, probe, round(sum(CASE WHEN response = 'knew' THEN belief ELSE 1 - belief END * fall), 9) AS gain FROM fall{k} f JOIN be{k} b ON b.doc = f.doc AND b.node = probe GROUP BY ALL),
+pick{k} AS (SELECT doc, arg_min(probe, (-gain, probe)) AS node, max(gain) AS gain FROM gain{k} GROUP BY doc HAVING max(gain) > 0),
+pr_{k}k AS (SELECT doc, node AS probe, 'knew' AS response FROM pick{k}), {knew},
+kin{k} AS (SELECT y.doc, y.node FROM pick{k} p JOIN kin x ON x.doc = p.doc AND x.node = p.node JOIN kin y ON y.doc = x.doc AND y.kin = x.kin AND y.node <> x.node),
+be{k + 1} AS (SELECT doc, node, CASE WHEN EXISTS (SELECT 1 FROM kin{k} x WHERE x.doc = m.doc AND x.node = m.node) AND belief < 0.8 THEN least(0.99, belief + 0.72) ELSE belief END AS belief
+  FROM (SELECT b.doc, b.node, coalesce(c.b4, b.belief) AS belief FROM be{k} b JOIN pick{k} p ON p.doc = b.doc LEFT JOIN c4_{k}k c ON c.doc = b.doc AND c.node = b.node) m),
+gone{k + 1} AS (SELECT * FROM gone{k} UNION ALL SELECT doc, node FROM pick{k})"""
+
+
+@BOOK.query(f"""WITH {GRAPH_SQL}, kin AS (SELECT doc, dst AS node, list_sort(list(src)) AS kin FROM ed GROUP BY doc, dst), be1 AS (SELECT * FROM be), gone1 AS (SELECT doc, probe AS node FROM pr), {', '.join(_round_sql(k) for k in (1, 2, 3))}
+SELECT doc, 1 AS place, node, round(gain, 5) AS gain FROM pick1 UNION ALL SELECT doc, 2, node, round(gain, 5) FROM pick2 UNION ALL SELECT doc, 3, node, round(gain, 5) FROM pick3""")
+def probe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three concepts of each graph to ask for, each chosen as if those before were known."""
+    e, b, probes = _graphs(spark, sf_dir)
+    out = B.next_probe_batch(e, b, probes.select("doc", F.col("probe").alias("node")), 3)
+    return out.withColumn("gain", F.round("gain", 5))
+
+
 @BOOK.query(f"WITH {GRAPH_SQL} SELECT doc, round(avg({H_SQL.format('belief')}), 6) AS entropy, avg({H_SQL.format('belief')}) < 0.85 AS stop FROM be GROUP BY doc")
 def early_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the beliefs of a graph are sure enough to stop asking (0.85 here)."""
