@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from studyloom.session import materialize
 
 #: A score from SURE on is the same concept, from HINT on a related one.
 SURE, HINT = 0.85, 0.6
+#: Fixed value: the score of an alias.
+ALIAS = 0.95
 GRAM = 3
 
 
@@ -42,6 +46,8 @@ def token_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """
     both = left.select(F.explode(F.array_distinct("words")).alias("w")).unionByName(right.select(F.explode(F.array_distinct("words")).alias("w")))
     often = materialize(both.groupBy("w").agg(F.count("*").alias("df")), "name-words")
+    twice = F.size("words") > F.size(F.array_distinct("words"))
+    every = lambda rows, name: rows.select(name, F.explode(F.array_distinct("words")).alias("w"))
 
     def keys(rows: DataFrame, name: str) -> DataFrame:
         n, distinct = F.size("words"), F.size(F.array_distinct("words"))
@@ -50,7 +56,11 @@ def token_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         kept = each.groupBy(name).agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), F.lit(1), F.first("take")).alias("ks"))
         return kept.select(name, F.explode("ks").alias("k")).select(name, F.col("k.w").alias("w"))
 
-    return keys(left, "a").join(keys(right, "b"), "w").select("a", "b").distinct()
+    pairs = keys(left, "a").join(keys(right, "b"), "w")
+    # one word may make up the share of a name that repeats it, whatever the other name's first keys are
+    for x, y in ((every(left.where(twice), "a"), every(right, "b")), (every(right.where(twice), "b"), every(left, "a"))):
+        pairs = pairs.unionByName(x.join(y, "w"))
+    return pairs.select("a", "b").distinct()
 
 
 def candidates(names: DataFrame, registry: DataFrame) -> DataFrame:
@@ -99,6 +109,77 @@ def resolve(names: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("name", outcome.alias("outcome"), F.when(sure, F.col("id")).alias("id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score") == 1.0, 0).otherwise(F.coalesce("hints", F.lit(0))).cast("long").alias("hints"))
 
 
+def _with_scores(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """(name, id, score, slug) of candidates: 1 for the same slug, 0.95 for an alias, else the shared words."""
+    low = F.lower(F.trim("name"))
+    of = lambda c: T.slug(F.lower(F.trim(c)))
+    slug = of(F.col("canonical")) == of(F.col("name"))
+    score = F.when(slug, 1.0).when(F.exists("aliases", lambda x: F.lower(x) == low), ALIAS).otherwise(T.overlap_ratio(T.words(F.lower("canonical")), T.words(low)))
+    return pairs.join(named, "id").select("name", "id", F.round(score, 9).alias("score"), slug.alias("slug"))
+
+
+def resolve_in_order(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(name, outcome, id, of, score, hints) when names join the registry one after another.
+
+    names: name, description, at (distinct, the order); a name counts where it first occurs.
+    A name that is new is a concept for all that follow; one that matches becomes another
+    name of its concept, which scores as an alias does. outcome: slug, match or new; id: the
+    concept of the registry as it was given, of: else the name that founded the concept. Of
+    equal scores the registry as given wins by the least id, then the concept that was
+    founded first. hints: concepts between HINT and SURE at that time.
+
+    What could be alike is found once by keys. Rounds of joins then settle every name that
+    no unsettled earlier one could win with a better score, nor is the same but for
+    capitals. The first unsettled name always can be settled, and one that some concept
+    suits best needn't wait, so rounds are few.
+    """
+    n = names.groupBy("name").agg(F.min("at").alias("at"), F.min_by("description", "at").alias("description"))
+    n = materialize(n, "names")
+    place, low = n.select("name", "at"), F.lower(F.trim("name"))
+    kind = dict(registry.dtypes)["id"]
+    known = materialize(_with_scores(candidates(n, registry), registry).join(place, "name").select("at", "id", "score", "slug"), "known-names")
+    own = n.select(F.col("at").alias("id"), F.col("name").alias("canonical"), F.array().cast("array<string>").alias("aliases"))
+    met = _with_scores(candidates(n, own), own).join(place, "name").where("id < at").join(n.select(F.col("at").alias("id"), low.alias("__low")), "id")
+    pairs = materialize(met.select("at", F.col("id").alias("before"), "score", "slug", (low == F.col("__low")).alias("same")), "name-pairs")
+    strong = pairs.where((F.col("score") >= SURE) | F.col("same"))
+    target = lambda own, id_, at: F.struct(F.lit(own).alias("own"), id_.cast(kind).alias("id"), at.cast("long").alias("at")).alias("target")
+    none = F.lit(None)
+    offers = materialize(known.where(F.col("score") >= SURE).select("at", target(0, F.col("id"), none), "score", "slug"), "offers")
+    aka = offers.select("at", "target").limit(0)
+    same_as = lambda df: df.select(F.col("at").alias("__at"), F.col("target").alias("__target"), F.lit(True).alias("aka")).distinct()
+    on = (F.col("at") == F.col("__at")) & F.col("target").eqNullSafe(F.col("__target"))
+    open_, settled = materialize(n.select("at"), "open"), []
+    while not open_.isEmpty():
+        scored = offers.join(same_as(aka), on, "left")
+        counts = F.when(F.col("slug"), 1.0).when(F.col("aka"), ALIAS).otherwise(F.col("score"))
+        best = scored.groupBy("at").agg(F.min(F.struct((-counts).alias("low"), "target")).alias("best"))
+        state = materialize(open_.join(best, "at", "left"), "settling")
+        could = F.struct((-F.col("score")).alias("low"), target(1, none, F.col("before")))
+        waits = strong.join(open_.select(F.col("at").alias("before")), "before").join(state, "at")
+        blocked = waits.where(F.col("same") | F.col("best").isNull() | (could < F.col("best"))).select("at").distinct()
+        fresh = materialize(state.join(blocked, "at", "left_anti"), "settled")
+        settled.append(fresh)
+        open_ = materialize(open_.join(fresh, "at", "left_anti"), "open")
+        told = strong.join(fresh.select(F.col("at").alias("before"), "best"), "before").join(open_, "at")
+        founded = told.where("best is null").select("at", target(1, none, F.col("before")), "score", "slug")
+        alias = told.where("best is not null and same").select("at", F.col("best.target").alias("target"), F.lit(ALIAS).alias("score"), F.lit(False).alias("slug"))
+        aka = materialize(aka.unionByName(alias.select("at", "target")), "other-names")
+        offers = materialize(offers.join(open_, "at", "left_semi").unionByName(founded).unionByName(alias), "offers")
+    done = reduce(DataFrame.unionByName, settled) if settled else n.select("at", F.lit(None).cast(f"struct<low:double,target:struct<own:int,id:{kind},at:bigint>>").alias("best"))
+    done = materialize(done, "settled")
+    founders = done.where("best is null").select(F.col("at").alias("before"))
+    alike = known.select("at", target(0, F.col("id"), none), "score").unionByName(pairs.join(founders, "before").select("at", target(1, none, F.col("before")), "score"))
+    alike = alike.join(same_as(aka), on, "left").where("aka is null")
+    between = F.count_if((F.col("score") >= HINT) & (F.col("score") < SURE))
+    hints = alike.groupBy("at").agg(between.alias("hints"), F.max("score").alias("other"))
+    founder = n.select(F.col("at").alias("__at"), F.col("name").alias("of"))
+    out = place.join(done, "at").join(hints, "at", "left").join(founder, F.col("best.target.at") == F.col("__at"), "left")
+    sure, score = F.col("best").isNotNull(), F.coalesce(-F.col("best.low"), "other", F.lit(0.0))
+    outcome = F.when(sure & (score == 1.0), "slug").when(sure, "match").otherwise("new")
+    counted = F.when(outcome == "slug", 0).otherwise(F.coalesce("hints", F.lit(0))).cast("long")
+    return out.select("name", outcome.alias("outcome"), F.col("best.target.id").alias("id"), F.when(sure, F.col("of")).alias("of"), score.alias("score"), counted.alias("hints"))
+
+
 def merge_by_key(rows: DataFrame, key: Column, order: str, longest: list[str], union: list[str], greatest: list[str], first: list[str]) -> DataFrame:
     """One row for each key: the longest text (the first on ties), unions of arrays, greatest and first values."""
     union_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))

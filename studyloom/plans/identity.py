@@ -47,6 +47,36 @@ def resolved_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(*_names(spark, sf_dir))
 
 
+ORDER_SQL = f"""{NAMES_SQL},
+o AS (SELECT name, arg_min(inc.description, p_partkey) AS description, min(p_partkey) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN lower(p_type) || ' ' || p_name WHEN p_partkey % 4 = 3 AND p_size > 25 THEN p_name || ' ' || p_size ELSE upper(p_name) END AS name, p_type AS description FROM part WHERE p_partkey % 2 = 1) inc GROUP BY name),
+k AS (SELECT name, arg_min(struct_pack(score := score, id := id), (-score, id)) AS best, count(*) FILTER (score >= 0.6 AND score < 0.85) AS hints FROM c GROUP BY name),
+nn AS (SELECT x.pos, x.name, y.pos AS j, string_split(lower(y.name), ' ') AS wc, string_split(lower(x.name), ' ') AS wn, lower(x.name) AS lx, lower(y.name) AS ly,
+  regexp_replace(regexp_replace(lower(x.name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = regexp_replace(regexp_replace(lower(y.name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, contains(lower(y.name), lower(x.description)[1:20]) AS told FROM o x JOIN o y ON y.pos < x.pos),
+nm AS (SELECT *, len(list_filter(wc, lambda w: list_contains(wn, w))) / greatest(len(wc), len(wn)) AS overlap FROM nn),
+ns AS (SELECT pos, j, CASE WHEN slug THEN 1.0::DOUBLE ELSE round(overlap, 9) END AS score, lx = ly AS same FROM nm WHERE slug OR told OR CASE WHEN contains(lx, ly) OR contains(ly, lx) THEN least(length(lx), length(ly)) / greatest(length(lx), length(ly)) ELSE overlap END >= 0.6),
+nl AS (SELECT pos, list(struct_pack(j := j, score := score, same := same)) AS l FROM ns GROUP BY pos),
+st AS MATERIALIZED (SELECT o.pos, o.name, row_number() OVER (ORDER BY o.pos) AS i, k.best, coalesce(k.hints, 0) AS hints, coalesce(nl.l, []) AS l FROM o LEFT JOIN k USING (name) LEFT JOIN nl ON nl.pos = o.pos),
+r(i, news, aka, name, pos, score, id, fat, hints) AS (SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(j BIGINT, id BIGINT, fat BIGINT)[], ''::VARCHAR, 0::BIGINT, 0.0::DOUBLE, NULL::BIGINT, NULL::BIGINT, 0::BIGINT UNION ALL
+  SELECT i, CASE WHEN b.score >= 0.85 THEN news ELSE list_append(news, pos) END, CASE WHEN b.score >= 0.85 THEN list_append(aka, struct_pack(j := pos, id := b.id, fat := b.fat)) ELSE aka END, name, pos, b.score, CASE WHEN b.score >= 0.85 THEN b.id END, CASE WHEN b.score >= 0.85 THEN b.fat END,
+    hints + len(list_filter(l, lambda x: list_contains(news, x.j) AND x.score >= 0.6 AND x.score < 0.85))
+  FROM (SELECT *, list_sort([struct_pack(low := -coalesce(s.best.score, 0.0::DOUBLE), own := 0, id := CAST(s.best.id AS BIGINT), fat := NULL::BIGINT, score := coalesce(s.best.score, 0.0::DOUBLE))]
+      || list_transform(list_filter(s.l, lambda x: list_contains(r.news, x.j)), lambda x: struct_pack(low := -x.score, own := 1, id := NULL::BIGINT, fat := CAST(x.j AS BIGINT), score := x.score))
+      || list_transform(list_filter(r.aka, lambda y: list_contains(list_transform(list_filter(s.l, lambda x: x.same), lambda x: x.j), y.j)), lambda y: struct_pack(low := -0.95::DOUBLE, own := CASE WHEN y.id IS NULL THEN 1 ELSE 0 END, id := y.id, fat := y.fat, score := 0.95::DOUBLE)))[1] AS b
+    FROM (SELECT s.*, r.news, r.aka, r, s FROM r JOIN st s ON s.i = r.i + 1)))"""
+
+
+@BOOK.query(f"""WITH RECURSIVE {ORDER_SQL}
+SELECT r.name, CASE WHEN r.score = 1 THEN 'slug' WHEN r.score >= 0.85 THEN 'match' ELSE 'new' END AS outcome, r.id, f.name AS "of", r.score, CASE WHEN r.score = 1 THEN 0 ELSE r.hints END AS hints FROM r LEFT JOIN o f ON f.pos = r.fat WHERE r.i > 0""")
+def concepts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming names resolved one after another, each new one a concept for those behind it."""
+    p = table(spark, sf_dir, "part")
+    names, registry = _names(spark, sf_dir)
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 1, F.concat_ws(" ", F.lower("p_type"), "p_name")).when((k == 3) & (F.col("p_size") > 25), F.concat_ws(" ", "p_name", "p_size")).otherwise(F.upper("p_name"))
+    names = p.where("p_partkey % 2 = 1").select(name.alias("name"), F.col("p_type").alias("description"), F.col("p_partkey").alias("at"))
+    return identity.resolve_in_order(names, registry)
+
+
 @BOOK.query("""
 WITH k AS (SELECT lower(trim(p_name)) AS key, p_partkey AS pos, p_type || repeat('x', p_size) AS phrase, p_brand AS module, p_retailprice AS price FROM part)
 SELECT key, min(pos) AS pos, count(*) AS merged, arg_max(phrase, (length(phrase), -pos)) AS phrase, array_to_string(list_sort(list(DISTINCT module)), ',') AS modules, max(price) AS price, arg_min(module, pos) AS module FROM k GROUP BY key""")
