@@ -8,43 +8,53 @@ from pyspark.sql import functions as F
 from studyloom.functions.expr import let, none_of
 from studyloom.functions.text import word_count
 
-#: Lines that look like headings and aren't: contacts, addresses, captions, notes.
-NOISE = [
-    "(?i)^phone:",
-    "(?i)^extension:",
-    "(?i)^room \\d+",
-    ",\\s*[A-Za-z]{2}\\.\\s*\\d{5}\\b",
-    "^[A-Z][A-Z0-9\\s]{2,}:",
-    "(?i)^teacher:",
-    "(?i)^Table\\s+\\d+\\.",
-    "^\\([+\\-]?\\d",
-    "(?i)\\bpercent\\)\\.?$",
-    "(?i)\\bwww\\.\\S+",
-    "(?i)\\(\\s*See table \\d+",
-    "(?i)^For release \\d",
-    "(?i)^Technical information:",
-    "(?i)^Media contact:",
-]
 #: Words of a section, the largest section kept whole, the length of an equal section.
 SECTION_WORDS, SECTION_CHARS = 2500, 5000
 
 
+#: Fixed values, by length of the line: most marks, fewest letters, a word too long to be one.
+ODD_SHARE, ODD_FROM, LETTER_SHARE, LETTERS_FROM, GLUED, GLUED_FROM = 0.22, 6, 0.35, 8, 12, 20
+
+
 def is_garbage(text: Column) -> Column:
-    """A line that poor recognition made up: control characters, entities, few letters, or glued words."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    n = F.length(t)
-    letters, odd = F.regexp_count(t, F.lit("\\p{L}")), F.regexp_count(t, F.lit("[^\\p{L}\\p{N}\\s.,;:'\"?!()\\-/–—]"))
-    found = (t == "") | t.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]|\\uFFFD") | t.rlike("(?i)&#\\d+;|&[a-z]+;")
-    found = found | ((n >= 6) & (letters > 0) & (odd > 0.22 * n)) | ((n >= 8) & (letters < 0.35 * n))
-    return found | ((n >= 20) & ~t.rlike("\\s") & t.rlike("[A-Za-z]{12,}"))
+    """A line that poor recognition made up, by its shares of characters: nothing, damaged ones, many marks, few letters, or one glued word."""
+
+    def shares(x: Column) -> Column:
+        n, letters, marks = x["n"], x["letters"], x["marks"]
+        rules = [n == 0, x["damaged"], (n >= ODD_FROM) & (letters > 0) & (marks > ODD_SHARE * n), (n >= LETTERS_FROM) & (letters < LETTER_SHARE * n), (n >= GLUED_FROM) & x["glued"]]
+        return F.exists(F.array(*rules), lambda rule: rule)
+
+    def measured(t: Column) -> Column:
+        count = lambda kind: F.regexp_count(t, F.lit(kind))
+        damaged = count("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFD]") + count("(?i)&(#\\d+|[a-z]+);") > 0
+        marks = count("[^\\p{L}\\p{N}\\s.,;:'\"?!()\\-/–—]")
+        glued = (count("\\s") == 0) & (count(f"[A-Za-z]{{{GLUED},}}") > 0)
+        return F.struct(F.length(t).alias("n"), count("\\p{L}").alias("letters"), marks.alias("marks"), damaged.alias("damaged"), glued.alias("glued"))
 
+    return let(let(F.trim(F.coalesce(text, F.lit(""))), measured), shares)
 
-def is_heading_noise(text: Column) -> Column:
+
+#: Words before a number that make a line the label of a picture or table.
+CAPTION_WORDS = "figure fig table chart map plate exhibit tabla figura abbildung tabelle tableau".split()
+
+
+def not_heading(text: Column) -> Column:
+    """Why a line is no heading: garbage, contact, caption, note, label or fragment; null if it could be one.
+
+    contact: a mail or web address, or more digits than letters with eight at least.
+    caption: one of CAPTION_WORDS and a number begin it. note: a footnote's mark begins a
+    sentence. label: words in capitals and a colon, and more text on the line. fragment: it
+    begins in small letters or within brackets, and ends as a sentence.
+    """
     t = F.trim(F.coalesce(text, F.lit("")))
-    found = is_garbage(t) | (t.contains("@") & (F.length(t) < 100))
-    for pattern in NOISE:
-        found = found | t.rlike(pattern)
-    return found | (t.rlike("^[a-z(]") & t.endswith(".") & (word_count(t) <= 14))
+    ends = t.rlike("[.!?]$")
+    digits = F.regexp_count(t, F.lit("\\d"))
+    contact = t.rlike("\\S@\\S+\\.\\S") | t.rlike("(?i)\\b(https?://|www\\.)\\S") | ((digits >= 8) & (digits > F.regexp_count(t, F.lit("\\p{L}"))))
+    caption = F.lower(t).rlike(f"^({'|'.join(CAPTION_WORDS)})\\.?\\s+\\d")
+    note = t.rlike("^([*†‡§]+|\\[\\d{1,3}\\]|[¹²³⁰-⁹]+)\\s*\\S") & ends
+    label = t.rlike("^\\p{Lu}[\\p{Lu}\\p{N} ]+:\\s*\\S")
+    fragment = t.rlike("^[\\p{Ll}(]") & ends
+    return F.when(is_garbage(t), "garbage").when(contact, "contact").when(caption, "caption").when(note, "note").when(label, "label").when(fragment, "fragment")
 
 
 def heading_score(text: Column, size: Column, body: Column, bold: Column, edge: Column) -> Column:

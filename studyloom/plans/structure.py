@@ -82,6 +82,21 @@ def garbage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "pos", S.is_garbage(F.btrim(F.col("line"), F.lit(" \t\r"))).alias("garbage"))
 
 
+@BOOK.query(f"""
+WITH {LINES_SQL}, t AS (SELECT doc_id, pos, trim(line) AS t FROM l),
+g AS (SELECT *, length(t) AS n, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '\\D', '', 'g')) AS digits, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s.,;:''"?!()\\-/–—]', '', 'g')) AS odd FROM t)
+SELECT doc_id, pos::BIGINT AS pos, CASE
+  WHEN t = '' OR regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]|\\x{{FFFD}}') OR regexp_matches(t, '(?i)&#\\d+;|&[a-z]+;') OR (n >= 6 AND letters > 0 AND odd > 0.22 * n) OR (n >= 8 AND letters < 0.35 * n) OR (n >= 20 AND NOT regexp_matches(t, '\\s') AND regexp_matches(t, '[A-Za-z]{{12,}}')) THEN 'garbage'
+  WHEN regexp_matches(t, '\\S@\\S+\\.\\S') OR regexp_matches(t, '(?i)\\b(https?://|www\\.)\\S') OR (digits >= 8 AND digits > letters) THEN 'contact'
+  WHEN regexp_matches(lower(t), '^({"|".join(S.CAPTION_WORDS)})\\.?\\s+\\d') THEN 'caption'
+  WHEN regexp_matches(t, '^([*†‡§]+|\\[\\d{{1,3}}\\]|[¹²³⁰-⁹]+)\\s*\\S') AND regexp_matches(t, '[.!?]$') THEN 'note'
+  WHEN regexp_matches(t, '^\\p{{Lu}}[\\p{{Lu}}\\p{{N}} ]+:\\s*\\S') THEN 'label'
+  WHEN regexp_matches(t, '^[\\p{{Ll}}(]') AND regexp_matches(t, '[.!?]$') THEN 'fragment' END AS why FROM g""")
+def heading_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each line can't be a heading, null where it could."""
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.not_heading(F.col("line")).alias("why"))
+
+
 @BOOK.query(f"""
 WITH {LINES_SQL}, t AS (SELECT doc_id, pos, trim(line) AS t, 10 + (pos % 4) * 2 AS size, pos % 5 = 0 AS bold, pos = 1 AS edge, len(regexp_extract_all(line, '{WORDS}')) AS w FROM l)
 SELECT doc_id, pos::BIGINT AS pos, round(CASE WHEN regexp_matches(t, '^#{{1,6}}\\s') THEN 100 ELSE CASE WHEN size >= 1.15 * 10 THEN least(30, round((size / 10 - 1) * 100, 6)) ELSE 0 END + CASE WHEN bold THEN 15 ELSE 0 END + CASE WHEN w <= 12 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(t, '[.,;]$') THEN 0 ELSE 10 END

@@ -143,7 +143,9 @@ def test_structure_of_empty_and_long_texts(spark):
         assert all(s["end"] - s["start"] <= 5000 for s in spans)
     assert one(spark, structure.bisected(F.lit("short"))) is None
     assert one(spark, structure.sentence_start(F.lit("One. Two three"), F.lit(9))) == 5
-    assert one(spark, structure.is_heading_noise(F.lit("Phone: 123"))) and not one(spark, structure.is_heading_noise(F.lit("Results and methods")))
+    lines = {"Results and methods": None, "2.1 Data": None, "write to a.b@c.org today": "contact", "+49 30 1234 5678": "garbage", "telephone: 030 12345678": "contact", "see www.example.org": "contact", "Figure 3 shows it": "caption", "Tabelle 2": "caption", "* Of all rows.": "note", "[12] Of all rows": None, "NOTE: read on": "label", "NOTE:": None, "and so it ends.": "fragment", "(see below).": "fragment", "": "garbage", None: "garbage"}
+    for line, why in lines.items():
+        assert one(spark, structure.not_heading(F.lit(line).cast("string"))) == why, line
     own = normalise.own_spans(F.array(F.struct(F.lit(4).alias("start"), F.lit(30).alias("end"))), F.lit(2), F.lit(10))
     assert [tuple(x) for x in one(spark, own)] == [(2, 4)]
 
