@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from studyloom.functions.text import word_count
+
 #: Least columns and rows of a grid.
 LEAST_COLUMNS, LEAST_ROWS = 3, 3
 
@@ -36,3 +38,59 @@ def grids(cells: DataFrame, page: str, line: str, x: str, tolerance: float) -> D
     columns = hits.where(F.col("hits") >= F.greatest(F.lit(2), F.least(F.lit(LEAST_ROWS), F.col("lines")))).groupBy(page).agg(F.count("*").alias("columns"))
     out = n.join(columns, page, "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
     return out.select(page, "lines", "columns", ((F.col("columns") >= LEAST_COLUMNS) & (F.col("lines") >= LEAST_ROWS)).alias("is_grid"))
+
+
+#: Fixed values, as shares of the page's width: where the middle of a gap between columns may lie, and its least width.
+GAP_ZONE, GAP_WIDTH = (0.3, 0.7), 0.08
+#: Fixed values of a table: least share of filled cells, greatest share of the page from the first to the last column, most words of a cell, most columns.
+LEAST_FILL, WIDEST, MOST_WORDS, MOST_COLUMNS = 0.45, 0.92, 8, 12
+
+
+def column_borders(glyphs: DataFrame, page: str, x: str, width: float) -> DataFrame:
+    """(page, border) of the pages in two columns: the middle of the widest valley in the profile of glyphs.
+
+    The profile is the distinct places where glyphs begin; of equally wide valleys the left one counts.
+    """
+    profile = glyphs.where(F.col(x).isNotNull()).select(page, x).distinct()
+    before = F.lag(x).over(Window.partitionBy(page).orderBy(x))
+    gaps = profile.select(page, (F.col(x) - before).alias("gap"), ((F.col(x) + before) / 2).alias("middle"))
+    low, high = (share * width for share in GAP_ZONE)
+    gaps = gaps.where(F.col("middle").between(low, high))
+    widest = gaps.groupBy(page).agg(F.max(F.struct("gap", (-F.col("middle")).alias("back"))).alias("g"))
+    return widest.where(F.col("g.gap") > GAP_WIDTH * width).select(page, (-F.col("g.back")).alias("border"))
+
+
+def reading_lines(glyphs: DataFrame, page: str, x: str, y: str, text: str, ties: list[str], height: float, width: float) -> DataFrame:
+    """(page, place, column, x, y, text): the lines of each page in reading order, the left column before the right one.
+
+    Pages without a border have one column, 0. place counts from 1.
+    """
+    borders = column_borders(glyphs, page, x, width).withColumnRenamed(page, "__page")
+    # null pages are a page as well
+    g = glyphs.join(borders, F.col(page).eqNullSafe(F.col("__page")), "left").drop("__page")
+    side = F.when(F.col("border").isNull() | (F.col(x) < F.col("border")), 0).otherwise(1)
+    g = g.withColumn("__group", F.struct(F.col(page).alias("page"), side.alias("column"))).drop("border")
+    out = lines(g, "__group", x, y, text, ties, height)
+    place = F.row_number().over(Window.partitionBy("__group.page").orderBy("__group.column", "line"))
+    return out.select(F.col("__group.page").alias(page), place.cast("long").alias("place"), F.col("__group.column").alias("column"), "x", "y", "text")
+
+
+def filled_grids(cells: DataFrame, page: str, line: str, x: str, text: str, tolerance: float, width: float) -> DataFrame:
+    """(page, lines, columns, fill, is_table): grids whose cells are filled, narrow and short enough for a table.
+
+    Columns are those of `grids`. fill: cells of columns that hold a text, over lines times
+    columns. A table has LEAST_ROWS lines and LEAST_COLUMNS columns at least, MOST_COLUMNS at
+    most, and no cell of more than MOST_WORDS words.
+    """
+    w = Window.partitionBy(page).orderBy(x)
+    opens = F.coalesce(F.col(x) - F.lag(x).over(w) > tolerance, F.lit(True))
+    c = cells.withColumn("__opens", opens.cast("int")).withColumn("__column", F.sum("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = c.groupBy(page).agg(F.count_distinct(line).alias("lines"))
+    full = F.trim(F.coalesce(text, F.lit(""))) != ""
+    each = c.groupBy(page, "__column").agg(F.count_distinct(line).alias("hits"), F.count_distinct(F.when(full, F.col(line))).alias("full"), F.min(x).alias("at"), F.max(word_count(F.col(text))).alias("words"))
+    kept = each.join(n, page).where(F.col("hits") >= F.greatest(F.lit(2), F.least(F.lit(LEAST_ROWS), F.col("lines"))))
+    sums = kept.groupBy(page).agg(F.count("*").alias("columns"), F.sum("full").alias("full"), (F.max("at") - F.min("at")).alias("span"), F.max("words").alias("words"))
+    out = n.join(sums, page, "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
+    fill = F.when(F.col("columns") > 0, F.col("full") / (F.col("lines") * F.greatest(F.col("columns"), F.lit(1)))).otherwise(0.0)
+    fits = F.col("columns").between(LEAST_COLUMNS, MOST_COLUMNS) & (F.col("lines") >= LEAST_ROWS) & (fill >= LEAST_FILL) & (F.col("span") <= WIDEST * width) & (F.col("words") <= MOST_WORDS)
+    return out.select(page, "lines", "columns", fill.alias("fill"), F.coalesce(fits, F.lit(False)).alias("is_table"))

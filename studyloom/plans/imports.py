@@ -88,6 +88,37 @@ def table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.grids(c, "page", "line", "x", tolerance=8.0)
 
 
+@BOOK.query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ceil(len(ws) / 6) ELSE ceil(len(ws) / 12) END::BIGINT AS lines, doc_id % 2 = 0 AND len(ws) > 6 AS two_columns, md5(array_to_string(ws, ' ')) AS text FROM w WHERE len(ws) > 0""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of words, even documents set in two columns of six words, odd ones in lines of twelve: read back, all words are in order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("ws"))
+    w = d.select("doc_id", F.size("ws").alias("n"), F.posexplode("ws").alias("i", "word"))
+    two = F.col("doc_id") % 2 == 0
+    rows = F.ceil(F.col("n") / 6).cast("int")
+    left, line = F.ceil(rows / 2).cast("int"), F.floor(F.col("i") / F.when(two, 6).otherwise(12)).cast("int")
+    right = two & (line >= left)
+    x = F.when(right, 330.0).otherwise(20.0) + F.when(two, F.col("i") % 6).otherwise(F.col("i") % 12) * 45.0
+    y = F.when(right, line - left).otherwise(line) * 14.0 + (F.col("i") % 3) * 0.5
+    lines = glyphs.reading_lines(w.select("doc_id", "i", "word", x.alias("x"), y.alias("y")), "doc_id", "x", "y", "word", ["i"], height=14.0, width=612.0)
+    whole = lines.groupBy("doc_id").agg(F.count("*").alias("lines"), (F.max("column") == 1).alias("two_columns"), F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"))
+    return whole.select("doc_id", "lines", "two_columns", F.md5(F.array_join(F.transform("t", lambda s: s["text"]), " ")).alias("text"))
+
+
+@BOOK.query("""
+WITH g AS (SELECT l_orderkey // 4 AS page, l_linenumber AS line, (l_partkey % 4) * 150 AS a, (l_partkey % 4) * 150 + l_suppkey % 5 AS x, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE 1 + l_orderkey % 11 END AS words FROM lineitem),
+n AS (SELECT page, count(DISTINCT line) AS lines FROM g GROUP BY page), h AS (SELECT page, a, count(DISTINCT line) AS hits, count(DISTINCT line) FILTER (words > 0) AS full_, min(x) AS at_, max(words) AS words FROM g GROUP BY page, a),
+k AS (SELECT h.page, count(*) AS columns, sum(full_) AS full_, max(at_) - min(at_) AS span, max(words) AS words FROM h JOIN n USING (page) WHERE hits >= greatest(2, least(3, lines)) GROUP BY h.page)
+SELECT n.page, lines, coalesce(columns, 0) AS columns, round(CASE WHEN columns > 0 THEN full_ / (lines * columns) ELSE 0 END, 6) AS fill, coalesce(columns >= 3 AND lines >= 3 AND full_ / (lines * columns) >= 0.45 AND span <= 0.92 * 480 AND words <= 8, false) AS is_table FROM n LEFT JOIN k USING (page)""")
+def filled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids that are filled, narrow and short enough to be tables."""
+    x = (F.col("l_partkey") % 4) * 150.0 + (F.col("l_suppkey") % 5)
+    text = F.when(F.col("l_partkey") % 9 == 0, " ").otherwise(F.expr("repeat('word ', CAST(1 + l_orderkey % 11 AS INT))"))
+    c = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("page"), F.col("l_linenumber").alias("line"), x.alias("x"), text.alias("text"))
+    return glyphs.filled_grids(c, "page", "line", "x", "text", tolerance=8.0, width=480.0).withColumn("fill", F.round("fill", 6))
+
+
 @BOOK.query("""
 SELECT doc_id, md5('---' || chr(10) || 'title: "' || replace(replace(string_split(text, chr(10))[1][1:40], '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || 'source: "' || source || '"' || chr(10) || '---' || chr(10) || chr(10) || text) AS markdown FROM documents""")
 def session_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
