@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from studyloom.functions import structure as S
 from studyloom.functions import text as T
+from studyloom.operators import distractors as D
 from studyloom.plans.registry import Book
 from studyloom.session import table
 from studyloom.sources import readers
@@ -322,3 +323,25 @@ def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = b.groupBy("l_orderkey", "size").agg(F.sum(F.when(F.col("chars") >= 10, F.col("chars"))).alias("chars"), F.count("*").alias("n"))
     g = s.groupBy("l_orderkey").agg(F.max_by("size", F.when(F.col("chars").isNotNull(), F.struct("chars", -F.col("size")))).alias("most"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("size", F.col("n").cast("int"))))).alias("all"))
     return g.select("l_orderkey", F.coalesce("most", F.get("all", F.floor(F.size("all") / 2).cast("int"))).alias("body"))
+
+
+@BOOK.query("""
+WITH p AS (SELECT *, p_name || ' of ' || p_brand || ' weighs ' || p_size || ' kg and was made in ' || (1950 + p_size * 7 % 61) AS src FROM part),
+f AS (SELECT p_partkey AS id, p_type AS t, CASE p_partkey % 3 WHEN 0 THEN 'date' WHEN 1 THEN 'number:' || p_type ELSE 'name:' || p_type END AS kind, CASE p_partkey % 3 WHEN 0 THEN (1950 + p_size * 7 % 61)::VARCHAR WHEN 1 THEN p_size || ' kg' ELSE p_name END AS value,
+  CASE p_partkey % 3 WHEN 0 THEN 1950 + p_size * 7 % 61 WHEN 1 THEN p_size END AS m FROM p),
+v AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY m, length(low), low) AS r FROM (SELECT kind, lower(value) AS low, min(value) AS value, min(m) AS m FROM f GROUP BY ALL)),
+c AS (SELECT f.id, o.value, row_number() OVER (PARTITION BY f.id ORDER BY CASE WHEN f.kind = 'date' THEN -1 ELSE 1 END * coalesce(abs(a.m - o.m), abs(a.r - o.r)), o.r) AS place FROM f JOIN v a ON a.kind = f.kind AND a.low = lower(f.value) JOIN v o ON o.kind = a.kind AND o.r <> a.r),
+b AS (SELECT id, value, false AS ok FROM c WHERE place <= 3 UNION ALL SELECT id, value, true FROM f)
+SELECT id, string_agg(value, ' | ' ORDER BY md5(id || ':' || value)) AS options, CAST(list_position(list(ok ORDER BY md5(id || ':' || value)), true) AS INT) AS answer, count(*) AS n FROM b GROUP BY id""")
+def fact_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of fact for each part: its year, weight or name, as found and verified in a sentence on it, among three of the same kind."""
+    p = table(spark, sf_dir, "part")
+    year = 1950 + F.col("p_size") * 7 % 61
+    p = p.withColumn("src", F.concat(F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(" weighs "), F.col("p_size").cast("string"), F.lit(" kg and was made in "), year.cast("string")))
+    k, kind = F.col("p_partkey") % 3, F.concat_ws(":", F.when(F.col("p_partkey") % 3 == 1, "number").otherwise("name"), "p_type")
+    found = F.when(k == 0, D.fact_behind(F.col("src"), F.col("p_brand"), D.YEAR)).when(k == 1, D.fact_behind(F.col("src"), F.lit("weighs"), D.NUMBER)).otherwise(F.col("p_name"))
+    facts = p.select(F.col("p_partkey").alias("id"), F.when(k == 0, "date").otherwise(kind).alias("kind"), found.alias("value"), "src", (k == 0).alias("far"))
+    facts = facts.where(D.in_source(F.col("value"), F.col("src")))
+    number = F.when(F.col("kind").startswith("name"), None).otherwise(F.regexp_extract("value", "\\d+", 0)).cast("double")
+    out = D.options(facts.select("id", "kind", "value", number.alias("measure"), "far"))
+    return out.select("id", F.array_join("options", " | ").alias("options"), "answer", F.size("options").cast("long").alias("n"))

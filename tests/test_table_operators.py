@@ -183,3 +183,55 @@ def test_release_keeps_the_last_table(spark):
     assert last.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(first.inputFiles()[0]).count()
+
+
+def test_distractors(spark):
+    """Nearest and farthest values, ties, spellings, and kinds with too few values, against a plain search."""
+    from studyloom.operators import distractors
+
+    rng = random.Random(2)
+    facts = [(i, rng.choice(["year", "kg", "name", "lone"]), None) for i in range(60)]
+    rows = []
+    for i, kind, _ in facts:
+        m = float(rng.randrange(12)) if kind in ("year", "kg") else None
+        value = f"{m:.0f} {kind}" if m is not None else "only" if kind == "lone" else rng.choice(["Ada", "ada", "Bo", "Cyd", "Dora", "El", "Fay"])
+        rows.append((i, kind, value, m, kind == "year"))
+    rows += [(100, None, "x", 1.0, False), (101, "kg", " ", 1.0, False)]
+    got = {}
+    for r in distractors.distractors(spark.createDataFrame(rows, "id int, kind string, value string, measure double, far boolean")).collect():
+        got.setdefault(r["id"], []).append((r["place"], r["value"]))
+    for i, kind, value, m, far in rows[:60]:
+        low = {}
+        for _, k, v, x, _ in rows[:60]:
+            if k == kind:
+                low[v.lower()] = min(low.get(v.lower(), (v, x)), (v, x))
+        order = sorted(low, key=lambda w: (low[w][1] if low[w][1] is not None else 0, len(w), w))
+        own = order.index(value.lower())
+        apart = lambda j: abs(m - low[order[j]][1]) if m is not None else abs(j - own)
+        best = sorted((j for j in range(len(order)) if j != own), key=lambda j: (-apart(j) if far else apart(j), j))[:3]
+        assert sorted(got.get(i, [])) == [(p, low[order[j]][0]) for p, j in enumerate(best, 1)], (i, kind, value)
+    assert 100 not in got and 101 not in got
+
+
+def test_facts_in_sources(spark):
+    from studyloom.operators import distractors as D
+
+    text = F.lit("In 1789 it began. Paris fell in 1940, with 12 km to go.")
+    assert one(spark, D.fact_behind(text, F.lit("Paris"), D.YEAR)) == "1940" and one(spark, D.fact_behind(text, F.lit("Rome"), D.YEAR)) == "1789"
+    assert one(spark, D.fact_behind(text, F.lit("go"), D.NUMBER)) is None
+    for answer, span, want in (("PARIS", (None, None), True), ("paris", (0, 4), True), ("rome", (0, 50), False), (" ", (None, None), False), (None, (None, None), False)):
+        assert one(spark, D.in_source(F.lit(answer).cast("string"), text, F.lit(span[0]).cast("int"), F.lit(span[1]).cast("int"))) is want
+
+
+def test_columns_of_pages(spark):
+    from studyloom.operators import glyphs
+
+    two = [(1, 20.0 + 40 * (i % 5) + (300 if i >= 20 else 0), 14.0 * (i % 20 // 5), f"w{i}") for i in range(40)]
+    one_column = [(2, 20.0 + 45 * (i % 12), 14.0 * (i // 12), f"w{i}") for i in range(30)]
+    edge = [(3, 10.0, 0.0, "a"), (3, 600.0, 0.0, "b"), (None, 20.0, 0.0, "c"), (None, 330.0, 0.0, "d"), (None, 20.0, 20.0, "e")]
+    g = spark.createDataFrame([*two, *one_column, *edge], "page int, x double, y double, text string")
+    got = {}
+    for r in sorted(glyphs.reading_lines(g, "page", "x", "y", "text", [], 14.0, 612.0).collect(), key=lambda r: r["place"]):
+        got.setdefault(r["page"], []).append(r["text"])
+    assert " ".join(got[1]).split() == [f"w{i}" for i in range(40)] and " ".join(got[2]).split() == [f"w{i}" for i in range(30)]
+    assert got[3] == ["a", "b"] and got[None] == ["c d", "e"]  # the middle of the last gap lies outside of the zone
