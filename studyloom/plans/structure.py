@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from studyloom.functions import structure as S
 from studyloom.functions import text as T
 from studyloom.operators import distractors as D
+from studyloom.operators import hierarchy as H
 from studyloom.plans.registry import Book
 from studyloom.session import table
 from studyloom.sources import readers
@@ -345,3 +346,31 @@ def fact_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("kind").startswith("name"), None).otherwise(F.regexp_extract("value", "\\d+", 0)).cast("double")
     out = D.options(facts.select("id", "kind", "value", number.alias("measure"), "far"))
     return out.select("id", F.array_join("options", " | ").alias("options"), "answer", F.size("options").cast("long").alias("n"))
+
+
+@BOOK.query(f"""
+WITH {LINES_SQL}, r AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+k AS (SELECT *, len(regexp_extract_all(line, '{WORDS}')) % 3 <> 0 AND length(line) > 0 AS kept FROM r)
+SELECT doc_id, pos::BIGINT AS pos, CAST(coalesce(sum(length(line) + 2) FILTER (kept) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start, md5(line) AS section FROM k QUALIFY kept""")
+def scoped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as sections, those with a number of words that three divides left out: the text at each new offset is the old section."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n").alias("lines"))
+    d = d.withColumn("starts", readers.running_starts(F.transform("lines", lambda x: F.length(x) + 1)))
+    section = F.zip_with("lines", "starts", lambda x, s: F.struct(s.cast("int").alias("start"), (s + F.length(x)).cast("int").alias("end"), ((T.word_count(x) % 3 != 0) & (x != "")).alias("keep")))
+    d = d.withColumn("nodes", F.transform(section, lambda x, i: F.struct((i + 1).cast("long").alias("node"), x["start"].alias("start"), x["end"].alias("end"), x["keep"].alias("keep"))))
+    d = d.withColumn("kept", H.kept_ranges(F.filter("nodes", lambda x: x["keep"])))
+    d = d.select("doc_id", H.scoped_text(F.col("text"), F.col("kept")).alias("scoped"), F.explode(H.scoped_nodes(F.filter("nodes", lambda x: x["keep"]), F.col("kept"))).alias("n"))
+    return d.select("doc_id", F.col("n.node").alias("pos"), F.col("n.start").alias("start"), F.md5(F.substring("scoped", F.col("n.start") + 1, F.col("n.end") - F.col("n.start"))).alias("section"))
+
+
+@BOOK.query("""
+WITH o AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey FROM orders), li AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS j FROM lineitem)
+SELECT c AS tree, 1 AS level, i::VARCHAR AS path, NULL AS parent, 'order ' || o_orderkey AS title FROM o UNION ALL SELECT c, 2, i || '.' || j, i::VARCHAR, 'part ' || l_partkey FROM o JOIN li ON l_orderkey = o_orderkey""")
+def flat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a tree in JSON, their parts below them, as rows with level and path."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber"))).alias("ls"))
+    parts = F.transform(F.coalesce("ls", F.array().cast("array<struct<l_partkey:bigint,l_suppkey:bigint,l_linenumber:int>>")), lambda x: F.struct(F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("title")))
+    o = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    one = F.struct("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), parts.alias("children"))
+    trees = o.groupBy(F.col("o_custkey").alias("tree")).agg(F.array_sort(F.collect_list(one)).alias("t")).select("tree", F.to_json("t").alias("json"))
+    return H.flat_tree(trees, "tree", "json").select("tree", "level", "path", "parent", F.get_json_object("node", "$.title").alias("title"))
