@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from studyloom.functions import text as T
 from studyloom.operators import exports as X
 from studyloom.operators import glyphs, identity
+from studyloom.operators import packs as P
 from studyloom.plans.registry import Book
 from studyloom.session import table
 from studyloom.sources import readers
@@ -313,3 +314,36 @@ def relinked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_partkey").alias("before"))
     merges = table(spark, sf_dir, "part").where("p_partkey % 5 = 3").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") - 3).alias("target"))
     return identity.relink(li, merges, ["l_partkey"]).agg(F.count_if(F.col("l_partkey") != F.col("before")).alias("changed"))
+
+
+PACKS_SQL = """o AS (SELECT o_custkey AS target, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS at_ FROM orders),
+i AS (SELECT target, at_, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, 'c' || (l_partkey % 20) AS id, 'part ' || l_partkey AS text, l_orderkey FROM lineitem JOIN o ON o_orderkey = l_orderkey)"""
+
+
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as packs: lines are cards, each tied to the next. They go through Markdown and back."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("ls"))
+    card = lambda x: F.concat(F.lit("c"), (x["l_partkey"] % 20).cast("string"))
+    items = F.transform("ls", lambda x: F.struct(card(x).alias("id"), F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("text"), x["l_suppkey"].cast("string").alias("answer")))
+    ids = F.transform("ls", card)
+    nodes = F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("label")))
+    edges = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), lambda a, b: F.struct(F.concat_ws("-", a, b).alias("id"), a.alias("src"), b.alias("dst"), F.lit("next").alias("type")))
+    pack = F.struct(F.lit("English").alias("language"), items.alias("items"), ids.alias("study_order"), nodes.alias("nodes"), edges.alias("edges"))
+    o = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    files = o.select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("at"), P.pack_markdown(pack, F.lit("Pack")).alias("text"))
+    return P.read_packs(files).where("status = 'ok'").select("target", "at", "pack")
+
+
+@BOOK.query(f"WITH {PACKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY target, id ORDER BY l_orderkey, pos) AS r FROM i) SELECT target, l_orderkey AS pack, CAST(pos AS INT) AS pos, CASE WHEN r = 1 THEN id ELSE id || '_' || r END AS id, text FROM r")
+def merged_pack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of packs merged for each customer, ids made unique by suffixes."""
+    items = P.merge_packs(_packs(spark, sf_dir))["items"]
+    return items.select("target", F.col("at").alias("pack"), "pos", F.col("new_id").alias("id"), "text")
+
+
+@BOOK.query(f"""WITH {PACKS_SQL}, e AS (SELECT target, l_orderkey, id AS src, lead(id) OVER (PARTITION BY l_orderkey ORDER BY pos) AS dst FROM i)
+SELECT target, src, dst, min(l_orderkey) AS pack, src || '-' || dst AS id FROM e WHERE dst IS NOT NULL GROUP BY target, src, dst""")
+def merged_pack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties of packs merged for each customer, each once."""
+    e = P.merge_packs(_packs(spark, sf_dir))["edges"]
+    return e.select("target", "src", "dst", F.col("at").alias("pack"), F.col("new_id").alias("id"))
