@@ -146,3 +146,29 @@ def own_spans(children: Column, start: Column, end: Column) -> Column:
     none = F.filter(F.array(F.struct(start.alias("start"), end.alias("end"))), lambda x: F.lit(False))
     done = lambda acc: F.when(acc["at"] < end, F.array_append(acc["out"], F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(acc["out"])
     return F.aggregate(F.array_sort(children), F.struct(none.alias("out"), start.alias("at")), step, done)
+
+
+_ITEM = "struct<item_id:string,id:string,concept_id:string,question:string,type:string,options:array<string>,correct:string,answer:string,edge:struct<from:string,to:string>>"
+
+
+def assessment_items(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, place, item_id, concept_id, edge, question, options, correct, fault) of JSON arrays of assessment items.
+
+    The array stands alone or under items or questions. fault says why an item isn't one:
+    not an object, no question, another type than mcq, fewer than two options, an edge
+    without both ends; it is null for good items. Texts are trimmed, blank options go, an
+    item without an id is called after its place. Arrays that can't be read have no rows.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    whole = F.coalesce(F.get_json_object(raw, "$.items"), F.get_json_object(raw, "$.questions"), F.col(raw))
+    each = df.select(key, F.posexplode(F.from_json(whole, "array<string>")).alias("i", "json"))
+    each = each.select(key, (F.col("i") + 1).alias("place"), F.col("json").rlike("^\\s*\\{").alias("object"), F.from_json("json", _ITEM).alias("x"))
+    named = F.when(text(F.col("x.item_id")) != "", text(F.col("x.item_id"))).when(text(F.col("x.id")) != "", text(F.col("x.id"))).otherwise(F.concat(F.lit("item_"), F.col("place").cast("string")))
+    options = F.filter(F.transform(F.coalesce("x.options", F.array().cast("array<string>")), text), lambda o: o != "")
+    kind = F.lower(F.when(text(F.col("x.type")) == "", "mcq").otherwise(text(F.col("x.type"))))
+    edge = F.col("x.edge").isNotNull()
+    ends = (text(F.col("x.edge.from")) != "") & (text(F.col("x.edge.to")) != "")
+    fault = F.when(~F.coalesce("object", F.lit(False)), "not an object").when(text(F.col("x.question")) == "", "no question").when(kind != "mcq", "type").when(F.size(options) < 2, "options").when(edge & ~ends, "edge")
+    tied = F.when(edge & ends, F.struct(text(F.col("x.edge.from")).alias("from"), text(F.col("x.edge.to")).alias("to")))
+    right = F.when(text(F.col("x.correct")) != "", text(F.col("x.correct"))).otherwise(text(F.col("x.answer")))
+    return each.select(key, "place", named.alias("item_id"), F.nullif(text(F.col("x.concept_id")), F.lit("")).alias("concept_id"), tied.alias("edge"), text(F.col("x.question")).alias("question"), options.alias("options"), right.alias("correct"), fault.alias("fault"))

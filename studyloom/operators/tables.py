@@ -60,3 +60,28 @@ def upsert_matched(stored: DataFrame, incoming: DataFrame, id_: str, source: str
     met = met.select(F.coalesce("__known", "__first").alias(id_), value, order).where(F.col(id_).isNotNull())
     last = met.groupBy(id_).agg(F.max_by(value, order).alias("__value"))
     return stored.join(last, id_, "left").select(id_, F.coalesce("__value", value).alias(value))
+
+
+def published_by_code(packs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The published packs (code, status, ...) that codes ask for, each code's pack of the least id: asked columns, and the pack's.
+
+    packs: id, code, status and more. asked: code. Codes are trimmed and in capitals; blank ones find nothing.
+    """
+    shaped = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    rest = [c for c in packs.columns if c != "code"]
+    first = packs.where(F.col("status") == "published").groupBy(shaped(F.col("code")).alias("__code")).agg(F.min_by(F.struct(*rest), "id").alias("p"))
+    return asked.withColumn("__code", shaped(F.col("code"))).join(first, "__code").select(*asked.columns, *(F.col(f"p.{c}").alias(c) for c in rest))
+
+
+def cached_by_key(cache: DataFrame, keys: DataFrame, key: str, at: str) -> DataFrame:
+    """The newest row of the cache for each distinct key that is asked for."""
+    asked = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    newest = cache.join(asked, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*cache.columns), at).alias("r"))
+    return newest.select(*(F.col(f"r.{c}").alias(c) for c in cache.columns))
+
+
+def exported_json(df: DataFrame, owner: str, order: str) -> DataFrame:
+    """(owner, json): each owner's rows as one JSON array, in order; its size is that of the owner's own store."""
+    rest = [c for c in df.columns if c not in (owner, order)]
+    rows = df.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("r"))
+    return rows.select(owner, F.to_json("r").alias("json"))

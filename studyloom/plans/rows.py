@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from studyloom.operators import normalise as N
+from studyloom.operators import tables
 from studyloom.operators.identity import substring_pairs
 from studyloom.operators.review import first_by_key
 from studyloom.plans.identity import EDGES_SQL, sequence_edges
@@ -328,3 +329,42 @@ def question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 40, "factual").when(F.col("p_size") > 20, "conceptual").alias("class"))
     j = table(spark, sf_dir, "lineitem").select("l_partkey").join(p, "l_partkey", "left")
     return j.groupBy(F.coalesce("class", F.lit("conceptual")).alias("class")).agg(F.count("*").alias("questions"))
+
+
+@BOOK.query("""
+WITH c AS (SELECT conv_id, turn, role, trim(text) AS q, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')[1:4] AS ws FROM conversations)
+SELECT conv_id, CAST(place AS INT) AS place, CASE WHEN turn % 2 = 0 THEN 't' || turn ELSE 'item_' || place END AS item_id, array_to_string(ws, '|') AS options, coalesce(ws[1], '') AS correct, md5(q) AS question,
+  CASE WHEN q = '' THEN 'no question' WHEN role = 'system' THEN 'type' WHEN len(ws) < 2 THEN 'options' WHEN role = 'assistant' AND turn % 3 = 0 THEN 'edge' END AS fault FROM c""")
+def normal_assessment_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as assessment items in JSON, their first words as options; those of the system have another type, some of the assistant an edge with one end."""
+    ws = F.slice(F.filter(F.split("text", "[ \\t\\n\\r\\f\\x0B]+"), lambda x: x != ""), 1, 4)
+    edge = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), F.struct(F.col("role").alias("from"), F.lit(" ").alias("to")))
+    item = F.struct("turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("t"), F.col("turn").cast("string"))).alias("id"), F.concat(F.lit(" "), "text").alias("question"), F.when(F.col("role") == "system", "essay").when(F.col("role") == "user", " MCQ").alias("type"), ws.alias("options"), F.get(ws, F.lit(0)).alias("answer"), edge.alias("edge"))
+    raw = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("t")).select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: x["item"]).alias("items"))).alias("raw"))
+    out = N.assessment_items(raw, "conv_id", "raw")
+    return out.select("conv_id", "place", "item_id", F.array_join("options", "|").alias("options"), "correct", F.md5("question").alias("question"), "fault")
+
+
+@BOOK.query("""
+SELECT c_custkey, o.o_orderkey AS id, o.o_totalprice AS price FROM customer JOIN orders o ON 'P' || o.o_orderkey = 'P' || (c_custkey * 3) WHERE o.o_orderstatus = 'F'""")
+def published_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs that customers ask for by code: orders, published when they are done."""
+    packs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("code"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("draft").alias("status"), F.col("o_totalprice").alias("price"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" P"), (F.col("c_custkey") * 3).cast("string"), F.lit(" ")).alias("code"))
+    return tables.published_by_code(packs, asked).select("c_custkey", "id", "price")
+
+
+@BOOK.query("""
+SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY user_id""")
+def cache_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest cached row for each key that orders ask for."""
+    cache = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
+    return tables.cached_by_key(cache, keys, "user_id", "at").select("user_id", "event_id")
+
+
+@BOOK.query("""
+SELECT o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']' AS json FROM orders GROUP BY o_custkey""")
+def vault_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's store as JSON."""
+    return tables.exported_json(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status")), "o_custkey", "o_orderkey")

@@ -235,3 +235,28 @@ def test_columns_of_pages(spark):
         got.setdefault(r["page"], []).append(r["text"])
     assert " ".join(got[1]).split() == [f"w{i}" for i in range(40)] and " ".join(got[2]).split() == [f"w{i}" for i in range(30)]
     assert got[3] == ["a", "b"] and got[None] == ["c d", "e"]  # the middle of the last gap lies outside of the zone
+
+
+def test_assessment_items(spark):
+    rows = [
+        (1, '{"items": [{"question": " Q? ", "options": [" a ", "", "b"], "answer": "a"}, 7, {"question": "x", "options": ["a"]}, {"id": "k", "question": "", "options": ["a", "b"]}]}'),
+        (2, '[{"item_id": "i", "id": "k", "question": "q", "type": "ESSAY"}, {"question": "q", "options": ["a", "b"], "edge": {"from": "u", "to": "v"}, "concept_id": " c "}]'),
+        (3, '{"questions": [{"question": "q", "options": ["a", "b"], "edge": {"from": "u"}}]}'),
+        (4, "broken"),
+        (5, None),
+    ]
+    out = {(r["id"], r["place"]): r for r in normalise.assessment_items(spark.createDataFrame(rows, "id int, raw string"), "id", "raw").collect()}
+    assert {k: (r["item_id"], r["fault"]) for k, r in out.items()} == {(1, 1): ("item_1", None), (1, 2): ("item_2", "not an object"), (1, 3): ("item_3", "options"), (1, 4): ("k", "no question"), (2, 1): ("i", "type"), (2, 2): ("item_2", None), (3, 1): ("item_1", "edge")}
+    assert (out[1, 1]["question"], out[1, 1]["options"], out[1, 1]["correct"]) == ("Q?", ["a", "b"], "a")
+    assert tuple(out[2, 2]["edge"]) == ("u", "v") and out[2, 2]["concept_id"] == "c"
+
+
+def test_lookups(spark):
+    from studyloom.operators import tables
+
+    packs = spark.createDataFrame([(2, " ab1", "published", "x"), (1, "AB1 ", "published", "y"), (3, "cd", "draft", "z"), (4, " ", "published", "w")], "id int, code string, status string, title string")
+    asked = spark.createDataFrame([(7, "ab1"), (8, "CD"), (9, " "), (10, None)], "who int, code string")
+    assert [(r["who"], r["id"], r["title"]) for r in tables.published_by_code(packs, asked).collect()] == [(7, 1, "y")]
+    cache = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "other")], "k string, at int, v string")
+    keys = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "k string")
+    assert [tuple(r) for r in tables.cached_by_key(cache, keys, "k", "at").collect()] == [("a", 2, "new")]
