@@ -264,11 +264,11 @@ def prerequisite_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-SELECT doc_id, t AS term FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 9))) AS t FROM documents WHERE lang = 'en') WHERE t NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)""")
+SELECT doc_id, t AS term FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 9))) AS t FROM documents) WHERE t NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)""")
 def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of documents that the store doesn't have yet."""
     found = lambda df, c: df.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
-    d = found(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), "text").where(F.length("term") >= 9)
+    d = found(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").where(F.length("term") >= 9)
     old = found(table(spark, sf_dir, "benchmark").select("text"), "text").select("term").distinct()
     return d.select("doc_id", "term").join(old, "term", "left_anti").select("doc_id", "term")
 

@@ -297,12 +297,12 @@ def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH x AS (SELECT doc_id, regexp_replace(text, ' the ', ' ![image:' || (doc_id % 7) || '] ', 'g') AS t FROM documents WHERE lang = 'en')
+WITH x AS (SELECT doc_id, regexp_replace(text, ' (the|la|den|de) ', ' ![image:' || (doc_id % 7) || '] ', 'g') AS t FROM documents)
 SELECT doc_id, len(regexp_extract_all(t, '!\\[image:[^\\]]+\\]')) AS tokens, md5(regexp_replace(t, '!\\[image:([^\\]]+)\\]', '![](http://img/\\1)', 'g')) AS replaced FROM x""")
 def image_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image tokens counted and replaced by links."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    t = F.regexp_replace("text", F.lit(" the "), F.concat(F.lit(" ![image:"), (F.col("doc_id") % 7).cast("string"), F.lit("] ")))
+    d = table(spark, sf_dir, "documents")
+    t = F.regexp_replace("text", F.lit(" (the|la|den|de) "), F.concat(F.lit(" ![image:"), (F.col("doc_id") % 7).cast("string"), F.lit("] ")))
     return d.select("doc_id", T.image_ids(t).alias("ids"), T.linked_images(t, "http://img/").alias("out")).select("doc_id", F.size("ids").cast("long").alias("tokens"), F.md5("out").alias("replaced"))
 
 
