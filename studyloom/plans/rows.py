@@ -368,3 +368,17 @@ SELECT o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"status"
 def vault_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's store as JSON."""
     return tables.exported_json(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status")), "o_custkey", "o_orderkey")
+
+
+@BOOK.query("""
+WITH c AS (SELECT p_partkey, trim(p_name) AS canonical, list_sort(list_distinct(list_filter([trim(' ' || p_name || ' '), trim(p_brand), '', trim(p_name), lower(p_type)], lambda x: x <> ''))) AS aliases,
+  CASE WHEN p_size > 40 THEN 'green' WHEN p_size > 20 THEN 'yellow' WHEN p_size > 10 THEN 'red' END AS m, CASE WHEN p_partkey % 7 > 0 THEN p_retailprice / 1000 - 0.5 END AS v FROM part)
+SELECT p_partkey, canonical, array_to_string(aliases, '|') AS aliases, CASE WHEN m = 'green' THEN m ELSE 'yellow' END AS maturity, round(greatest(0, least(1, coalesce(v, 0))), 6)::DOUBLE AS mastery FROM c""")
+def normal_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts as the registry keeps them: aliases trimmed and each once, one of two maturities, mastery between 0 and 1."""
+    p = table(spark, sf_dir, "part")
+    aliases = F.array(F.concat(F.lit(" "), "p_name", F.lit(" ")), "p_brand", F.lit(" "), "p_name", F.lower("p_type"), F.lit(None))
+    maturity = F.when(F.col("p_size") > 40, "green").when(F.col("p_size") > 20, "yellow").when(F.col("p_size") > 10, "red")
+    mastery = F.when(F.col("p_partkey") % 7 > 0, F.col("p_retailprice") / 1000 - 0.5).cast("double")
+    kept = F.when(maturity == "green", maturity).otherwise("yellow")
+    return p.select("p_partkey", F.trim("p_name").alias("canonical"), F.array_join(F.array_sort(N.clean_array(aliases)), "|").alias("aliases"), kept.alias("maturity"), F.round(N.clamped(mastery, 0.0, 1.0, 0.0), 6).alias("mastery"))
