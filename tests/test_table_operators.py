@@ -75,6 +75,23 @@ def test_similar_pairs_with_copies(spark):
     assert {r["id"]: r["representative"] for r in members.collect()}[61] == 3
 
 
+def test_nearest_of_copied_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.tile(rng.normal(size=(30, 64)).astype(np.float32), (8, 1))
+    rows = spark.createDataFrame([(i, v.tolist(), i % 30 % 3) for i, v in enumerate(vectors)], "id long, vector array<float>, label int")
+    unit = vectors / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for same in (None, "label"):
+            found = joins.nearest_neighbours(rows.where("id % 10 = 0"), rows, 5, block=7, slab=20, same=same).collect()
+            for a in range(0, 240, 10):
+                near = sorted((b for b in range(240) if b != a and (same is None or a % 30 % 3 == b % 30 % 3)), key=lambda b: (-s[a, b], b))[:5]
+                assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == a] == near
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_ranks_within_keys(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), i, rng.randrange(9)) for i in range(400)]
