@@ -127,3 +127,11 @@ def test_outline(spark, page, title, want):
     b = spark.createDataFrame(BLOCKS, "doc int, block int, page int, text string")
     got = outline.match_outline(o, b).collect()
     assert [(r["doc"], r["entry"], r["block"], r["score"], r["tier"]) for r in got] == ([(1, 5, *want)] if want else [])
+
+
+def test_outline_of_short_words(spark):
+    cases = [("La", "Relaat", None), ("La", "Laat", None), ("La", "Re la.", 80), ("Relaat", "-- la", None), ("La maison rouge", "-- la", 80), ("A b", "Xa b", 80), ("1.2 One", "1.2.3 Other", 100)]
+    o = spark.createDataFrame([(k, 0, 0, title) for k, (title, _, _) in enumerate(cases)], "doc long, entry long, page long, title string")
+    b = spark.createDataFrame([(k, 7, 0, text) for k, (_, text, _) in enumerate(cases)], "doc long, block long, page long, text string")
+    got = {r["doc"]: r["score"] for r in outline.match_outline(o, b).collect()}
+    assert got == {k: score for k, (_, _, score) in enumerate(cases) if score}
