@@ -337,7 +337,7 @@ def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.query(f"WITH {PACKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY target, id ORDER BY l_orderkey, pos) AS r FROM i) SELECT target, l_orderkey AS pack, CAST(pos AS INT) AS pos, CASE WHEN r = 1 THEN id ELSE id || '_' || r END AS id, text FROM r")
 def merged_pack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of packs merged for each customer, ids made unique by suffixes."""
-    items = P.merge_packs(_packs(spark, sf_dir))["items"]
+    items = P.merge_packs(_packs(spark, sf_dir), parts=["items"])["items"]
     return items.select("target", F.col("at").alias("pack"), "pos", F.col("new_id").alias("id"), "text")
 
 
@@ -345,5 +345,5 @@ def merged_pack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT target, src, dst, min(l_orderkey) AS pack, src || '-' || dst AS id FROM e WHERE dst IS NOT NULL GROUP BY target, src, dst""")
 def merged_pack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties of packs merged for each customer, each once."""
-    e = P.merge_packs(_packs(spark, sf_dir))["edges"]
+    e = P.merge_packs(_packs(spark, sf_dir), parts=["edges"])["edges"]
     return e.select("target", "src", "dst", F.col("at").alias("pack"), F.col("new_id").alias("id"))

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from studyloom.operators import packs as P
+from studyloom.session import mark
 
 
 def test_written_and_read(spark):
@@ -45,3 +46,18 @@ def test_merge(spark):
     assert [r["new_id"] for r in sorted(out["study_order"], key=lambda r: (r["at"], r["pos"]))] == ["b", "a", "b_2", "a_2", "b_3", "a_3"]
     assert {r["id"]: r["label"] for r in out["nodes"]} == {"n": "label 1", "m1": "", "m2": "", "m3": ""}
     assert sorted((r["src"], r["dst"], r["new_id"]) for r in out["edges"]) == [("n", "m1", "e"), ("n", "m2", "e_2"), ("n", "m3", "e_3"), ("n", "n", "f")]
+
+
+def test_work_on_packs_is_done_once(spark):
+    """A capsule is decoded once, parts that nobody asks for aren't worked out, and ids that can't meet need no rounds."""
+    files = spark.createDataFrame([(1, 1, "x")], "target int, at int, text string")
+    read = P.read_packs(files).where("status = 'ok' and pack is not null").select("target", "pack", "status")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    rows = spark.createDataFrame([(k % 3, k, f"c{k % 5}") for k in range(90)], "g int, at int, id string")
+    before = mark()
+    out = P.unique_ids(rows, "g", ["at"], "id")
+    assert mark() - before <= 2
+    assert out.select("g", "new_id").distinct().count() == 90
+    before = mark()
+    assert list(P.merge_packs(read.withColumn("at", F.lit(1)), parts=["edges"])) == ["edges"]
+    assert mark() - before <= 3
