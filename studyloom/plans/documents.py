@@ -10,7 +10,7 @@ from studyloom.functions import numeric as N
 from studyloom.functions import text as T
 from studyloom.operators import joins
 from studyloom.plans.registry import Book
-from studyloom.session import materialize, table
+from studyloom.session import table
 
 BOOK = Book()
 FIRST_PERSON_SQL = ", ".join(f"'{w}'" for w in T.FIRST_PERSON)
@@ -146,10 +146,9 @@ FROM c JOIN t USING (doc_id) GROUP BY class_id"""
 @BOOK.query(NEAR_SQL)
 def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with token Jaccard 0.85 or more, as classes; the longest text survives, then the lowest id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), T.token_hashes_c(F.col("text")).alias("members"))
-    docs = materialize(docs, "token-sets")
-    classes = joins.set_similarity_classes(docs.select(F.col("doc_id").alias("id"), "members"), 0.85)
-    j = classes.join(docs.select(F.col("doc_id").alias("id"), "chars"), "id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    classes = joins.set_similarity_classes(docs.select("id", T.token_hashes_c(F.col("text")).alias("members")), 0.85)
+    j = classes.join(docs.select("id", F.length("text").cast("long").alias("chars")), "id")
     best = F.max_by("id", F.struct(F.col("chars"), -F.col("id")))
     return j.groupBy("class_id").agg(F.count("*").alias("n_docs"), best.alias("survivor"), F.max("chars").alias("chars"))
 
