@@ -29,19 +29,29 @@ g(doc, m, placed, rest) AS (SELECT inv.doc, coalesce(m, MAP([]::VARCHAR[], []::D
 ao AS (SELECT doc, placed FROM g WHERE len(rest) = 0)"""
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, ids, affinity, edges) of every customer."""
+def _inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, ids) of every customer."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     li = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     first = li.groupBy("doc", F.col("l_partkey").alias("id")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    inv = first.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    return first.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, src, dst, kind) of every step of a customer's orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc"))
+    return sequence_edges(spark, sf_dir).join(o, F.col("line") == F.col("o_orderkey")).select("doc", "src", "dst", "kind")
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, ids) in the order of affinity."""
     weight = F.when(F.col("kind") == "A", 0.9).when(F.col("kind") == "R", 0.7).otherwise(0.3)
-    e = sequence_edges(spark, sf_dir).join(o, F.col("line") == F.col("o_orderkey")).select("doc", "src", "dst", "kind", "line", weight.alias("w"))
+    e = _steps(spark, sf_dir).withColumn("w", weight)
     strong = e.where(F.col("w") >= P.STRONG).groupBy("doc", P.pair_key(F.col("src"), F.col("dst")).alias("k")).agg(F.max("w").alias("w"))
     maps = strong.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("affinity"))
-    before = e.where("kind = 'N'").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")))).alias("edges"))
-    return inv.join(maps, "doc", "left").join(before, "doc", "left").withColumn("affinity", F.coalesce("affinity", F.create_map().cast("map<string,double>")))
+    d = _inventories(spark, sf_dir).join(maps, "doc", "left").withColumn("affinity", F.coalesce("affinity", F.create_map().cast("map<string,double>")))
+    return d.select("doc", P.affinity_order(F.col("ids"), F.col("affinity")).alias("ids"))
 
 
 def _joined(c: str) -> F.Column:
@@ -51,8 +61,7 @@ def _joined(c: str) -> F.Column:
 @BOOK.query(f"WITH RECURSIVE {AFFINITY_SQL} SELECT doc, array_to_string(placed, ',') AS ids FROM ao")
 def affinity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's concepts, one followed by the one it is tied to most."""
-    d = _documents(spark, sf_dir).withColumn("out", P.affinity_order(F.col("ids"), F.col("affinity")))
-    return d.select("doc", _joined("out").alias("ids"))
+    return _ordered(spark, sf_dir).select("doc", _joined("ids").alias("ids"))
 
 
 @BOOK.query(f"""WITH RECURSIVE {DOCS_SQL},
@@ -62,7 +71,9 @@ r(doc, es, k, l) AS (SELECT inv.doc, coalesce(es, []), len(ids) + 2, ids FROM in
 SELECT doc, array_to_string(arg_min(l, k), ',') AS ids FROM r GROUP BY doc""")
 def repaired_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one concept each, with prerequisites moved in front of what depends on them."""
-    d = _documents(spark, sf_dir).select("doc", F.transform("ids", lambda x: F.array(x)).alias("blocks"), F.coalesce("edges", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("edges"))
+    before = _steps(spark, sf_dir).where("kind = 'N'").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")))).alias("edges"))
+    d = _inventories(spark, sf_dir).join(before, "doc", "left")
+    d = d.select("doc", F.transform("ids", lambda x: F.array(x)).alias("blocks"), F.coalesce("edges", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("edges"))
     d = d.withColumn("out", F.flatten(P.repair_order(F.col("blocks"), F.col("edges"))))
     return d.select("doc", _joined("out").alias("ids"))
 
@@ -78,7 +89,7 @@ bl AS (SELECT doc, 1 AS block, 'overview' AS kind, '' AS ids FROM ao UNION ALL S
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir).select("doc", F.posexplode(P.affinity_order(F.col("ids"), F.col("affinity"))).alias("pos", "id"))
+    d = _ordered(spark, sf_dir).select("doc", F.posexplode("ids").alias("pos", "id"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("module"), F.col("p_size").alias("importance"))
     d = d.join(p, "id").groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", "module", "importance"))), lambda x: F.struct(x["id"].alias("id"), x["module"].alias("module"), x["importance"].alias("importance"))).alias("inv"))
     return d.select("doc", F.size("inv").alias("concepts"), F.posexplode(P.pack_blocks(F.col("inv"), F.lit(10))).alias("at", "b"))
