@@ -65,20 +65,38 @@ def propagate(probes: DataFrame, edges: DataFrame, beliefs: DataFrame) -> DataFr
     on = lambda side, hop: F.max(F.when((F.col("side") == side) & (F.col("hop") == hop), True))
     names = [("own", 0), *((s, h) for s in ("up", "down") for h in range(1, HOPS + 1))]
     flags = touched.groupBy("doc", "probe", "response", "node").agg(*(on(s, h).alias(f"{s}{h}") for s, h in names))
-    j = flags.join(beliefs, ["doc", "node"])
-    j = j.withColumn("after", F.col("belief"))
+    j = _moved(flags.join(beliefs, ["doc", "node"]), F.col("response"), "after")
+    return j.select("doc", "probe", "response", "node", F.col("belief").alias("before"), "after")
+
+
+def _moved(flags: DataFrame, response: Column, name: str) -> DataFrame:
+    """flags (belief, and how a node is reached) with `name`: the belief after the response."""
+    after = F.col(name)
+    j = flags.withColumn(name, F.col("belief"))
     direct = F.lit(None).cast("double")
     for answer, target in DIRECT.items():
-        direct = F.when(F.col("response") == answer, damped(F.col("after"), target, DIRECT_DAMP)).otherwise(direct)
-    j = j.withColumn("after", F.when(F.col("own0"), direct).otherwise(F.col("after")))
+        direct = F.when(response == answer, damped(after, target, DIRECT_DAMP)).otherwise(direct)
+    j = j.withColumn(name, F.when(F.col("own0"), direct).otherwise(after))
     for side in ("up", "down"):
         for hop in range(1, HOPS + 1):
-            moved = F.col("after")
+            moved = after
             for answer, s, target, factor in SPREAD:
                 if s == side:
-                    moved = F.when(F.col("response") == answer, damped(F.col("after"), target, hop_factor(factor, hop))).otherwise(moved)
-            j = j.withColumn("after", F.when(F.col(f"{side}{hop}"), moved).otherwise(F.col("after")))
-    return j.select("doc", "probe", "response", "node", F.col("belief").alias("before"), "after")
+                    moved = F.when(response == answer, damped(after, target, hop_factor(factor, hop))).otherwise(moved)
+            j = j.withColumn(name, F.when(F.col(f"{side}{hop}"), moved).otherwise(after))
+    return j
+
+
+def near_nodes(edges: DataFrame, beliefs: DataFrame) -> DataFrame:
+    """(doc, probe, node, own0, up1, up2, down1, down2): each node of beliefs, and nodes within two hops of each other, both ways."""
+    steps = edges.select("doc", "src", "dst").distinct()
+    two = steps.select("doc", "src", F.col("dst").alias("at")).join(steps.select("doc", F.col("src").alias("at"), "dst"), ["doc", "at"]).select("doc", "src", "dst").distinct()
+    hops = steps.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
+    ends = F.inline(F.array(F.struct(F.col("src").alias("probe"), F.col("dst").alias("node"), F.lit("down").alias("side")), F.struct(F.col("dst").alias("probe"), F.col("src").alias("node"), F.lit("up").alias("side"))))
+    own = beliefs.select("doc", F.lit(0).alias("hop"), F.col("node").alias("probe"), "node", F.lit("own").alias("side"))
+    rows = hops.select("doc", "hop", ends).unionByName(own)
+    on = lambda side, hop: F.max(F.when((F.col("side") == side) & (F.col("hop") == hop), True)).alias(f"{side}{hop}")
+    return rows.groupBy("doc", "probe", "node").agg(on("own", 0), *(on(s, h) for s in ("up", "down") for h in range(1, HOPS + 1)))
 
 
 def updated(beliefs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -92,23 +110,26 @@ def candidates(beliefs: DataFrame, probed: DataFrame) -> DataFrame:
     return beliefs.where((F.col("belief") > LOW) & (F.col("belief") < HIGH)).join(probed.select("doc", "node"), ["doc", "node"], "left_anti")
 
 
-def information_gain(asked: DataFrame, edges: DataFrame, beliefs: DataFrame) -> DataFrame:
+def information_gain(asked: DataFrame, near: DataFrame, beliefs: DataFrame) -> DataFrame:
     """(doc, node, gain): how much entropy an answer on each node of asked is expected to take from its graph.
 
-    Only the nodes that a probe touches change, so only they are summed.
+    near is that of `near_nodes`. Only the nodes that a probe touches change, so only they
+    are summed; both answers are worked out on the same rows.
     """
-    both = asked.select("doc", F.col("node").alias("probe"), F.explode(F.array(F.lit("knew"), F.lit("missed"))).alias("response"))
-    change = propagate(both, edges, beliefs).withColumn("fall", binary_entropy(F.col("before")) - binary_entropy(F.col("after")))
-    falls = change.groupBy("doc", "probe", "response").agg(F.sum("fall").alias("fall"))
-    p = clamp(F.col("belief"))
-    j = falls.join(beliefs.select("doc", F.col("node").alias("probe"), "belief"), ["doc", "probe"])
-    share = F.when(F.col("response") == "knew", p).otherwise(1 - p)
-    return j.groupBy("doc", F.col("probe").alias("node")).agg(F.sum(share * F.col("fall")).alias("gain"))
+    probes = asked.select("doc", F.col("node").alias("probe"))
+    j = near.join(probes, ["doc", "probe"], "left_semi").join(beliefs, ["doc", "node"])
+    for response in ("knew", "missed"):
+        j = _moved(j, F.lit(response), response)
+    fall = lambda response: F.sum(binary_entropy(F.col("belief")) - binary_entropy(F.col(response)))
+    # the probe's own row, and with it its belief, is among those of its group
+    p = clamp(F.max(F.when(F.col("own0"), F.col("belief"))))
+    falls = j.groupBy("doc", F.col("probe").alias("node")).agg(p.alias("p"), fall("knew").alias("knew"), fall("missed").alias("missed"))
+    return falls.where("p is not null").select("doc", "node", (F.col("p") * F.col("knew") + (1 - F.col("p")) * F.col("missed")).alias("gain"))
 
 
 def next_probes(edges: DataFrame, beliefs: DataFrame, probed: DataFrame) -> DataFrame:
     """(doc, node, gain): the probe of each graph that tells most, the least node on ties; none without a gain."""
-    gains = information_gain(candidates(beliefs, probed), edges, beliefs).withColumn("gain", F.round("gain", 9))
+    gains = information_gain(candidates(beliefs, probed), near_nodes(edges, beliefs), beliefs).withColumn("gain", F.round("gain", 9))
     best = gains.groupBy("doc").agg(F.min_by(F.struct("node", "gain"), F.struct(-F.col("gain"), "node")).alias("b"))
     return best.select("doc", "b.node", "b.gain").where("gain > 0")
 
@@ -120,15 +141,9 @@ def _siblings(edges: DataFrame) -> DataFrame:
     return edges.select("doc", "src", "dst").distinct().groupBy("doc", F.col("dst").alias("node")).agg(sums.alias("kin"))
 
 
-def _near(touched: DataFrame, edges: DataFrame) -> DataFrame:
+def _near(touched: DataFrame, near: DataFrame) -> DataFrame:
     """touched (doc, node) and all within two hops up or down, whose gains their beliefs have a part in."""
-    out = touched
-    for a, b in (("src", "dst"), ("dst", "src")):
-        front = touched
-        for _ in range(HOPS):
-            front = front.join(edges.select("doc", F.col(a).alias("node"), F.col(b).alias("next")), ["doc", "node"]).select("doc", F.col("next").alias("node")).distinct()
-            out = out.unionByName(front)
-    return out.distinct()
+    return touched.unionByName(near.join(touched, ["doc", "node"], "left_semi").select("doc", F.col("probe").alias("node"))).distinct()
 
 
 def next_probe_batch(edges: DataFrame, beliefs: DataFrame, probed: DataFrame, n: int) -> DataFrame:
@@ -142,7 +157,8 @@ def next_probe_batch(edges: DataFrame, beliefs: DataFrame, probed: DataFrame, n:
     kin = materialize(_siblings(edges), "siblings")
     beliefs = materialize(beliefs.select("doc", "node", "belief"), "beliefs")
     gone = probed.select("doc", "node").distinct()
-    gains = materialize(information_gain(candidates(beliefs, gone), edges, beliefs), "gains")
+    near = materialize(near_nodes(edges, beliefs), "near")
+    gains = materialize(information_gain(candidates(beliefs, gone), near, beliefs), "gains")
     picks = []
     for place in range(1, n + 1):
         rounded = gains.withColumn("gain", F.round("gain", 9))
@@ -158,8 +174,8 @@ def next_probe_batch(edges: DataFrame, beliefs: DataFrame, probed: DataFrame, n:
         after = materialize(moved.join(alike, ["doc", "node"], "left").select("doc", "node", lifted.alias("belief")), "beliefs")
         touched = after.join(beliefs.withColumnRenamed("belief", "before"), ["doc", "node"]).where("belief <> before").select("doc", "node")
         gone = materialize(gone.unionByName(pick.select("doc", "node")), "probed")
-        stale = materialize(_near(touched, edges).unionByName(pick.select("doc", "node")).distinct(), "stale")
-        fresh = information_gain(candidates(after, gone).join(stale, ["doc", "node"], "left_semi"), edges, after)
+        stale = materialize(_near(touched, near).unionByName(pick.select("doc", "node")).distinct(), "stale")
+        fresh = information_gain(candidates(after, gone).join(stale, ["doc", "node"], "left_semi"), near, after)
         kept = gains.join(pick.select("doc"), "doc", "left_semi").join(stale, ["doc", "node"], "left_anti")
         gains, beliefs = materialize(kept.select("doc", "node", "gain").unionByName(fresh), "gains"), after
     return reduce(DataFrame.unionByName, picks) if picks else gains.select("doc", F.lit(0).alias("place"), "node", "gain").limit(0)

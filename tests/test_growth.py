@@ -3,9 +3,11 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from studyloom.operators import joins, packing
+from studyloom.functions.outcomes import binary_entropy
+from studyloom.operators import beliefs, joins, packing
 
 
 def test_only_links_reach_the_full_sets(spark, monkeypatch):
@@ -61,3 +63,15 @@ def test_orders_as_one_after_another(spark):
             if wrong:
                 bs.insert(wrong[1], bs.pop(wrong[0]))
         assert got[k] == (out, bs)
+
+
+def test_gains_take_one_set_of_pairs(spark, monkeypatch):
+    """Both answers are worked out on the same rows, cycles back to the probe included."""
+    edges = spark.createDataFrame([(1, a, b) for a, b in ((1, 2), (2, 1), (2, 3), (3, 4), (5, 3))], "doc long, src long, dst long")
+    believed = spark.createDataFrame([(1, i, 0.1 + i / 8) for i in range(1, 7)], "doc long, node long, belief double")
+    both = believed.select("doc", F.col("node").alias("probe"), F.explode(F.array(F.lit("knew"), F.lit("missed"))).alias("response"))
+    each = beliefs.propagate(both, edges, believed).withColumn("fall", binary_entropy(F.col("before")) - binary_entropy(F.col("after")))
+    falls = {(r["probe"], r["response"]): r["fall"] for r in each.groupBy("probe", "response").agg(F.sum("fall").alias("fall")).collect()}
+    monkeypatch.setattr(beliefs, "propagate", None)
+    got = {r["node"]: r["gain"] for r in beliefs.information_gain(believed, beliefs.near_nodes(edges, believed), believed).collect()}
+    assert got == pytest.approx({i: (0.1 + i / 8) * falls[i, "knew"] + (0.9 - i / 8) * falls[i, "missed"] for i in range(1, 7)})
