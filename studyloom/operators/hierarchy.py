@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +21,18 @@ def flat_tree(trees: DataFrame, key: str, tree: str, children: str = "children",
     path: the places of the node and of those above it, from 1, apart by dots; parent: the
     path above, null for roots. node: the object's JSON, its children included. What isn't
     an object, and levels beyond deepest, are left out; broken JSON and nulls have no nodes.
-    There are as many steps as levels, whatever the trees hold.
+    A row passes on itself and, at the level in turn, its children, so each object is parsed
+    once for its level, and what makes the trees runs once.
     """
     parsed = lambda text: F.from_json(text, "array<string>")
-    top = trees.select(key, F.posexplode(parsed(F.col(tree))).alias("i", "node"))
-    level = top.select(key, F.lit(1).alias("level"), (F.col("i") + 1).cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), "node")
-    levels = [level]
+    rows = trees.select(key, F.posexplode(parsed(F.col(tree))).alias("i", "node"))
+    rows = rows.select(key, F.lit(1).alias("level"), (F.col("i") + 1).cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), "node")
     for depth in range(2, deepest + 1):
-        below = levels[-1].select(key, F.col("path").alias("parent"), F.posexplode(parsed(F.get_json_object("node", f"$.{children}"))).alias("i", "node"))
-        levels.append(below.select(key, F.lit(depth).alias("level"), F.concat_ws(".", "parent", (F.col("i") + 1).cast("string")).alias("path"), "parent", "node"))
-    objects = F.col("node").rlike("^\\s*\\{")
-    return reduce(DataFrame.unionByName, levels).where(objects)
+        below = lambda x, i: F.struct(F.lit(depth).alias("level"), F.concat_ws(".", F.col("path"), (i + 1).cast("string")).alias("path"), F.col("path").alias("parent"), x.alias("node"))  # noqa: B023, E731
+        more = F.when(F.col("level") == depth - 1, F.transform(parsed(F.get_json_object("node", f"$.{children}")), below))
+        own = F.array(F.struct("level", "path", "parent", "node"))
+        rows = rows.select(key, F.inline(F.coalesce(F.concat(own, more), own)))
+    return rows.where(F.col("node").rlike("^\\s*\\{"))
 
 
 def kept_ranges(ranges: Column, gap: int = len(DELIMITER)) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.functions.outcomes import binary_entropy
-from studyloom.operators import beliefs, joins, packing
+from studyloom.operators import beliefs, hierarchy, joins, packing
 
 
 def test_only_links_reach_the_full_sets(spark, monkeypatch):
@@ -75,3 +75,9 @@ def test_gains_take_one_set_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(beliefs, "propagate", None)
     got = {r["node"]: r["gain"] for r in beliefs.information_gain(believed, beliefs.near_nodes(edges, believed), believed).collect()}
     assert got == pytest.approx({i: (0.1 + i / 8) * falls[i, "knew"] + (0.9 - i / 8) * falls[i, "missed"] for i in range(1, 7)})
+
+
+def test_trees_are_made_once(spark):
+    out = hierarchy.flat_tree(spark.createDataFrame([(1, '[{"children": [{}]}]')], "id int, tree string"), "id", "tree")
+    assert sorted(r["path"] for r in out.collect()) == ["1", "1.1"]
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
