@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.functions.expr import let
-
 #: Fixed value: levels below the roots that count.
 DEEPEST = 6
 #: What stands between two kept sections.
@@ -37,15 +37,20 @@ def flat_tree(trees: DataFrame, key: str, tree: str, children: str = "children",
 
 def kept_ranges(ranges: Column, gap: int = len(DELIMITER)) -> Column:
     """Structs start, end, at of ranges (start, end; any order): overlapping ones are one, and `at` is where each begins in the new text."""
-    ordered = F.array_sort(F.transform(F.filter(ranges, lambda r: r["end"] > r["start"]), lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))))
+    def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int]]:
+        order = np.lexsort((e, s))
+        s, top = s[order], np.maximum.accumulate(e[order])
+        first = np.flatnonzero(np.r_[True, s[1:] > top[:-1]]) if len(s) else order
+        start, end = s[first], top[np.r_[first[1:] - 1, len(s) - 1]] if len(s) else top
+        at = np.cumsum(end - start + gap) - (end - start + gap)
+        return list(zip(start.tolist(), end.tolist(), at.tolist(), strict=True))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"), last["at"].alias("at"))
-        new = F.struct(r["start"].alias("start"), r["end"].alias("end"), F.coalesce(last["at"] + last["end"] - last["start"] + gap, F.lit(0)).alias("at"))
-        return F.when((F.size(acc) > 0) & (last["end"] >= r["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
+    @F.pandas_udf(_RANGES)
+    def kept(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([s if s is None else merged(s, e) for s, e in zip(starts, ends, strict=True)], dtype=object)
 
-    return F.aggregate(ordered, F.array().cast(_RANGES), step)
+    whole = F.filter(ranges, lambda r: r["end"] > r["start"])
+    return kept(F.transform(whole, lambda r: r["start"].cast("int")), F.transform(whole, lambda r: r["end"].cast("int")))
 
 
 def scoped_text(text: Column, kept: Column) -> Column:
@@ -60,15 +65,21 @@ def scoped_nodes(nodes: Column, kept: Column) -> Column:
     its last, delimiters between included; nodes without any are left out.
     """
 
-    def moved(n: Column) -> Column:
-        mine = F.filter(kept, lambda r: (r["start"] < n["end"]) & (r["end"] > n["start"]))
-
-        def placed(rs: Column) -> Column:
-            first, last = F.try_element_at(rs, F.lit(1)), F.try_element_at(rs, F.lit(-1))
-            start = first["at"] + F.greatest(n["start"], first["start"]) - first["start"]
-            end = last["at"] + F.least(n["end"], last["end"]) - last["start"]
-            return F.struct(n["node"].alias("node"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-        return let(mine, placed)
-
-    return F.filter(F.transform(nodes, moved), lambda n: n["start"].isNotNull())
+    def moved(s: np.ndarray, e: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        # kept ranges are in order and apart, so those that meet a node are a stretch of them
+        lo, hi = np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left") - 1
+        met = lo <= hi
+        a, b = lo[met], hi[met]
+        out = np.full((len(s), 2), -1, np.int64)
+        out[met, 0] = at[a] + np.maximum(s[met], start[a]) - start[a]
+        out[met, 1] = at[b] + np.minimum(e[met], end[b]) - start[b]
+        return [tuple(x) for x in out.tolist()]
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def placed(s: pd.Series, e: pd.Series, start: pd.Series, end: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([None if x[0] is None or x[2] is None else moved(*x) for x in zip(s, e, start, end, at, strict=True)], dtype=object)
+
+    known = F.filter(nodes, lambda n: n["start"].isNotNull() & n["end"].isNotNull())
+    of = lambda rows, k: F.transform(rows, lambda r: r[k].cast("int"))
+    out = F.zip_with(known, placed(of(known, "start"), of(known, "end"), of(kept, "start"), of(kept, "end"), of(kept, "at")), lambda n, p: F.struct(n["node"].alias("node"), p["start"].alias("start"), p["end"].alias("end")))
+    return F.filter(out, lambda n: n["start"] >= 0)

@@ -359,8 +359,10 @@ def scoped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.zip_with("lines", "starts", lambda x, s: F.struct(s.cast("int").alias("start"), (s + F.length(x)).cast("int").alias("end"), ((T.word_count(x) % 3 != 0) & (x != "")).alias("keep")))
     d = d.withColumn("nodes", F.transform(section, lambda x, i: F.struct((i + 1).cast("long").alias("node"), x["start"].alias("start"), x["end"].alias("end"), x["keep"].alias("keep"))))
     d = d.withColumn("kept", H.kept_ranges(F.filter("nodes", lambda x: x["keep"])))
-    d = d.select("doc_id", H.scoped_text(F.col("text"), F.col("kept")).alias("scoped"), F.explode(H.scoped_nodes(F.filter("nodes", lambda x: x["keep"]), F.col("kept"))).alias("n"))
-    return d.select("doc_id", F.col("n.node").alias("pos"), F.col("n.start").alias("start"), F.md5(F.substring("scoped", F.col("n.start") + 1, F.col("n.end") - F.col("n.start"))).alias("section"))
+    d = d.select("doc_id", H.scoped_text(F.col("text"), F.col("kept")).alias("scoped"), H.scoped_nodes(F.filter("nodes", lambda x: x["keep"]), F.col("kept")).alias("nodes"))
+    # cut within the row, so that no line takes the whole text along
+    cut = F.transform("nodes", lambda n: F.struct(n["node"].alias("pos"), n["start"].alias("start"), F.md5(F.substring(F.col("scoped"), n["start"] + 1, n["end"] - n["start"])).alias("section")))
+    return d.select("doc_id", F.inline(cut))
 
 
 @BOOK.query("""

@@ -81,3 +81,15 @@ def test_trees_are_made_once(spark):
     out = hierarchy.flat_tree(spark.createDataFrame([(1, '[{"children": [{}]}]')], "id int, tree string"), "id", "tree")
     assert sorted(r["path"] for r in out.collect()) == ["1", "1.1"]
     assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_sections_of_many_lines(spark):
+    """Ranges and nodes of a text cost what they are, not their product: 20,000 lines took minutes."""
+    n = 20_000
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("node"), (i * 3).alias("start"), (i * 3 + 2).alias("end")))
+    began = time.perf_counter()
+    df = spark.range(1).select(nodes.alias("nodes")).withColumn("kept", hierarchy.kept_ranges(F.col("nodes")))
+    row = df.select("kept", hierarchy.scoped_nodes(F.col("nodes"), F.col("kept")).alias("out")).first()
+    assert time.perf_counter() - began < 60
+    assert [tuple(x) for x in row["kept"]] == [(3 * i, 3 * i + 2, 4 * i) for i in range(n)]
+    assert [tuple(x) for x in row["out"]] == [(i, 4 * i, 4 * i + 2) for i in range(n)]
