@@ -13,8 +13,8 @@ from studyloom.operators.components import connected_components
 from studyloom.operators.ranking import global_rank
 from studyloom.session import materialize
 
-#: Edges of a graph that one task solves.
-SMALL_GRAPH = 2000
+#: Edges of a graph that one task solves: some tens of MB, and seconds.
+SMALL_GRAPH = 100_000
 
 
 def layers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -121,11 +121,10 @@ def _solved(few: DataFrame, step: Callable[[pd.DataFrame], list[tuple]]) -> Data
     return few.groupBy("of").applyInPandas(run, f"src {kinds['src']}, dst {kinds['dst']}")
 
 
-def _cyclic(edges: pd.DataFrame) -> list[tuple]:
-    """The edges of one small graph that lie on a cycle: a walk by finishing times, then one against the edges."""
+def _strong_parts(pairs: list[tuple]) -> dict[object, object]:
+    """The strong component of each node, named by one of its nodes: a walk by finishing times, then one against the edges."""
     ways: dict[object, list[object]] = {}
     back: dict[object, list[object]] = {}
-    pairs = list(edges[["src", "dst"]].itertuples(index=False, name=None))
     for src, dst in pairs:
         ways.setdefault(src, []).append(dst)
         back.setdefault(dst, []).append(src)
@@ -151,6 +150,13 @@ def _cyclic(edges: pd.DataFrame) -> list[tuple]:
                     if node not in of:
                         of[node] = root
                         open_.append(node)
+    return of
+
+
+def _cyclic(edges: pd.DataFrame) -> list[tuple]:
+    """The edges of one small graph that lie on a cycle."""
+    pairs = list(edges[["src", "dst"]].itertuples(index=False, name=None))
+    of = _strong_parts(pairs)
     return [(a, b) for a, b in pairs if of[a] == of[b]]
 
 
@@ -169,46 +175,36 @@ def on_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
 
 
 def _closing(edges: pd.DataFrame) -> list[tuple]:
-    """The edges of one small graph whose end reaches their beginning over heavier ones."""
-    ways: dict[object, list[object]] = {}
-    closing = []
-    for src, dst in edges.sort_values("r")[["src", "dst"]].itertuples(index=False, name=None):
-        seen, open_ = {dst}, [dst]
-        while open_ and src not in seen:
-            for node in ways.get(open_.pop(), ()):
-                if node not in seen:
-                    seen.add(node)
-                    open_.append(node)
-        if src in seen:
-            closing.append((src, dst))
-        ways.setdefault(src, []).append(dst)
+    """The edges of one small graph whose end reaches their beginning over heavier ones, by halves as in `break_cycles`."""
+    pairs = list(edges.sort_values("r")[["src", "dst"]].itertuples(index=False, name=None))
+    closing: list[tuple] = []
+    # edges (src, dst, edge): those known to close nothing, and open ones, heaviest first
+    parts: list[tuple[list[tuple], list[tuple]]] = [([], [(a, b, (a, b)) for a, b in pairs])]
+    while parts:
+        known, open_ = parts.pop()
+        heavy, light = open_[: (len(open_) + 1) // 2], open_[(len(open_) + 1) // 2 :]
+        of = _strong_parts([e[:2] for e in known + heavy])
+        inside = lambda e: of.get(e[0], e[0]) == of.get(e[1], e[1])
+        met = lambda es: [(of.get(a, a), of.get(b, b), e) for a, b, e in es if of.get(a, a) != of.get(b, b)]
+        within = [e for e in heavy if inside(e)]
+        closing += [e[2] for e in light if inside(e)]
+        if len(open_) == 1:
+            closing += [e[2] for e in within]
+            continue
+        if within:
+            parts.append(([e for e in known if inside(e)], within))
+        if rest := met(light):
+            parts.append((met(known + heavy), rest))
     return closing
 
 
-def break_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
-    """(src, dst, weight, dropped) of edges (src, dst, weight): the lightest edge of every cycle is dropped.
-
-    Dropping the lightest edge of each strong component, again and again, drops just the
-    edges whose end reaches their beginning over heavier ones (of equal weights the greater
-    src and dst are heavier). That is found by halves: strong components of the heavier
-    half drop all lighter edges inside them; those components are searched on with the
-    heavier edges, and the graph in which each is one node with the lighter ones. All parts
-    of a level are solved together, so there are as many levels as the number of edges of
-    the largest component has bits. Graphs and components of at most `small` edges are each
-    solved in a task, edge by edge, with the same result. Repeated edges count once, with their least
-    weight; loops are dropped; edges with a null end aren't there.
-    """
-    e = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(F.coalesce("weight", F.lit(0.0))).alias("weight"))
-    e = materialize(e, "weighted")
-    dropped = e.where("src = dst").select("src", "dst")
-    ranked = materialize(global_rank(e.where("src <> dst"), [F.desc("weight"), F.desc("src"), F.desc("dst")], "r"), "weighted")
-    few, many = _by_size(ranked.select("src", "dst", "r"), small)
-    dropped = dropped.unionByName(_solved(few, _closing))
+def _closing_by_rounds(many: DataFrame, small: int) -> DataFrame:
+    """(src, dst) of the edges that `_closing` finds, in graphs (src, dst, r) of any size."""
     many = many.select(F.lit("").alias("g"), "src", "dst", "r")
     cyclic = materialize(_with_components(many, strong_components(many)).where("of_src = of_dst"), "cyclic")
     sizes = cyclic.groupBy("of_src").count()
     cyclic = materialize(cyclic.select("src", "dst", "r", F.col("of_src").alias("of")).join(sizes.withColumnRenamed("of_src", "of"), "of"), "cyclic")
-    dropped = dropped.unionByName(_solved(cyclic.where(F.col("count") <= small), _closing))
+    dropped = _solved(cyclic.where(F.col("count") <= small), _closing)
     state = cyclic.where(F.col("count") > small).select(F.col("of").cast("string").alias("g"), "src", "dst", F.struct("src", "dst").alias("edge"), "r", F.lit(True).alias("open"))
     state = materialize(state, "breaking")
     while not state.isEmpty():
@@ -226,6 +222,30 @@ def break_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
         state = high.unionByName(low)
         # parts without an open edge have nothing left to drop
         state = materialize(state.join(state.where("open").select("g").distinct(), "g", "left_semi"), "breaking")
+    return dropped
+
+
+def break_cycles(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(src, dst, weight, dropped) of edges (src, dst, weight): the lightest edge of every cycle is dropped.
+
+    Dropping the lightest edge of each strong component, again and again, drops just the
+    edges whose end reaches their beginning over heavier ones (of equal weights the greater
+    src and dst are heavier). That is found by halves: strong components of the heavier
+    half drop all lighter edges inside them; those components are searched on with the
+    heavier edges, and the graph in which each is one node with the lighter ones. All parts
+    of a level are solved together, so there are as many levels as the number of edges of
+    the largest component has bits. Graphs and components of at most `small` edges are each
+    solved in a task, by the same halves. Repeated edges count once, with their least
+    weight; loops are dropped; edges with a null end aren't there.
+    """
+    e = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    e = materialize(e, "weighted")
+    dropped = e.where("src = dst").select("src", "dst")
+    ranked = materialize(global_rank(e.where("src <> dst"), [F.desc("weight"), F.desc("src"), F.desc("dst")], "r"), "weighted")
+    few, many = _by_size(ranked.select("src", "dst", "r"), small)
+    dropped = dropped.unionByName(_solved(few, _closing))
+    if not many.isEmpty():
+        dropped = dropped.unionByName(_closing_by_rounds(many, small))
     gone = dropped.withColumn("dropped", F.lit(True))
     return e.join(gone, ["src", "dst"], "left").select("src", "dst", "weight", F.coalesce("dropped", F.lit(False)).alias("dropped"))
 

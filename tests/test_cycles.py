@@ -1,7 +1,9 @@
 """Strong components and broken cycles against plain searches."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,22 @@ def test_break_cycles(spark, small):
     assert all(a not in reachable(kept, b) for a, b in kept)
 
 
+def test_dense_graphs_in_a_task(spark, monkeypatch):
+    """Some thousand edges between few nodes went through rounds, each of several jobs; edge by edge they take minutes."""
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(2000)})
+    few = [(a, b, rng.randrange(9) / 9) for a, b in pairs if a != b]
+    found = pd.DataFrame([(a, b) for a, b, _ in sorted(few, key=lambda e: (-e[2], -e[0], -e[1]))], columns=["src", "dst"])
+    assert set(graph._closing(found.assign(r=range(len(found))))) == closing(few)
+    monkeypatch.setattr(graph, "strong_components", None)
+    many = [(f"n{a:03}", f"n{b:03}", float(rng.randrange(50))) for a in range(150) for b in range(150) if a != b and rng.random() < 0.9]
+    began = time.perf_counter()
+    out = graph.break_cycles(spark.createDataFrame(many, "src string, dst string, weight double")).collect()
+    assert time.perf_counter() - began < 60 and len(out) == len(many)
+    kept = {(r["src"], r["dst"]) for r in out if not r["dropped"]}
+    assert len(graph._strong_parts(list(kept))) == len(set(graph._strong_parts(list(kept)).values()))
+
+
 def test_strong_components(spark):
     edges = [(str(i), f"n{a}", f"n{b}") for i, g in enumerate(graphs()) for a, b, _ in g]
     out = graph.strong_components(spark.createDataFrame(edges, "g string, src string, dst string")).collect()
