@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from studyloom.operators.components import connected_components
 from studyloom.operators.ranking import global_rank
-from studyloom.session import materialize
+from studyloom.session import materialize, spread
 
 #: Edges of a graph that one task solves: some tens of MB, and seconds.
 SMALL_GRAPH = 100_000
@@ -313,6 +313,13 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("dependents"))
 
 
-def related_closure(pairs: DataFrame) -> DataFrame:
-    """Links in both directions, each once."""
-    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Links in both directions, from one reading of pairs (a, b)."""
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.where("a <> b").select(F.inline(turned))
+
+
+def related_closure(pairs: DataFrame, rows: int | None = None) -> DataFrame:
+    """Links in both directions, each once. rows: how many pairs there are at most, where that is known."""
+    both = both_ways(pairs)
+    return (spread(both, "a", "b", rows=2 * rows) if rows else both).distinct()

@@ -14,11 +14,11 @@ from pyspark.sql.window import Window
 
 from studyloom.functions import outcomes as O
 from studyloom.operators import beliefs as B
-from studyloom.operators import graph
+from studyloom.operators import graph, joins
 from studyloom.operators.review import union_all
 from studyloom.plans.identity import EDGES_SQL, sequence_edges
 from studyloom.plans.registry import Book
-from studyloom.session import table
+from studyloom.session import spread, table
 
 BOOK = Book()
 GRAPH_SQL = """li AS (SELECT o_custkey AS doc, l_orderkey AS o, l_partkey AS id, l_returnflag AS f, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -176,8 +176,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many concepts are next to each one: above, below and beside it."""
     e = sequence_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     beside = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).where("a <> b")
-    n = graph.related_closure(e).unionByName(beside)
-    return n.groupBy(F.col("a").alias("node")).agg(F.count_distinct("b").alias("neighbours"))
+    n = spread(graph.both_ways(e).unionByName(beside), "a", "b", rows=3 * table(spark, sf_dir, "lineitem").count())
+    return n.distinct().groupBy(F.col("a").alias("node")).agg(F.count("*").alias("neighbours"))
 
 
 @BOOK.query("""

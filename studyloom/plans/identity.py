@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from studyloom.operators import graph, identity, joins
 from studyloom.plans.registry import Book
-from studyloom.session import table
+from studyloom.session import spread, table
 
 BOOK = Book()
 NAMES_SQL = """reg AS (SELECT p_name AS canonical, min(p_partkey) AS id, list_sort(list(DISTINCT lower(p_type) || ' ' || p_name)) AS aliases FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name),
@@ -209,7 +209,8 @@ def prerequisite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight, kind, line): from each line of an order to the next one, without loops."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_discount").alias("weight"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("line"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag"), "l_orderkey")
+    li = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_discount").alias("weight"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("line"))
     return li.where("dst is not null and src <> dst")
 
 
@@ -224,7 +225,7 @@ def covered_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links made to hold in both directions, counted."""
     e = sequence_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.related_closure(e).groupBy("a").agg(F.count("*").alias("related"))
+    return graph.related_closure(e, table(spark, sf_dir, "lineitem").count()).groupBy("a").agg(F.count("*").alias("related"))
 
 
 @BOOK.query("SELECT p_brand AS topic, count(DISTINCT l_orderkey) AS docs, count(DISTINCT p_type) AS areas FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand")

@@ -1,13 +1,16 @@
 """What a step holds or sends must not grow faster than its input."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from studyloom import session
 from studyloom.functions.outcomes import binary_entropy
 from studyloom.operators import beliefs, hierarchy, joins, packing
+from studyloom.plans import catalogue
 
 
 def test_only_links_reach_the_full_sets(spark, monkeypatch):
@@ -93,3 +96,18 @@ def test_sections_of_many_lines(spark):
     assert time.perf_counter() - began < 60
     assert [tuple(x) for x in row["kept"]] == [(3 * i, 3 * i + 2, 4 * i) for i in range(n)]
     assert [tuple(x) for x in row["out"]] == [(i, 4 * i, 4 * i + 2) for i in range(n)]
+
+
+# the greatest number of rows that a step deals, for each line
+DEALT = {"neighbours": 3}
+
+
+@pytest.mark.parametrize("name", sorted(DEALT))
+def test_tasks_grow_with_rows(spark, monkeypatch, name):
+    """Rows are dealt to as many tasks as they need; as many as there are shuffle partitions held more and more each."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    lines = session.table(spark, sf, "lineitem").count()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert max(dealt, default=0) >= DEALT[name] * lines / 200 and min(dealt) >= lines / 200
