@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from studyloom.functions.text import word_count
+from studyloom.session import spread
 
 #: Least columns and rows of a grid.
 LEAST_COLUMNS, LEAST_ROWS = 3, 3
@@ -32,8 +33,9 @@ def grids(cells: DataFrame, page: str, line: str, x: str, tolerance: float) -> D
     """
     w = Window.partitionBy(page).orderBy(x)
     opens = F.coalesce(F.col(x) - F.lag(x).over(w) > tolerance, F.lit(True))
+    cells = spread(cells.select(page, line, x), page)
     c = cells.withColumn("__opens", opens.cast("int")).withColumn("__column", F.sum("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    n = c.groupBy(page).agg(F.count_distinct(line).alias("lines"))
+    n = cells.groupBy(page).agg(F.count_distinct(line).alias("lines"))
     hits = c.groupBy(page, "__column").agg(F.count_distinct(line).alias("hits")).join(n, page)
     columns = hits.where(F.col("hits") >= F.greatest(F.lit(2), F.least(F.lit(LEAST_ROWS), F.col("lines")))).groupBy(page).agg(F.count("*").alias("columns"))
     out = n.join(columns, page, "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
