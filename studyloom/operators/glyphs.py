@@ -86,10 +86,14 @@ def filled_grids(cells: DataFrame, page: str, line: str, x: str, text: str, tole
     """
     w = Window.partitionBy(page).orderBy(x)
     opens = F.coalesce(F.col(x) - F.lag(x).over(w) > tolerance, F.lit(True))
-    c = cells.withColumn("__opens", opens.cast("int")).withColumn("__column", F.sum("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    n = c.groupBy(page).agg(F.count_distinct(line).alias("lines"))
     full = F.trim(F.coalesce(text, F.lit(""))) != ""
-    each = c.groupBy(page, "__column").agg(F.count_distinct(line).alias("hits"), F.count_distinct(F.when(full, F.col(line))).alias("full"), F.min(x).alias("at"), F.max(word_count(F.col(text))).alias("words"))
+    # of a text only what is asked of it is sent
+    cells = spread(cells.select(page, line, x, full.alias("__full"), word_count(F.col(text)).alias("__words")), page)
+    c = cells.withColumn("__opens", opens.cast("int")).withColumn("__column", F.sum("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    n = cells.groupBy(page).agg(F.count_distinct(line).alias("lines"))
+    # a line of a column first, then the column: two counts of distinct lines at once would double the rows
+    placed = c.groupBy(page, "__column", line).agg(F.max("__full").alias("__full"), F.min(x).alias("__at"), F.max("__words").alias("__words"))
+    each = placed.groupBy(page, "__column").agg(F.count(line).alias("hits"), F.count(F.when(F.col("__full"), F.col(line))).alias("full"), F.min("__at").alias("at"), F.max("__words").alias("words"))
     kept = each.join(n, page).where(F.col("hits") >= F.greatest(F.lit(2), F.least(F.lit(LEAST_ROWS), F.col("lines"))))
     sums = kept.groupBy(page).agg(F.count("*").alias("columns"), F.sum("full").alias("full"), (F.max("at") - F.min("at")).alias("span"), F.max("words").alias("words"))
     out = n.join(sums, page, "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
