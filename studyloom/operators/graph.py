@@ -264,11 +264,12 @@ def probe_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return break_cycles(known.select("src", "dst", "weight"))
 
 
-def typed_edges(edges: DataFrame, undirected: tuple[str, ...] = (), loops: bool = False) -> DataFrame:
-    """(kind, src, dst), each edge once; edges of undirected kinds have their smaller end first."""
+def typed_edges(edges: DataFrame, undirected: tuple[str, ...] = (), loops: bool = False, rows: int | None = None) -> DataFrame:
+    """(kind, src, dst), each edge once; edges of undirected kinds have their smaller end first. rows: how many edges there are at most, where that is known."""
     flat = F.col("kind").isin(*undirected) if undirected else F.lit(False)
     e = edges.select("kind", F.when(flat, F.least("src", "dst")).otherwise(F.col("src")).alias("src"), F.when(flat, F.greatest("src", "dst")).otherwise(F.col("dst")).alias("dst"))
-    return (e if loops else e.where("src <> dst")).distinct()
+    e = e if loops else e.where("src <> dst")
+    return (spread(e, "kind", "src", "dst", rows=rows) if rows else e).distinct()
 
 
 def safe_inserts(edges: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -153,7 +153,13 @@ def material_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(order, "sequence", node("block", "before"), node("block", "o_orderkey")),
         edge(li.where("l_returnflag = 'N'"), "requires", node("concept", "l_partkey"), node("concept", "l_suppkey")),
     )
-    return graph.typed_edges(every, loops=True).groupBy("kind").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    rows = 3 * li.count() + o.count()
+    e = graph.typed_edges(every, loops=True, rows=rows)
+    ends = e.select("kind", F.inline(F.array(F.struct(F.lit(True).alias("begins"), F.col("src").alias("node")), F.struct(F.lit(False).alias("begins"), F.col("dst").alias("node")))))
+    ends = spread(ends, "kind", "begins", "node", rows=2 * rows).distinct().where("node is not null")
+    n = ends.groupBy("kind").agg(F.count_if("begins").alias("sources"), F.count_if(~F.col("begins")).alias("targets"))
+    counted = e.groupBy("kind").agg(F.count("*").alias("edges")).join(n, "kind", "left")
+    return counted.select("kind", "edges", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("sources", "targets")))
 
 
 @BOOK.query("""
