@@ -169,10 +169,12 @@ SELECT 'registry' AS origin, count(*) AS edges FROM r UNION ALL SELECT 'together
 def global_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections of the registry, and concepts that stand in one document without one; an order has a handful of lines."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("s"), "l_returnflag")
-    r = li.where("l_returnflag = 'N' and a <> s").select("a", F.col("s").alias("b")).distinct()
-    parts = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("a")).alias("ps"))
-    pairs = parts.select(F.explode(F.flatten(F.transform("ps", lambda x: F.transform(F.filter("ps", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
-    known = r.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    r = spread(li.where("l_returnflag = 'N' and a <> s").select("a", F.col("s").alias("b")), "a", "b", rows=li.count()).distinct()
+    parts = spread(li.select("l_orderkey", "a"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("a")).alias("ps"))
+    pairs = parts.select(F.explode(F.flatten(F.transform("ps", lambda x: F.transform(F.filter("ps", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    n = joins.pair_count(parts.select(F.size("ps").alias("n")), "n")
+    pairs = spread(pairs, "a", "b", rows=n).distinct()
+    known = spread(r.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "a", "b", rows=n).distinct()
     together = pairs.join(known, ["a", "b"], "left_anti")
     return r.agg(F.count("*").alias("edges")).select(F.lit("registry").alias("origin"), "edges").unionByName(together.agg(F.count("*").alias("edges")).select(F.lit("together").alias("origin"), "edges"))
 

@@ -99,7 +99,7 @@ def test_sections_of_many_lines(spark):
 
 
 # the greatest number of rows that a step deals, for each line
-DEALT = {"neighbours": 3, "co_occurrence": 1.5, "table_grids": 1, "filled_tables": 1, "material_graph": 6}
+DEALT = {"neighbours": 3, "co_occurrence": 1.5, "table_grids": 1, "filled_tables": 1, "material_graph": 6, "global_graph": 1.5}
 
 
 @pytest.mark.parametrize("name", sorted(DEALT))
