@@ -13,17 +13,19 @@ from studyloom.session import spread
 LEAST_COLUMNS, LEAST_ROWS = 3, 3
 
 
-def lines(glyphs: DataFrame, page: str, x: str, y: str, text: str, ties: list[str], height: float) -> DataFrame:
+def lines(glyphs: DataFrame, page: str | list[str], x: str, y: str, text: str, ties: list[str], height: float) -> DataFrame:
     """(page, line, x, y, text): glyphs whose heights differ by less than half of `height` from the one above are one line.
 
     A page's glyphs are sorted by y; a gap opens a line. Within a line they stand from left
-    to right, with ties in the order of the columns given.
+    to right, with ties in the order of the columns given. page may be several columns, as
+    those of a page's column.
     """
-    w = Window.partitionBy(page).orderBy(y)
+    keys = [page] if isinstance(page, str) else page
+    w = Window.partitionBy(*keys).orderBy(y)
     opens = F.coalesce(F.col(y) - F.lag(y).over(w) >= height / 2, F.lit(True))
     g = glyphs.withColumn("__opens", opens.cast("int")).withColumn("line", F.sum("__opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = g.groupBy(page, "line").agg(F.array_sort(F.collect_list(F.struct(x, *ties, F.col(text).alias("__t")))).alias("gs"), F.min(x).alias("x"), F.min(y).alias("y"))
-    return rows.select(page, F.col("line").cast("long").alias("line"), "x", "y", F.array_join(F.transform("gs", lambda t: t["__t"]), " ").alias("text"))
+    rows = g.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(F.struct(x, *ties, F.col(text).alias("__t")))).alias("gs"), F.min(x).alias("x"), F.min(y).alias("y"))
+    return rows.select(*keys, F.col("line").cast("long").alias("line"), "x", "y", F.array_join(F.transform("gs", lambda t: t["__t"]), " ").alias("text"))
 
 
 def grids(cells: DataFrame, page: str, line: str, x: str, tolerance: float) -> DataFrame:
@@ -65,16 +67,18 @@ def column_borders(glyphs: DataFrame, page: str, x: str, width: float) -> DataFr
 def reading_lines(glyphs: DataFrame, page: str, x: str, y: str, text: str, ties: list[str], height: float, width: float) -> DataFrame:
     """(page, place, column, x, y, text): the lines of each page in reading order, the left column before the right one.
 
-    Pages without a border have one column, 0. place counts from 1.
+    Pages without a border have one column, 0. place counts from 1. Glyphs are dealt by page
+    once; all that follows, what a caller groups by page as well, stays in its task.
     """
     borders = column_borders(glyphs, page, x, width).withColumnRenamed(page, "__page")
-    # null pages are a page as well
-    g = glyphs.join(borders, F.col(page).eqNullSafe(F.col("__page")), "left").drop("__page")
-    side = F.when(F.col("border").isNull() | (F.col(x) < F.col("border")), 0).otherwise(1)
-    g = g.withColumn("__group", F.struct(F.col(page).alias("page"), side.alias("column"))).drop("border")
-    out = lines(g, "__group", x, y, text, ties, height)
-    place = F.row_number().over(Window.partitionBy("__group.page").orderBy("__group.column", "line"))
-    return out.select(F.col("__group.page").alias(page), place.cast("long").alias("place"), F.col("__group.column").alias("column"), "x", "y", "text")
+    # null pages are a page as well; a null-safe join would deal by other keys
+    of_null = borders.where(F.col("__page").isNull()).agg(F.max("border").alias("__of_null"))
+    g = glyphs.repartition(page).join(borders, F.col(page) == F.col("__page"), "left").crossJoin(F.broadcast(of_null))
+    border = F.when(F.col(page).isNull(), F.col("__of_null")).otherwise(F.col("border"))
+    side = F.when(border.isNull() | (F.col(x) < border), 0).otherwise(1)
+    out = lines(g.withColumn("__side", side).drop("__page", "border", "__of_null"), [page, "__side"], x, y, text, ties, height)
+    place = F.row_number().over(Window.partitionBy(page).orderBy("__side", "line"))
+    return out.select(page, place.cast("long").alias("place"), F.col("__side").alias("column"), "x", "y", "text")
 
 
 def filled_grids(cells: DataFrame, page: str, line: str, x: str, text: str, tolerance: float, width: float) -> DataFrame:

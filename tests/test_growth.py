@@ -111,3 +111,11 @@ def test_tasks_grow_with_rows(spark, monkeypatch, name):
     lines = session.table(spark, sf, "lineitem").count()
     dealt = [int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert max(dealt, default=0) >= DEALT[name] * lines / 200 and min(dealt) >= lines / 200
+
+
+def test_glyphs_are_dealt_once(spark):
+    """The words of pages were sent three times on their way to lines in reading order."""
+    plan = catalogue.QUERIES["reading_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*\), (\w+)", plan)
+    # the rest are the places where glyphs begin, and one border a page, for pages with an id and without
+    assert dealt.count("REPARTITION_BY_COL") == 1 and len(dealt) <= 6, plan
