@@ -45,7 +45,8 @@ def ranges(counts: Column) -> Column:
 
 def plain_text(text: Column) -> Column:
     """Lower case without accents, words apart by one space."""
-    return F.trim(F.regexp_replace(fold_accents(F.coalesce(text, F.lit(""))), "[ \\t\\n\\r\\f\\x0B]+", " "))
+    # single spaces, most of the white space, stay as they are
+    return F.trim(F.regexp_replace(fold_accents(F.coalesce(text, F.lit(""))), "[ \\t\\n\\r\\f\\x0B]{2,}|[\\t\\n\\r\\f\\x0B]", " "))
 
 
 def _spaces(text: Column) -> Column:
@@ -55,10 +56,12 @@ def _spaces(text: Column) -> Column:
 def _windows(text: Column, term: Column, size: Column, step: Column) -> Column:
     """The windows that hold an occurrence of the term or phrase, each once.
 
-    The text is cut where the term begins, so its occurrences may overlap, and the spaces of
-    the pieces say in which word each begins.
+    The text is cut where a phrase begins, so its occurrences may overlap, and the spaces of
+    the pieces say in which word each begins. Occurrences of a term without a space overlap
+    inside a word only, so the text is cut by the term itself, which is searched for faster.
     """
-    cut = F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    cut = F.when(F.contains(term, F.lit(" ")), F.concat(F.lit("(?="), quoted, F.lit(")"))).otherwise(quoted)
     none = F.array().cast("array<int>")
 
     def held(lo: Column) -> Column:
