@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom import session
 from studyloom.functions.outcomes import binary_entropy
-from studyloom.operators import beliefs, hierarchy, joins, packing
+from studyloom.operators import beliefs, hierarchy, joins, outline, packing
 from studyloom.plans import catalogue
 
 
@@ -119,3 +119,13 @@ def test_glyphs_are_dealt_once(spark):
     dealt = re.findall(r"Exchange hashpartitioning\(.*\), (\w+)", plan)
     # the rest are the places where glyphs begin, and one border a page, for pages with an id and without
     assert dealt.count("REPARTITION_BY_COL") == 1 and len(dealt) <= 6, plan
+
+
+def test_outlines_take_blocks_as_they_are(spark):
+    """An entry is dealt to three cells of pages; blocks used to be dealt once for each word and three letters of their text."""
+    o = spark.createDataFrame([(1, 0, 3, "Methods of work")], "doc long, entry long, page long, title string")
+    b = spark.createDataFrame([(1, k, k, "Words of a long block. " * 50 + str(k)) for k in range(40)] + [(1, 40, 7, "Methods of work")], "doc long, block long, page long, text string")
+    got = outline.match_outline(o, b)
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 40, 95, 2)]
+    # the entries, once to choose blocks and once to meet them
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2
