@@ -3,10 +3,12 @@
 import random
 from math import ceil, floor
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from studyloom.operators import alignment, outline
+from studyloom.plans import catalogue
 
 
 def plain(text, blocks, sections):
@@ -135,3 +137,24 @@ def test_outline_of_short_words(spark):
     b = spark.createDataFrame([(k, 7, 0, text) for k, (_, text, _) in enumerate(cases)], "doc long, block long, page long, text string")
     got = {r["doc"]: r["score"] for r in outline.match_outline(o, b).collect()}
     assert got == {k: score for k, (_, _, score) in enumerate(cases) if score}
+
+
+def test_outline_of_letters_inside_words(spark):
+    """One or two letters inside a word count where they are asked for, as they do in both queries and their SQL."""
+    cases = [("La", "Relaat", 80), ("Relaat", "-- la", 80), ("Relaat", "Xy", None), ("A b", "Xa b", 80), ("X", "Box of x", 80)]
+    o = spark.createDataFrame([(k, 0, 0, title) for k, (title, _, _) in enumerate(cases)], "doc long, entry long, page long, title string")
+    b = spark.createDataFrame([(k, 7, 0, text) for k, (_, text, _) in enumerate(cases)], "doc long, block long, page long, text string")
+    got = {r["doc"]: r["score"] for r in outline.match_outline(o, b, held_chars=1).collect()}
+    assert got == {k: score for k, (_, _, score) in enumerate(cases) if score}
+
+
+@pytest.mark.parametrize("name", ["outline_matches", "outline_coverage"])
+def test_outline_queries_of_letters_inside_words(spark, tmp_path, name):
+    lines = ["Zu", "Azur", "q", "Unique and long line of many words that goes on and on", "Zu!", "..", "aq"]
+    spark.createDataFrame([(1, "\n".join(lines * 3)), (2, "r\nabr\nzz zz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    names = ", ".join(df.columns)
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(duck.sql(f"select {names} from ({catalogue.ORACLES[name]})").fetchall())
+    assert "contains(a, b) OR contains(b, a) THEN 80" in catalogue.ORACLES[name]
