@@ -104,14 +104,14 @@ def resume_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+WITH q AS (SELECT vec_id, embedding FROM embeddings),
 s AS (SELECT q.vec_id AS a, e.vec_id AS b, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 10)
 SELECT least(a, b) AS lo, greatest(a, b) AS hi, round(max(c), 6) AS similarity, count(*) AS proposals FROM k GROUP BY ALL""")
 def merge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours as unordered pairs, the higher similarity kept."""
+    """The ten nearest of every vector as unordered pairs, the higher similarity kept."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    k = joins.nearest_neighbours(v.where(F.col("id") % 100 == 0), v, 10)
+    k = joins.nearest_neighbours(v, v, 10)
     return k.groupBy(F.least("query_id", "id").alias("lo"), F.greatest("query_id", "id").alias("hi")).agg(F.round(F.max("similarity"), 6).alias("similarity"), F.count("*").alias("proposals"))
 
 
