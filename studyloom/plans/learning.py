@@ -182,15 +182,15 @@ def review_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0),
+WITH q AS (SELECT vec_id, embedding, label FROM embeddings),
 s AS (SELECT q.vec_id AS a, e.vec_id AS b, q.label = e.label AS same, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 20)
 SELECT a, b, CASE WHEN NOT same THEN 'language' WHEN c < 0.25 THEN 'similarity' WHEN (a + b) % 7 = 0 THEN 'rejected before' END AS failed_gate,
   CASE WHEN NOT same OR c < 0.25 OR (a + b) % 7 = 0 THEN 'rejected' WHEN c >= 0.30 THEN 'proposal' ELSE 'suggestion' END AS outcome FROM k""")
 def dedup_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates over the 20 nearest: same label, similarity 0.25, no earlier rejection (test data: ids that sum to a multiple of 7)."""
+    """Gates over the 20 nearest of every vector: same label, similarity 0.25, no earlier rejection (test data: ids that sum to a multiple of 7)."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    k = joins.nearest_neighbours(v.where(F.col("id") % 100 == 0), v, 20).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
+    k = joins.nearest_neighbours(v, v, 20).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
     label = lambda x: v.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
     k = k.join(label("a"), "a").join(label("b"), "b")
     failed = F.when(F.col("a_label") != F.col("b_label"), "language").when(F.col("similarity") < 0.25, "similarity").when((F.col("a") + F.col("b")) % 7 == 0, "rejected before")

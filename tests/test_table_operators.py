@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from studyloom.functions import outcomes, structure, text
 from studyloom.operators import beliefs, exports, folds, graph, identity, joins, normalise, packing, ranking, review
+from studyloom.plans import catalogue
 from studyloom.session import mark, materialize, release
 
 
@@ -92,6 +94,29 @@ def test_nearest_of_copied_vectors(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_nearest_of_many_tiles(spark, monkeypatch):
+    """Tiles behind the first are told by single precision; its floor must leave in what ties, and what is nearest by a hair."""
+    monkeypatch.setattr(joins, "TILE", 16)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    vectors = np.concatenate([np.tile(base, (6, 1)), np.tile(base, (6, 1)) + rng.normal(size=(72, 8)) * 1e-6, rng.normal(size=(60, 8))])
+    a = pd.DataFrame({"id": rng.permutation(204), "vector": list(vectors), "scope": 0})
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    s, ids = np.floor(unit @ unit.T * 1e9 + 0.5), a["id"].to_numpy()
+    for k in (1, 5, 20):
+        got = joins._best_of_block(a, a, k).groupby("query_id")["id"].agg(list)
+        for x in range(204):
+            order = [ids[y] for y in np.lexsort((ids, -s[x])) if y != x]
+            assert got[ids[x]] == order[:k]
+
+
+@pytest.mark.parametrize("name", ["dedup_gates", "merge_proposals", "novelty_scores"])
+def test_every_vector_is_a_query(spark, name):
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    asked = {x for c in ("a", "lo", "hi", "query_id") if c in df.columns for (x,) in df.select(c).collect()}
+    assert asked == set(range(500))
+
+
 def test_ranks_within_keys(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), i, rng.randrange(9)) for i in range(400)]
