@@ -129,3 +129,16 @@ def test_outlines_take_blocks_as_they_are(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 0, 40, 95, 2)]
     # the entries, once to choose blocks and once to meet them
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 2
+
+
+def test_near_copies_cost_their_rows(spark, monkeypatch):
+    """A class of 120 near copies took all its 7140 pairs; now each set meets few others, and what joins two groups is found."""
+    common = list(range(1000, 1100))
+    rows = [(i, [*common, 5000 + i, 6000 + i]) for i in range(120)]
+    rows += [(200 + i, [k + 10_000 + 2 * i for k in range(40)]) for i in range(12)]
+    sets = spark.createDataFrame(rows, "id long, members array<long>")
+    met, write = [], joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, name="step", **more: met.append((name, write(df, name, **more))) or met[-1][1])
+    got = {r["id"]: r["class_id"] for r in joins.set_similarity_classes(sets, 0.85).collect()}
+    assert got == {i: 0 if i < 200 else 200 for i, _ in rows}
+    assert sum(df.count() for name, df in met if name == "pairs") < 2000
